@@ -7,7 +7,6 @@ random values, taken from prefix sums, and then mixed; equal content has equal h
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +25,36 @@ LOWER[65:91] += 32
 LOWER_VALUES = BYTE_VALUES[LOWER]
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(base, size)
-    return up[:n], down[:n]
+    """The first n powers of base, and of its inverse; kept per process, a little beyond what was asked for."""
+    known = _POWERS.get(base)
+    if known is None or len(known[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(n + n // 8 + 1024, b, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p, out=p))
+        known = _POWERS[base] = out[0], out[1]
+    return known[0][:n], known[1][:n]
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = x ^ np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
     """S with S[i] = sum of values[j] * base^j over j < i."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0], out=out[1:])
-    return out
+    np.multiply(values, powers(base, len(values))[0], out=out[1:])
+    return np.cumsum(out, out=out)
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
@@ -62,6 +63,14 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def rolling_hash(sums: np.ndarray, size: int, base: int) -> np.ndarray:
+    """``span_hash`` of values[i:i + size] for every i."""
+    out = sums[size:] - sums[:-size]
+    out *= powers(base, len(sums))[1][: len(out)]
+    out += np.uint64(size)
+    return mix(out)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and their offsets (rows + 1); a null text is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -189,16 +189,16 @@ def merged(flat: list[int]) -> list[int]:
 
 
 def _pass(rows: DataFrame, shared, text: str) -> DataFrame:
-    """Adds the spans and items of one part of the benchmark to ``_words, _spans, _found``."""
-    names = [c for c in rows.columns if c not in ("_words", "_spans", "_found")]
-    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("_found", T.ArrayType(T.StringType()))])
+    """Adds the spans and items of one part of the benchmark to ``__w_words, __w_spans, __w_found``."""
+    names = [c for c in rows.columns if c not in ("__w_words", "__w_spans", "__w_found")]
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("__w_words", T.LongType()), T.StructField("__w_spans", T.ArrayType(T.IntegerType())), T.StructField("__w_found", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for batch in batches:
             for part in slices(batch, text):
                 words, phrase, start, end = find_spans(part.column(text), phrases)
-                spans, found = part.column("_spans").to_pylist(), [set(x) for x in part.column("_found").to_pylist()]
+                spans, found = part.column("__w_spans").to_pylist(), [set(x) for x in part.column("__w_found").to_pylist()]
                 doc = np.searchsorted(words.first[1:], start, side="right")
                 begin = words.first[doc]
                 for d, p, s, e in zip(doc.tolist(), phrase.tolist(), (start - begin).tolist(), (end - begin).tolist(), strict=True):
@@ -218,8 +218,8 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     are called ``null``; repeated items count once per id. No text is shuffled: the benchmark is
     broadcast in parts of about ``pass_words`` words, one pass over the texts for each.
     """
-    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "spans", "contaminated", "_words", "_spans", "_found")]
-    rows = docs.select(*kept).withColumns({"_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_found": F.array().cast("array<string>")})
+    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "spans", "contaminated", "__w_words", "__w_spans", "__w_found")]
+    rows = docs.select(*kept).withColumns({"__w_words": F.lit(0).cast("long"), "__w_spans": F.array().cast("array<int>"), "__w_found": F.array().cast("array<string>")})
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text"))
     context, part, words = docs.sparkSession.sparkContext, [], 0
 
@@ -232,6 +232,6 @@ def benchmark_overlap(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         if words >= pass_words:
             rows, part, words = passed(rows), [], 0
     rows = passed(rows)
-    n_hit = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("_spans"), F.lit(1)), F.lit(2)), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.try_element_at("_spans", i + 1) - F.try_element_at("_spans", i), F.lit(0)))
-    rows = rows.select(*kept, F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_found").alias("item_ids"), F.col("_spans").alias("spans"))
+    n_hit = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("__w_spans"), F.lit(1)), F.lit(2)), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.try_element_at("__w_spans", i + 1) - F.try_element_at("__w_spans", i), F.lit(0)))
+    rows = rows.select(*kept, F.col("__w_words").alias("n_words"), n_hit.alias("n_hit"), F.col("__w_found").alias("item_ids"), F.col("__w_spans").alias("spans"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -67,16 +67,16 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     bitmap if their texts are equal; an empty table stays empty. Two keys of one 64-bit hash
     would be taken for one.
     """
-    lost = drop_bitmaps(docs, doc_id, text, min_chars, min_docs, keep).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("words").alias("_words"))
+    lost = drop_bitmaps(docs, doc_id, text, min_chars, min_docs, keep).select(F.col("doc").alias("__w_doc"), F.col("th").alias("__w_th"), F.col("words").alias("__w_words"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept).withColumn("_text_hash", F.xxhash64(F.col(text)))
-    rows = rows.join(lost.hint("merge"), rows[doc_id].eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_th")), "left")
+    rows = docs.select(*kept).withColumn("__w_text_hash", F.xxhash64(F.col(text)))
+    rows = rows.join(lost.hint("merge"), rows[doc_id].eqNullSafe(F.col("__w_doc")) & (F.col("__w_text_hash") == F.col("__w_th")), "left")
     zeros = lambda acc, x: F.concat(acc, F.array_repeat(F.lit(0).cast("long"), x["word"] - F.size(acc)), F.array(x["bits"]))
-    rows = rows.withColumn("_dense", F.when(F.col("_words").isNotNull(), F.aggregate("_words", F.array().cast("array<long>"), zeros)))
-    bit = lambda i: F.coalesce(F.get("_dense", F.floor(i / WORD_BITS).cast("int")), F.lit(0).cast("long"))
+    rows = rows.withColumn("__w_dense", F.when(F.col("__w_words").isNotNull(), F.aggregate("__w_words", F.array().cast("array<long>"), zeros)))
+    bit = lambda i: F.coalesce(F.get("__w_dense", F.floor(i / WORD_BITS).cast("int")), F.lit(0).cast("long"))
     shifted = lambda i: F.call_function("shiftrightunsigned", bit(i), i % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 0
     whole = F.coalesce(F.col(text), F.lit(""))
     n_lines = (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_dropped = F.coalesce(F.aggregate("_words", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x["bits"])), F.lit(0).cast("long"))
-    left = F.when(F.col("_dense").isNull(), whole).otherwise(F.array_join(F.filter(text_lines(text), lambda _, i: shifted(i)), "\n"))
+    n_dropped = F.coalesce(F.aggregate("__w_words", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x["bits"])), F.lit(0).cast("long"))
+    left = F.when(F.col("__w_dense").isNull(), whole).otherwise(F.array_join(F.filter(text_lines(text), lambda _, i: shifted(i)), "\n"))
     return rows.select(*[left.alias(text) if c == text else c for c in kept], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

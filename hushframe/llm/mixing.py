@@ -50,17 +50,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def mix_columns(doc_id: str, text: str, source: str) -> dict[str, Column]:
-    return {"_size": word_count(text), "_place": place(doc_id, text), "_key": null_safe(source)}
+    return {"__w_size": word_count(text), "__w_place": place(doc_id, text), "__w_key": null_safe(source)}
 
 
 def mix_plan(rows: DataFrame, **targets) -> tuple[DataFrame, int]:
-    """From rows with ``_key, _size, _place``, per source: ``key, source_size, target, passes, threshold``; and the number of sources.
+    """From rows with ``__w_key, __w_size, __w_place``, per source: ``key, source_size, target, passes, threshold``; and the number of sources.
 
     Every document of a source is taken ``passes`` times and once more if its place is at most
     ``threshold``. The document on whose words the budget ends is taken if that brings the sum
     nearer to the target.
     """
-    rows = rows.select(F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_place").alias("place"))
+    rows = rows.select(F.col("__w_key").alias("key"), F.col("__w_size").alias("size"), F.col("__w_place").alias("place"))
     sources = source_targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), **targets)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
     sources = sources.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -96,10 +96,10 @@ def mix_plan(rows: DataFrame, **targets) -> tuple[DataFrame, int]:
 def mix_taken(rows: DataFrame, plan: tuple[DataFrame, int]) -> DataFrame:
     """``rows`` with ``size, source_size, target, taken`` in place of the working columns."""
     table, n = plan
-    table = table.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "passes", "threshold")])
-    kept = [c for c in rows.columns if c not in ("size", "source_size", "target", "taken", "_size", "_place", "_key")]
-    taken = F.col("_size") * (F.col("_passes") + F.when(F.col("_place") <= F.col("_threshold"), 1).otherwise(0))
-    return joined_by(rows, table, ["_key"], n).select(*kept, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"))
+    table = table.select(F.col("key").alias("__w_key"), *[F.col(c).alias(f"__w_{c}") for c in ("source_size", "target", "passes", "threshold")])
+    kept = [c for c in rows.columns if c not in ("size", "source_size", "target", "taken", "__w_size", "__w_place", "__w_key")]
+    taken = F.col("__w_size") * (F.col("__w_passes") + F.when(F.col("__w_place") <= F.col("__w_threshold"), 1).otherwise(0))
+    return joined_by(rows, table, ["__w_key"], n).select(*kept, F.col("__w_size").alias("size"), F.col("__w_source_size").alias("source_size"), F.col("__w_target").alias("target"), taken.cast("long").alias("taken"))
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", with_text: bool = True, **targets) -> DataFrame:

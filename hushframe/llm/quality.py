@@ -107,6 +107,6 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     are joined back; texts are not shuffled unless there are more hosts than may be broadcast.
     """
     hosts = settle(host_verdicts(with_text_stats(docs.select(text, host), text).select(host, "base_failed"), host, max_rate=max_rate))
-    judged = with_text_stats(docs.drop("host_rate", "kept"), text).withColumn("host_key", null_safe(host))
-    out = joined_by(judged, hosts.select("host_key", "host_rate", "host_rejected"), ["host_key"], hosts.count())
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("host_key", "host_rejected")
+    judged = with_text_stats(docs.drop("host_rate", "kept"), text).withColumn("__w_host", null_safe(host))
+    out = joined_by(judged, hosts.select(F.col("host_key").alias("__w_host"), "host_rate", F.col("host_rejected").alias("__w_rejected")), ["__w_host"], hosts.count())
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("__w_rejected", F.lit(False))).drop("__w_host", "__w_rejected")

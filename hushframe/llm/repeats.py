@@ -24,7 +24,7 @@ from .arrowtext import mix
 from .shared import shuffle_partitions
 
 #: Bytes of a block, and the blocks from which on they grow instead of their number.
-LEAST_BLOCK, MANY_BLOCKS, MOST_BLOCK = 4 << 20, 4096, 64 << 20
+LEAST_BLOCK, MANY_BLOCKS, MOST_BLOCK = 2 << 20, 4096, 64 << 20
 NO_DOC = np.iinfo(np.int64).max
 MESSAGE = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 MESSAGE_NAMES = MESSAGE.names
@@ -41,7 +41,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         self.blocks = block_count(total)
-        self.buckets = max(1, self.blocks // 4)
+        self.buckets = max(1, self.blocks // 2)
         self.partitions = max(shuffle_partitions(docs.sparkSession), 1)
         rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("doc", "text"), F.lit(self.blocks)).cast("int"))

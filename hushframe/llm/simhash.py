@@ -90,7 +90,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the one of smallest doc_id."""
+    """``docs`` with one document of each near-duplicate component: the one of smallest doc_id.
+
+    Of equal rows one stays. Rows without a doc_id go where their component has one with it,
+    and else stay: nothing tells which of them is first.
+    """
     named = near_duplicates(docs, doc_id, text, max_bits)
-    keep = named.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_keep")).distinct()
-    return docs.join(keep.hint("merge"), docs[doc_id].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([doc_id])
+    keep = named.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__w_keep")).distinct()
+    return docs.join(keep.hint("merge"), docs[doc_id].eqNullSafe(F.col("__w_keep")), "left_semi").dropDuplicates([doc_id, text])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowtext import BASE, BYTE_VALUES, covered, per_doc, prefix_sums, span_hash, texts
+from .arrowtext import BASE, BYTE_VALUES, covered, mix, per_doc, prefix_sums, rolling_hash, span_hash, texts
 from .repeats import NO_DOC, Blocks, Flags, Smallest, answered, to_arrow
 
 WINDOW, PREFIX = 50, 16
@@ -134,9 +134,9 @@ class Block:
         self.first = self.last = self.anchor
         if n >= size:
             # The smallest hash of a prefix among those in each window, the leftmost of equal ones.
-            places = np.arange(n - prefix + 1)
-            hashes = span_hash(self.sums, places, places + prefix, BASE)
-            smallest = (hashes & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64)
+            hashes = rolling_hash(self.sums, prefix, BASE)
+            smallest = hashes & np.uint64(0xFFFFFFFF00000000)
+            smallest |= np.arange(len(hashes), dtype=np.uint64)
             width, want = 1, size - prefix + 1
             while width * 2 <= want:
                 smallest = np.minimum(smallest[:-width], smallest[width:])
@@ -167,7 +167,7 @@ class Block:
         self.hot_start = np.repeat(self.first[hot] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         self.hot_doc = np.repeat(self.doc[hot], count)
         self.hot_hash = span_hash(self.sums, self.hot_start, self.hot_start + self.size, BASE)
-        self.cold, self.cold_doc = self.anchor[cold], self.doc[cold]
+        self.cold, self.cold_doc, self.cold_key = self.anchor[cold], self.doc[cold], self.key[cold]
         size, most, raw, before = self.size, self.size - self.prefix, self.data.tobytes(), self.offsets[:-1].tolist()
         after = self.offsets[1:].tolist()
         # A suffix of at most 50 bytes, filled up, its length, and what stands before it, backwards.
@@ -177,20 +177,22 @@ class Block:
             self.suffix.append(right.ljust(size, b"\0") + bytes((len(right),)) + raw[max(before[r], p - most) : p][::-1])
 
     def runs(self, buckets: int) -> dict[int, tuple[list[bytes], list[int]]]:
-        """Per bucket the sorted distinct suffixes and the smallest document of each."""
+        """Per bucket (the same for all suffixes that share their first bytes) the sorted distinct suffixes and the smallest document of each."""
         least: dict[bytes, int] = {}
-        for s, d in zip(self.suffix, self.cold_doc.tolist(), strict=True):
-            if least.get(s, NO_DOC + 1) > d:
+        by: list[list[bytes]] = [[] for _ in range(buckets)]
+        for s, d, b in zip(self.suffix, self.cold_doc.tolist(), (mix(self.cold_key, 17) % np.uint64(buckets)).tolist(), strict=True):
+            known = least.get(s)
+            if known is None:
+                by[b].append(s)
                 least[s] = d
-        by: dict[int, list[bytes]] = {}
-        for s in least:
-            by.setdefault(bucket_of(s, self.prefix, buckets), []).append(s)
-        return {b: (sorted(x), [least[s] for s in sorted(x)]) for b, x in by.items()}
-
-
-def bucket_of(suffix: bytes, prefix: int, buckets: int) -> int:
-    """The same for all suffixes that share their first bytes."""
-    return int.from_bytes(suffix[:prefix], "little") * 0x9E3779B97F4A7C15F39CC0605CEDC835 % (1 << 128) % (1 << 127) // (1 << 64) % buckets
+            elif d < known:
+                least[s] = d
+        out = {}
+        for b, keys in enumerate(by):
+            if keys:
+                keys.sort()
+                out[b] = keys, [least[s] for s in keys]
+        return out
 
 
 def run_payload(keys: list[bytes], least: list[int]) -> bytes:
@@ -204,9 +206,17 @@ def read_run(payload: bytes) -> tuple[np.ndarray, bytes, bytes, bytes]:
     return np.frombuffer(payload, "<i8", n, 4), payload[at : at + n], payload[at + n : at + 2 * n], payload[at + 2 * n :]
 
 
-def windows_of(suffix: bytes, size: int, prefix: int) -> range:
-    """Bytes before the sampled suffix at which windows around it may start."""
-    return range(max(0, size - suffix[size]), min(size - prefix, len(suffix) - size - 1) + 1)
+def reach(suffix: bytes, size: int, prefix: int) -> tuple[int, int]:
+    """Least and most bytes before the sampled suffix at which windows around it may start."""
+    return max(0, size - suffix[size]), min(size - prefix, len(suffix) - size - 1)
+
+
+def mask_of(low: int, high: int) -> int:
+    return ((1 << (high - low + 1)) - 1) << low if low <= high else 0
+
+
+#: Groups of more distinct suffixes are compared by their windows instead of in pairs.
+PAIRS = 12
 
 
 def merge_runs(payloads: list[bytes], size: int = WINDOW, prefix: int = PREFIX) -> list[bytes]:
@@ -214,43 +224,80 @@ def merge_runs(payloads: list[bytes], size: int = WINDOW, prefix: int = PREFIX)
     runs = [read_run(p) for p in payloads]
     masks = [np.zeros(len(r[0]), "<u8") for r in runs]
     nth = [0] * len(runs)
-    group: list[tuple[bytes, int, list[tuple[int, int, int]]]] = []  # distinct suffixes that share their first bytes
+    # Distinct suffixes that share their first bytes: suffix, smallest document, members, common prefix with the one before.
+    group: list[tuple[bytes, int, list[tuple[int, int, int]], int]] = []
 
     def close() -> None:
-        if len(group) == 1:
-            suffix, least, members = group[0]
-            if len(members) == 1:
-                return
-            full = sum(1 << o for o in windows_of(suffix, size, prefix))
-            for run, at, doc in members:
-                if doc > least:
-                    masks[run][at] = full
-            return
+        for suffix, least, members, _ in group:
+            if len(members) > 1:
+                full = mask_of(*reach(suffix, size, prefix))
+                for run, at, doc in members:
+                    if doc > least:
+                        masks[run][at] = full
+        if 1 < len(group) <= PAIRS:
+            in_pairs()
+        elif len(group) > PAIRS:
+            by_windows()
+
+    def in_pairs() -> None:
+        """In sorted order the common prefix of two suffixes is the least of those between neighbours."""
+        found = [0] * len(group)
+        for i in range(len(group) - 1):
+            a, least_a = group[i][0], group[i][1]
+            low_a, high_a = reach(a, size, prefix)
+            right = size
+            for j in range(i + 1, len(group)):
+                b, least_b, _, shared = group[j]
+                right = min(right, shared)
+                if least_a == least_b:
+                    continue
+                low_b, high_b = reach(b, size, prefix)
+                low = max(size - right, low_a, low_b)
+                high = min(high_a, high_b)
+                if low > high:
+                    continue
+                if a[size + 1 : size + 1 + high] != b[size + 1 : size + 1 + high]:
+                    high = common(a[size + 1 :], b[size + 1 :])
+                found[j if least_a < least_b else i] |= mask_of(low, high)
+        for (_, least, members, _), mask in zip(group, found, strict=True):
+            if mask:
+                for run, at, doc in members:
+                    if doc == least:
+                        masks[run][at] = mask
+
+    def by_windows() -> None:
         smallest: dict[tuple[int, bytes, bytes], int] = {}
-        asked = []
-        for suffix, least, members in group:
-            keys = [(o, suffix[: size - o], suffix[size + 1 : size + 1 + o]) for o in windows_of(suffix, size, prefix)]
-            for key in keys:
+        keys = []
+        for suffix, least, _, _ in group:
+            low, high = reach(suffix, size, prefix)
+            keys.append([(o, suffix[: size - o], suffix[size + 1 : size + 1 + o]) for o in range(low, high + 1)])
+            for key in keys[-1]:
                 if smallest.get(key, NO_DOC + 1) > least:
                     smallest[key] = least
-            asked.append((keys, members))
-        for keys, members in asked:
-            found = [(key[0], smallest[key]) for key in keys]
-            for run, at, doc in members:
-                masks[run][at] = sum(1 << o for o, least in found if least < doc)
-
+        for (_, least, members, _), own in zip(group, keys, strict=True):
+            mask = sum(1 << key[0] for key in own if smallest[key] < least)
+            if mask:
+                for run, at, doc in members:
+                    if doc == least:
+                        masks[run][at] = mask
+
+    leasts = [r[0].tolist() for r in runs]
     for suffix, shared, run in merged_runs([decoded(*r[1:]) for r in runs]):
-        at, doc = nth[run], int(runs[run][0][nth[run]])
-        nth[run] += 1
-        if group and shared == len(suffix) == len(group[-1][0]):
+        at = nth[run]
+        doc = leasts[run][at]
+        nth[run] = at + 1
+        if group:
             last = group[-1]
-            last[2].append((run, at, doc))
-            group[-1] = (suffix, min(last[1], doc), last[2])
-            continue
-        if group and shared < prefix:
-            close()
-            group.clear()
-        group.append((suffix, doc, [(run, at, doc)]))
+            if shared == len(suffix) == len(last[0]):
+                last[2].append((run, at, doc))
+                if doc < last[1]:
+                    group[-1] = (suffix, doc, last[2], last[3])
+                continue
+            if shared < prefix:
+                if len(group) > 1 or len(last[2]) > 1:
+                    close()
+                group = []
+        group.append((suffix, doc, [(run, at, doc)], shared))
     if group:
         close()
     return [m.tobytes() for m in masks]
@@ -292,21 +339,26 @@ def duplicate_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             recurs, hot = (np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x in (echo[: len(echo) // 2], echo[len(echo) // 2 :]))
             block.choose(recurs, hot)
             again = Smallest(block.hot_hash, block.hot_doc, buckets).read(WHOLE, replies)
-            starts = [block.hot_start[again]]
+            again_start = block.hot_start[again]
             seen = {}
             for b, (keys, least) in block.runs(buckets).items():
                 for key, mask, doc in zip(keys, np.frombuffer(replies[(RUN, b)], "<u8").tolist(), least, strict=True):
                     seen[key] = mask, doc
-            found = []
+            found: list[int] = []
             for s, p, d in zip(block.suffix, block.cold.tolist(), block.cold_doc.tolist(), strict=True):
                 mask, least = seen[s]
                 if d > least:
-                    found.extend(p - o for o in windows_of(s, size, prefix))
-                elif mask:
-                    found.extend(p - o for o in range(mask.bit_length()) if mask >> o & 1)
-            starts.append(np.array(found, np.int64))
-            start = np.concatenate(starts)
-            removed = covered(len(block.data), start, start + size)
+                    low, high = reach(s, size, prefix)
+                    if low <= high:
+                        found += (p - high, p - low + size)
+                while mask and d == least:  # a stretch of set bits at a time
+                    low = (mask & -mask).bit_length() - 1
+                    mask += 1 << low
+                    high = (mask & -mask).bit_length() - 2
+                    mask &= mask - 1
+                    found += (p - high, p - low + size)
+            start, end = np.concatenate([again_start, found[::2]]).astype(np.int64), np.concatenate([again_start + size, found[1::2]]).astype(np.int64)
+            removed = covered(len(block.data), start, end)
         else:
             removed = np.zeros(len(block.data), bool)
         gone = per_doc(removed, block.offsets)
