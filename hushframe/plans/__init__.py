@@ -1 +1 @@
-
+"""Queries that the driver runs, with SQL for comparison."""
