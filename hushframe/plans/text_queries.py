@@ -286,11 +286,10 @@ _TRUTH = f"""(SELECT id, CAST(strpos(text, 'user.') - 1 AS BIGINT) AS s, CAST(st
 def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = derived(spark, sf_dir, "identity_texts")
     at = lambda word, more: F.locate(word, F.col("text")) + more
-    spans = F.array(
-        F.struct(at("user.", -1).alias("start"), at(" uid ", -1).alias("end"), F.lit("email").alias("kind"), F.lit(None).cast("string").alias("decoy_reason")),
-        F.struct(at(" uid ", 4), at(" card ", -1), F.lit("aadhaar"), F.lit(None).cast("string")),
-        F.struct(at(" order ", 6), F.length("text"), F.lit(None).cast("string"), F.lit("order stamp")),
-    )
+    none = F.lit(None).cast("string")
+    places = [("user.", -1, " uid ", -1, F.lit("email"), none), (" uid ", 4, " card ", -1, F.lit("aadhaar"), none), (" order ", 6, None, 0, none, F.lit("order stamp"))]
+    ends = lambda word, more: at(word, more) if word else F.length("text")
+    spans = F.array(*[F.struct(at(w, m).alias("start"), ends(v, n).alias("end"), kind.alias("kind"), decoy.alias("decoy_reason")) for w, m, v, n, kind, decoy in places])
     truth = texts.select("id", F.explode(spans).alias("t")).select("id", "t.*")
     return identify.find_identifiers(texts, "id", "text"), truth
 
