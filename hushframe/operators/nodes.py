@@ -304,7 +304,8 @@ def structural_containers(nodes: DataFrame, kept: DataFrame) -> DataFrame:
 
 def attach_parents(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Kept nodes and their containers with ``parent``, the nearest of both above (null at the root), and ``level``."""
-    shown = kept.select("page_id", "node_id").union(structural_containers(nodes, kept).select("page_id", "node_id")).distinct()
+    kept = materialized(kept.select("page_id", "node_id"))
+    shown = materialized(kept.union(structural_containers(nodes, kept).select("page_id", "node_id")).distinct())
     rows = nodes.join(shown, ["page_id", "node_id"], "left_semi")
     chain = rows.select("page_id", "node_id", F.posexplode("ancestors").alias("_far", "_of"))
     met = chain.join(shown.withColumnRenamed("node_id", "_of"), ["page_id", "_of"]).groupBy("page_id", "node_id").agg(F.min_by("_of", "_far").alias("parent"), F.count("*").alias("level"))
@@ -324,17 +325,17 @@ def classified_counts(elements: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Visible interactive nodes with role, strength and name; nameless weak ones are layout."""
+    """Visible interactive nodes with role, strength and name; nameless weak ones are layout. Written once, as later steps join it with itself."""
     rows = node_strong_signal(node_interactive(node_role(node_visible(nodes)))).where("interactive")
     named = node_name(nodes).select("page_id", "node_id", "name")
-    return rows.join(named, ["page_id", "node_id"]).where(F.col("strong") | (F.col("name") != ""))
+    return materialized(rows.join(named, ["page_id", "node_id"]).where(F.col("strong") | (F.col("name") != "")))
 
 
 def scan_funnel(nodes: DataFrame) -> DataFrame:
     """``page_id, visited, interactive, after_name, final``: how many nodes each step keeps, from markup alone."""
     count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
     interactive = node_interactive(node_role(node_visible(nodes))).where("interactive")
-    kept = materialized(name_dominance(materialized(candidates(nodes))))
+    kept = materialized(name_dominance(candidates(nodes)))
     steps = count(nodes, "visited")
     for df, name in ((interactive, "interactive"), (kept, "after_name"), (without_weak_inside(kept), "final")):
         steps = steps.join(count(df, name), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -37,7 +37,7 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = page_rows(spark, sf_dir)
-    kept = materialized(nodes.name_dominance(materialized(nodes.candidates(rows))))
+    kept = materialized(nodes.name_dominance(nodes.candidates(rows)))
     return rows, materialized(nodes.without_weak_inside(kept))
 
 
@@ -176,7 +176,7 @@ def label_for(spark, sf_dir):
 
 @query()
 def name_dominance(spark, sf_dir):
-    return nodes.name_dominance(materialized(nodes.candidates(page_rows(spark, sf_dir)))).select("page_id", "node_id", "tag", "name")
+    return nodes.name_dominance(nodes.candidates(page_rows(spark, sf_dir))).select("page_id", "node_id", "tag", "name")
 
 
 @query()
