@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle, shuffle_partitions
+from .shared import BROADCAST_ROWS, settle, shuffle_partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is stripped from a line's ends.
@@ -20,6 +20,8 @@ BLANKS = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 1, 10
 #: Lines that one number of a bitmap stands for.
 WORD_BITS = 64
+#: Parts of a frequent key's postings where such keys are too many to broadcast.
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -50,8 +52,13 @@ def drop_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     order = ["h", "doc", "th", "at"]
     sorted_ = settle(postings(docs, doc_id, text, min_chars)).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     keys = sorted_.groupBy("h").agg(F.sum(F.col("first").cast("long")).alias("docs"), F.min(F.struct("doc", "th", "at")).alias("place"))
-    frequent = keys.where(F.col("docs") >= min_docs).select("h", "place")
-    lost = sorted_.drop("first").join(frequent.hint("merge"), "h")
+    frequent = settle(keys.where(F.col("docs") >= min_docs).select("h", "place"))
+    lost = sorted_.drop("first")
+    if frequent.count() <= BROADCAST_ROWS:
+        lost = lost.join(F.broadcast(frequent), "h")
+    else:  # one line may have a third of all postings: they are dealt by salt too, and each frequent key goes to every salt
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lost = lost.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["h", "salt"]).drop("salt")
     if keep == "first":
         lost = lost.where(~F.struct("doc", "th", "at").eqNullSafe(F.col("place")))
     word = F.floor(F.col("at") / WORD_BITS).cast("int")

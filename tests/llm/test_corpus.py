@@ -111,7 +111,9 @@ def test_chains_of_links(spark):
     assert set(found.values()) == {0} and set(found) == set(chain)
 
 
-def test_lines(docs, rows, empty):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_lines(docs, rows, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast)
     found = linededup.line_dedup(docs)
     same(found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)), brute.lines(rows))
     assert linededup.line_dedup(empty).count() == 0
