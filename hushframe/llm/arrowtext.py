@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at a time; one document is never divided.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 #: The ASCII whitespace that separates words.
 SPACE = np.zeros(256, bool)
