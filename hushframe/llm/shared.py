@@ -25,6 +25,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def first_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The ``n`` rows of ``df(column)`` that come first by a hash of it: a bounded sample, gathered as each task's own first n."""
+    rows = df.select(column).orderBy(F.xxhash64(column), column).limit(n).collect()
+    return df.sparkSession.createDataFrame(rows, df.select(column).schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
