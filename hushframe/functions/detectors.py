@@ -60,8 +60,10 @@ DETECTORS = [
     Detector("aadhaar", f"{EDGE}[2-9][0-9]{{3}}[ -]?[0-9]{{4}}[ -]?[0-9]{{4}}{EDGE}", lambda text: verhoeff_ok(digits_only(text))),
     Detector("tel", f"(?:\\+?91(?:{BLANK}|-)?)?{EDGE}[6-9][0-9]{{4}}(?:{BLANK}|-)?[0-9]{{5}}{EDGE}", phone_ok),
 ]
-#: A text without any of this holds no identifier; tried before all patterns.
-GATE = "@|[0-9]{4}|[A-Z]{4}0"
+#: The detectors for which the gate below is a necessary condition; added ones are tried on every text.
+GATED = tuple(DETECTORS)
+#: Every match of a gated detector holds one of these; the last is a card's digits in groups of any size.
+GATE = "@|[0-9]{4}|[A-Z]{4}0|(?:[0-9][ -]?){12}[0-9]"
 
 
 def register_detector(kind: str, pattern: str, accept: Callable[[Column], Column] | None = None) -> Detector:
@@ -96,9 +98,9 @@ def detected(text: Column, which: Detector, rank: int = 0) -> Column:
 
 
 def all_detected(text: Column, detectors: list[Detector]) -> Column:
-    """Spans of all detectors, each pattern tried only on texts that pass the gate."""
+    """Spans of all detectors, the patterns of gated ones tried only on texts that pass the gate."""
     gated = F.when(text.rlike(GATE), text)
-    return F.concat(*[detected(gated, d, i) for i, d in enumerate(detectors)])
+    return F.concat(*[detected(gated if d in GATED else text, d, i) for i, d in enumerate(detectors)])
 
 
 def without_overlaps(spans: Column) -> Column:

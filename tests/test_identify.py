@@ -63,6 +63,25 @@ def test_a_registered_detector_is_used(texts, monkeypatch):
     assert [(r["id"], r["text"]) for r in found] == [(7, "see 5555")]
 
 
+CARDS = ["378 282 246 310 005", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "37 82 82 24 63 10 005"]
+
+
+def test_cards_in_groups_of_any_size(spark):
+    df = spark.createDataFrame([(i, f"pay {t} now") for i, t in enumerate(CARDS)] + [(9, "378 282 246 310 006")], "id int, text string")
+    found = identify.find_identifiers(df, "id", "text")
+    assert sorted((r["id"], r["text"], r["kind"]) for r in found.collect()) == [(i, t, "cc-number") for i, t in enumerate(CARDS)]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, identify.detect(df, "id", "text", "cc-number").collect()))
+    assert identify.leak_check(df, "id", "text").count() == len(CARDS)
+    assert {r["text"] for r in redact.redact_drop(df, "id", "text").where("id < 9").collect()} == {"pay [redacted:cc-number] now"}
+
+
+def test_an_added_detector_is_tried_on_every_text(spark, monkeypatch):
+    monkeypatch.setattr(detectors, "DETECTORS", list(detectors.DETECTORS))
+    detectors.register_detector("name", "Ravi [A-Z][a-z]+")
+    df = spark.createDataFrame([(1, "see Ravi Menon there")], "id int, text string")
+    assert [r["text"] for r in identify.find_identifiers(df, "id", "text", detectors.DETECTORS).collect()] == ["Ravi Menon"]
+
+
 def luhn_digit(digits):
     total = sum((d * 2 - 9 * (d > 4)) if k % 2 == 0 else d for k, d in enumerate(reversed(digits)))
     return -total % 10
