@@ -84,6 +84,23 @@ def derived_sql(name: str) -> str:
     return f"(SELECT {columns} FROM {base})"
 
 
+#: Characters of a piece; a turn has fewer pieces than places between two turns, however long its text.
+PIECE_CHARS, TURN_PLACES = 12, 1 << 28
+PIECES = f"""conv_id as request_id, turn * {TURN_PLACES} + piece as seq, case turn % 3 when 0 then 'call' when 1 then 'content' else 'reasoning' end as channel, case when turn % 3 = 0 then cast(turn % 2 as int) end as idx,
+    case when turn = 0 and piece = 0 then 'id-' || cast(conv_id as string) end as id, case when turn % 3 = 0 and piece = 0 then 'tool' || cast(turn % 2 as string) end as name, substring(text, cast(piece * {PIECE_CHARS} + 1 as int), {PIECE_CHARS}) as args_fragment"""
+_COUNT = f"cast(greatest(1, ceil(coalesce(length(text), 0) / {PIECE_CHARS}.0)) as bigint)"
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of every turn's text, cut into fragments whose ``seq`` follows from turn and piece; a turn without text is one fragment."""
+    cut = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "text", f"explode(sequence(cast(0 as bigint), {_COUNT} - 1)) as piece")
+    return cut.selectExpr(*split_columns(PIECES))
+
+
+def pieces_sql() -> str:
+    return f"(SELECT {PIECES} FROM (SELECT conv_id, turn, text, unnest(range({_COUNT})) AS piece FROM conversations))"
+
+
 def split_columns(columns: str) -> list[str]:
     """At commas outside brackets and quotes."""
     out, depth, quoted, part = [], 0, False, ""

@@ -9,7 +9,7 @@ from ..operators import boxes, chat, fields, identify, nodes, score
 from ..operators.vault import expected_kind_check as check
 from ..sources.tables import table
 from ..streaming.streams import reply_match as match_replies
-from .derived import derived, derived_sql
+from .derived import derived, derived_sql, pieces, pieces_sql
 from .registry import query
 
 _BOXES, _IMAGES = derived_sql("boxes"), derived_sql("images")
@@ -194,6 +194,25 @@ def fold_reasoning(spark, sf_dir):
     return chat.fold_reasoning(derived(spark, sf_dir, "chunks"))
 
 
+_PIECES = pieces_sql()
+
+
+@query(
+    f"""SELECT request_id, CAST(idx AS BIGINT) AS idx, coalesce(max(id), 'call_' || CAST(idx AS VARCHAR)) AS id, max_by(name, seq) AS name, coalesce(string_agg(args_fragment, '' ORDER BY seq), '') AS args
+    FROM {_PIECES} WHERE idx IS NOT NULL GROUP BY request_id, idx"""
+)
+def reassemble_calls_whole(spark, sf_dir):
+    return chat.reassemble_calls(pieces(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(
+    f"""SELECT request_id, coalesce(string_agg(args_fragment, '' ORDER BY seq) FILTER (channel = 'content'), '') AS content, coalesce(string_agg(args_fragment, '' ORDER BY seq) FILTER (channel = 'reasoning'), '') AS reasoning,
+    count(DISTINCT idx) AS n_calls FROM {_PIECES} GROUP BY request_id"""
+)
+def fold_reasoning_whole(spark, sf_dir):
+    return chat.fold_reasoning(pieces(spark, sf_dir))
+
+
 @query(
     """WITH r AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations WHERE role <> 'system'),
     i AS (SELECT conv_id, turn, role, text, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM r UNION ALL SELECT conv_id, turn, role, text, 0 FROM conversations WHERE role = 'system')

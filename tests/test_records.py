@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators import boxes, chat, egress, identify, redact, vault
+from hushframe.plans import registry
 from hushframe.streaming import streams
 
+registry.load()
+
 
 def test_one_face_seen_by_two_strides_is_one(spark):
     det = [(1, 16, 5, 0.9, 0.9, [0.5, 0.5, 1.0, 1.0]), (1, 8, 13, 0.8, 0.9, [0.0, -0.0, 1.7, 1.7]), (1, 16, 300, 0.5, 0.49, [0.0, 0.0, 0.0, 0.0]), (2, 16, 0, 2.0, 1.5, [0.0, 0.0, 0.0, 0.0])]
@@ -48,6 +51,15 @@ def test_fragments(spark):
     assert (one["content"], one["reasoning"], one["n_calls"]) == ("Hi you", "hm", 2)
 
 
+def test_queries_put_whole_texts_together(spark, tmp_path):
+    said = [(1, 0, "user", '{"q": "' + "é𝒳y" * 40 + '"}'), (1, 1, "assistant", "content " * 9), (1, 2, "user", "r" * 24), (1, 4, "user", "more " * 7), (1, 6, "user", " and the rest of call 0"), (2, 0, "user", ""), (2, 1, "user", None)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    calls = {(r["request_id"], r["idx"]): (r["id"], r["name"], r["args"]) for r in registry.QUERIES["reassemble_calls_whole"](spark, str(tmp_path)).collect()}
+    assert calls == {(1, 0): ("id-1", "tool0", said[0][3] + said[4][3]), (2, 0): ("id-2", "tool0", "")}
+    folded = {r["request_id"]: (r["content"], r["reasoning"], r["n_calls"]) for r in registry.QUERIES["fold_reasoning_whole"](spark, str(tmp_path)).collect()}
+    assert folded == {1: (said[1][3] + said[3][3], said[2][3], 1), 2: ("", "", 1)}
+
+
 ACTIONS = [
     ('{"action": "click"}', "click needs elementId"), ('{"action": "click", "elementId": 4}', None), ('{"action": "click", "elementId": 4.5}', "click needs elementId"), ('{"action": "fly"}', "action must"),
     ('{"action": "wait", "seconds": 99}', None), ('{"action": "wait"}', "wait needs"), ('{"action": "scroll", "direction": "in"}', "direction must"), ('{"action": "tab", "op": "switch"}', "tab switch"),
