@@ -1,7 +1,7 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions and Spark's own learners.
 
-A paragraph's features are the word n-grams around licence vocabulary, and only paragraphs with one
-of a few stems, which every notice has, are candidates. Sparse multinomial logistic regression, trained on
+A paragraph's features are the word n-grams around licence vocabulary; paragraphs with a word of that
+vocabulary, or with one of a few stems, are candidates. Sparse multinomial logistic regression, trained on
 the notices below with words left out and on ordinary paragraphs, names the family; its
 probabilities are tempered on variants kept apart, and those under a threshold are unknown.
 A family counts as confirmed if the paragraph shares enough word pairs with one of its notices.
@@ -9,8 +9,10 @@ A family counts as confirmed if the paragraph shares enough word pairs with one
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,21 @@ NOTICES = {
         "All rights reserved. No part of this work may be reproduced without prior written permission.",
     ],
 }
+#: A family named in passing, without the words of a notice. For training only: nothing is confirmed by them.
+NAMED = {
+    "MIT": ["Dual MIT / Apache 2.0", "Distributed under MIT terms"],
+    "Apache-2.0": ["Distributed under Apache 2.0", "Released under Apache terms"],
+    "GPL": ["Distributed under GPL v3", "Released under GNU GPL version 2", "Distributed under the terms of the GNU"],
+    "LGPL": ["Distributed under LGPL v2.1", "Released under LGPL terms"],
+    "AGPL": ["Distributed under AGPL v3", "Released under GNU Affero terms"],
+    "BSD": ["Distributed under BSD terms", "Released under 3-clause BSD"],
+    "MPL": ["Distributed under MPL 2.0", "Released under Mozilla terms"],
+    "ISC": ["Distributed under ISC terms", "Released under ISC"],
+    "CC-BY": ["CC BY 4.0", "Text: CC BY", "Distributed under CC BY 3.0", "Available as CC BY 4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Distributed under CC BY-SA 3.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Distributed under CC BY-NC 3.0"],
+    "public-domain": ["Released under CC0", "CC0 1.0"],
+}
 #: Ordinary sentences with licence vocabulary.
 ORDINARY = [
     "He lost his driving license last year.", "A fishing licence costs ten dollars a year.", "She asked for permission to leave early.",
@@ -88,8 +105,9 @@ ORDINARY = [
     "They distributed the leaflets in town.", "The Apache tribe lived in the southwest.", "Creative people meet in commons and libraries.",
     "She studied at MIT and moved to Boston.", "The public was not amused by the version shown.", "Source of the river and its redistribution of land.",
     "The licensed pilot landed safely.", "General terms and conditions of the sale apply.", "Everybody has rights and duties.",
+    "Er kam mit dem Zug nach Hause.", "Sie spricht mit der Nachbarin.", "Kaffee mit Milch und Zucker.", "Das Haus mit Garten, mit allem darin.", "Komm doch mit.", "Der Ort liegt mit Blick auf die Berge.",
 ]
-#: A paragraph is a candidate if it contains one of these.
+#: A paragraph is a candidate if it contains one of these, or a word of the vocabulary.
 STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "public domain", "creative commons", "rights reserved", "gnu ")
 #: Features are n-grams with one of these words.
 VOCABULARY = (
@@ -97,8 +115,10 @@ VOCABULARY = (
     "software warranties warranty gnu gpl lgpl agpl affero apache mit bsd mozilla mpl isc creative commons attribution cc cc0 by-nc by-sa noncommercial sharealike "
     "unencumbered reserved domain foundation"
 ).split()
+#: A word of the vocabulary that is an ordinary one too if written small ("with" in German).
+ORDINARY_TOO = "mit"
 NONE = "none"
-NGRAMS, HASHED, ROUNDS = (1, 2, 3), 1 << 13, 25
+NGRAMS, GRAMS, ROUNDS = (1, 2, 3), 1 << 13, 25
 VARIANTS, DROP = 24, 8  # variants of each notice; one word in DROP is left out
 NEGATIVES, SAMPLE_CHARS = 1000, 2000  # paragraphs of the corpus in the training sample, and their characters, at most
 UNKNOWN_BELOW, CONFIRM_FROM = 0.5, 0.4
@@ -108,16 +128,33 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9\-]+"), lambda w: F.length(w) > 0)
 
 
-def candidate(text: Column) -> Column:
-    """Plain substring tests, which are much cheaper than a pattern on every text; each notice has one of the stems."""
+def vocabulary_pattern(words: tuple[str, ...] | list[str]) -> str:
+    """Any of the words as ``words_of`` cuts them, gathered by first letter: few branches to try at each word."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return r"(?<![a-z0-9\-])(?:" + "|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in sorted(by.items())) + r")(?![a-z0-9\-])"
+
+
+def mentions(text: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Whether a text has a stem or one of the words: plain substring tests first, as they are cheaper than the pattern."""
 
-    def has_stem(lowered: Column) -> Column:
+    def held(lowered: Column) -> Column:
         found = F.contains(lowered, F.lit(STEMS[0]))
         for stem in STEMS[1:]:
             found = found | F.contains(lowered, F.lit(stem))
-        return found
+        return found | lowered.rlike(vocabulary_pattern(words))
+
+    return F.exists(F.array(F.lower(text)), held)  # the lower-cased text is made once
+
+
+def candidate(text: Column) -> Column:
+    return mentions(text, VOCABULARY)
+
 
-    return F.exists(F.array(F.lower(text)), has_stem)  # the lower-cased text is made once
+def ordinary(text: Column) -> Column:
+    """Whether a text names no licence, not even as a word that is ordinary only if written small."""
+    return ~mentions(text, [w for w in VOCABULARY if w != ORDINARY_TOO]) & ~F.contains(text, F.lit(ORDINARY_TOO.upper()))
 
 
 def features(words: str) -> Column:
@@ -131,9 +168,8 @@ def features(words: str) -> Column:
     return F.concat(*grams)
 
 
-def featured(rows: DataFrame, text: str) -> DataFrame:
-    rows = rows.withColumn("words", words_of(F.col(text))).withColumn("grams", features("words"))
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=HASHED, binary=True).transform(rows)
+def with_grams(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("words", words_of(F.col(text))).withColumn("grams", features("words"))
 
 
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -145,11 +181,11 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def training_rows(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
     """``(label, paragraph, tuning)``: notices with words left out, ordinary sentences, and paragraphs of the corpus."""
     families = [NONE, *NOTICES]
-    fixed = [(float(families.index(f)), n) for f, ns in NOTICES.items() for n in ns] + [(0.0, n) for n in ORDINARY]
+    fixed = [(float(families.index(f)), n) for named in (NOTICES, NAMED) for f, ns in named.items() for n in ns] + [(0.0, n) for n in ORDINARY]
     rows = spark.createDataFrame(fixed, "label double, notice string").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     keep = lambda w, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64(w, i, F.col("variant")), F.lit(DROP)) != 0)
     varied = rows.select("label", F.array_join(F.filter(F.split("notice", " "), keep), " ").alias("paragraph"), (F.col("variant") % 4 == 3).alias("tuning"))
-    short = docs.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")).where((F.char_length("paragraph") <= SAMPLE_CHARS) & ~candidate(F.col("paragraph")))
+    short = docs.select(F.explode(F.split(text, "\n", -1)).alias("paragraph")).where((F.char_length("paragraph") <= SAMPLE_CHARS) & ordinary(F.col("paragraph")))
     plain = first_by_hash(short, "paragraph", NEGATIVES).select(F.lit(0.0).alias("label"), "paragraph", (F.xxhash64("paragraph") % 4 == 3).alias("tuning"))
     return varied.union(plain)
 
@@ -160,13 +196,17 @@ class LicenceModel:
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str):
         self.families = [NONE, *NOTICES]
         # A bounded sample: two tasks are enough for each of the learner's rounds.
-        rows = settle(featured(training_rows(spark, docs, text), "paragraph").select("label", "features", "tuning").coalesce(2))
+        rows = settle(with_grams(training_rows(spark, docs, text), "paragraph").select("label", "grams", "tuning").coalesce(2))
+        # Only n-grams met in training count: hashed, the many n-grams of a long ordinary line fall on those of licences.
+        self.grams = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=GRAMS, minDF=2, binary=True).fit(rows)
+        rows = settle(self.grams.transform(rows).drop("grams"))
         learner = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=ROUNDS, labelCol="label")
         self.model: LogisticRegressionModel = learner.fit(rows.where("not tuning"))
         self.temperature = self._temper(rows.where("tuning").select("label", "features"))
 
     def logits(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``logits``, written once: what follows reads each several times."""
+        rows = rows if "features" in rows.columns else self.grams.transform(with_grams(rows, "paragraph")).drop("grams", "words")
         return settle(self.model.transform(rows).withColumn("logits", vector_to_array("rawPrediction")).drop("features", "rawPrediction", "probability", "prediction"))
 
     def _temper(self, rows: DataFrame) -> float:
@@ -192,10 +232,10 @@ def licence_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     model = LicenceModel(docs.sparkSession, docs, text)
     names = F.array(*map(F.lit, model.families))
-    found = model.logits(featured(paragraphs(docs, doc_id, text), "paragraph").drop("grams"))
+    found = model.logits(paragraphs(docs, doc_id, text))
     found = found.withColumn("p", softmax(F.col("logits"), model.temperature)).withColumn("probability", F.array_max("p"))
     best = F.get(names, (F.array_position("p", F.col("probability")) - 1).cast("int"))
-    found = found.withColumn("best", best).where(F.col("best") != NONE)
+    found = found.withColumn("best", best).where(F.col("best") != NONE).withColumn("words", words_of(F.col("paragraph")))
     starts = F.when(F.size("words") > 1, F.sequence(F.lit(1), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
     pairs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, 2), " ")))
     found = settle(found.select("doc", "at", "paragraph", "best", "probability", pairs.alias("pairs")))

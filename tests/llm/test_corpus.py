@@ -229,6 +229,16 @@ def test_licences(spark, docs, empty):
     assert licences.licence_scan(docs).where("n_confirmed > 0").count() == 0
 
 
+def test_licences_named_without_a_notice(spark):
+    lines = ["Distributed under GPL v3", "CC BY 4.0", "Dual MIT / Apache 2.0", "Released under BSD terms", "This is distributed under the terms of the GNU"]
+    ordinary = ["Wir fahren morgen mit ihm in die Stadt.", "mit Hut", "nothing of note"]
+    df = spark.createDataFrame([(i, f"Prose.\n{t}\nMore.", "s") for i, t in enumerate(lines + ordinary)], SCHEMA)
+    assert {r["paragraph"] for r in licences.paragraphs(df, "doc_id", "text").collect()} == set(lines + ordinary[:2])
+    found = {r["doc_id"]: r["n_findings"] for r in licences.licence_scan(df).collect()}
+    found.pop(1)  # "CC BY 4.0" alone is a candidate, but still judged ordinary: see the README
+    assert found == {i: int(i < len(lines)) for i in range(len(lines + ordinary)) if i != 1}
+
+
 def test_secrets(spark, empty):
     key = "2e78d4bdec68f18b395a94d7e68821fb27738004"
     texts = [
