@@ -226,7 +226,8 @@ def merge_same_role(spark, sf_dir):
 def pair_tool_results(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     results = rows.where("role = 'assistant'").select("conv_id", "turn", F.when(F.col("turn") % 2 == 1, F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"))).alias("call_id"))
-    calls = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("t")).distinct().select("conv_id", F.concat(F.lit("c"), F.col("t").cast("string")).alias("call_id"), F.concat(F.lit("tool"), (F.col("t") % 3).cast("string")).alias("name"))
+    turns = rows.groupBy("conv_id").agg(F.greatest(F.max("turn"), F.lit(0)).cast("long").alias("last"))
+    calls = turns.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("t")).select("conv_id", F.concat(F.lit("c"), F.col("t").cast("string")).alias("call_id"), F.concat(F.lit("tool"), (F.col("t") % 3).cast("string")).alias("name"))
     return chat.pair_tool_results(results, calls).select("conv_id", "turn", "name")
 
 

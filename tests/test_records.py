@@ -60,6 +60,13 @@ def test_queries_put_whole_texts_together(spark, tmp_path):
     assert folded == {1: (said[1][3] + said[3][3], said[2][3], 1), 2: ("", "", 1)}
 
 
+def test_late_answers_find_their_calls(spark, tmp_path):
+    said = [(1, t, "assistant", "a") for t in (1, 2, 43, 45)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["turn"]: r["name"] for r in registry.QUERIES["pair_tool_results"](spark, str(tmp_path)).collect()}
+    assert found == {1: "tool0", 2: "unknown", 43: "tool0", 45: "tool2"}
+
+
 ACTIONS = [
     ('{"action": "click"}', "click needs elementId"), ('{"action": "click", "elementId": 4}', None), ('{"action": "click", "elementId": 4.5}', "click needs elementId"), ('{"action": "fly"}', "action must"),
     ('{"action": "wait", "seconds": 99}', None), ('{"action": "wait"}', "wait needs"), ('{"action": "scroll", "direction": "in"}', "direction must"), ('{"action": "tab", "op": "switch"}', "tab switch"),
