@@ -1,7 +1,9 @@
-"""Texts of an Arrow batch as one byte array: words, lines and hashes for all documents at once.
+"""Texts of an Arrow batch as one byte array: words, lines and numbers for all documents at once.
 
-Everything here works on whole texts. A hash of bytes or words is a polynomial in Z/2^64 over
-random values, taken from prefix sums, and then mixed; equal content has equal hashes anywhere.
+Everything here works on whole texts. What is counted, dropped or flagged is told apart by content:
+``numbered`` gives equal spans of a slice equal numbers, and others different ones. The hashes are
+sketches (polynomials in Z/2^64 over random values, taken from prefix sums and mixed): equal content
+has equal hashes anywhere, but not the other way round, so they only sample, deal and filter.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are handled at a time; one document is never divided.
+#: Bytes of text that are handled at a time; only a document that is longer makes a longer slice.
 SLICE_BYTES = 2 << 20
+#: Bytes of a slice for which there are arrays of one value a byte at the same time.
+PIECE_BYTES = 2 << 20
 
 #: The ASCII whitespace that separates words.
 SPACE = np.zeros(256, bool)
@@ -98,22 +102,53 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str) -> Iterator[pa.RecordBat
         row = end
 
 
+def pieces(n: int) -> Iterator[tuple[int, int]]:
+    for a in range(0, n, PIECE_BYTES):
+        yield a, min(a + PIECE_BYTES, n)
+
+
+def counted(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Bytes of each document that are set in the table ``which``."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a, b in pieces(len(data)):
+        total = np.zeros(b - a + 1, np.int64)
+        np.cumsum(which[data[a:b]], out=total[1:])
+        at = np.clip(offsets, a, b) - a
+        out += total[at[1:]] - total[at[:-1]]
+    return out
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span start:end (ascending, disjoint), the same exactly for equal bytes; and the distinct spans and gaps by number."""
+    if not len(start):
+        return np.zeros(0, np.int32), pa.array([], pa.large_binary())
+    edges = np.empty(2 * len(start) + 1, np.int64)
+    edges[:-1:2], edges[1::2], edges[-1] = start, end, end[-1]
+    # Spans and the gaps between them lie end to end in the bytes as they are.
+    whole = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = whole.dictionary_encode()
+    return coded.indices.to_numpy()[::2], coded.dictionary
+
+
 class Words:
     """Words of all documents of a slice, in order; those of document d are ``first[d]:first[d + 1]``."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
-        inside = ~separators[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        before = np.zeros(len(data), bool)
-        before[1:] = inside[:-1]
-        starts = inside & (~before | edge[:-1])
-        after = np.zeros(len(data), bool)
-        after[:-1] = inside[1:]
-        self.start = np.flatnonzero(starts)
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        starts, ends = [], []
+        for a, b in pieces(len(data)):
+            # One byte more on either side, so that a word goes on from piece to piece.
+            low, high = max(a - 1, 0), min(b + 1, len(data))
+            inside = ~separators[data[low:high]]
+            edge = np.zeros(high - low + 1, bool)
+            edge[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high, side="right")] - low] = True
+            before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+            before[1:], after[:-1] = inside[:-1], inside[1:]
+            own = slice(a - low, b - low)
+            starts.append(np.flatnonzero((inside & (~before | edge[:-1]))[own]) + a)
+            ends.append(np.flatnonzero((inside & (~after | edge[1:]))[own]) + a + 1)
+        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.start, offsets)
-        self.inside = inside
 
     @property
     def counts(self) -> np.ndarray:

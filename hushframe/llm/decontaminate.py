@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import BASE, LOWER_VALUES, Words, covered, prefix_sums, slices, span_hash, texts
+from .arrowtext import LOWER, Words, covered, numbered, slices, texts
 
 PHRASE_WORDS = 13
 #: Benchmark words that one pass holds; a larger benchmark takes several passes over the texts.
@@ -120,11 +120,13 @@ class Phrases:
 
     def __init__(self, items: list[str], texts_: list[str | None], size: int = PHRASE_WORDS):
         data, offsets = texts(pa.array(texts_, pa.string()))
+        data = LOWER[data]
         words = Words(data, offsets, SEPARATORS)
-        hashes = span_hash(prefix_sums(LOWER_VALUES[data], BASE), words.start, words.end, BASE)
-        self.items, self.size = items, size
-        self.vocabulary = np.unique(hashes)
-        symbols = np.searchsorted(self.vocabulary, hashes) + 2
+        ids, distinct = numbered(data, words.start, words.end)
+        self.items, self.size = np.array(items, object), size
+        #: The benchmark's words themselves; symbol 1 is any other word.
+        self.vocabulary = {w: k + 2 for k, w in enumerate(distinct.to_pylist())}
+        symbols = ids.astype(np.int64) + 2
         rows: dict[tuple, set[int]] = {}
         for d in range(len(items)):
             own = symbols[words.first[d] : words.first[d + 1]].tolist()
@@ -134,28 +136,27 @@ class Phrases:
         self.rows = np.zeros((len(rows), size), np.int64)
         for i, r in enumerate(rows):
             self.rows[i, size - len(r) :] = r
-        self.of_items = [sorted(x) for x in rows.values()]
+        of_items = [sorted(x) for x in rows.values()]
+        self.n_items = np.array([len(x) for x in of_items], np.int64)
+        self.of_items = np.array([i for x in of_items for i in x], np.int64)
         self.shortest = int(self.lengths.min()) if rows else 0
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """Vocabulary symbol of each word, 1 where there is none."""
-        out = np.ones(len(hashes), np.int64)
-        likely = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[likely]), len(self.vocabulary) - 1)
-        out[likely] = np.where(self.vocabulary[at] == hashes[likely], at + 2, 1)
-        return out
+    def symbols(self, data: np.ndarray, words: Words) -> np.ndarray:
+        """Vocabulary symbol of each word, 1 where there is none: each distinct word of the shard is looked up once."""
+        ids, distinct = numbered(data, words.start, words.end)
+        known = self.vocabulary
+        return np.array([known.get(w, 1) for w in distinct.to_pylist()], np.int64)[ids] if len(ids) else np.ones(0, np.int64)
 
 
 def find_spans(column: pa.Array, phrases: Phrases) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a shard; and of all occurrences: phrase, first word, word after the last."""
     data, offsets = texts(column)
+    data = LOWER[data]
     words = Words(data, offsets, SEPARATORS)
     none = np.zeros(0, np.int64)
     if not len(phrases.lengths) or not len(words.start):
         return words, none, none, none
-    symbol = phrases.symbols(span_hash(prefix_sums(LOWER_VALUES[data], BASE), words.start, words.end, BASE))
+    symbol = phrases.symbols(data, words)
     # Stretches of vocabulary words within one document, at least as long as the shortest phrase.
     inside = symbol > 1
     first = np.zeros(len(symbol) + 1, bool)
@@ -177,15 +178,43 @@ def find_spans(column: pa.Array, phrases: Phrases) -> tuple[Words, np.ndarray, n
     return words, phrase, start, start + phrases.lengths[phrase]
 
 
-def merged(flat: list[int]) -> list[int]:
-    """Pairs start, end in one list, with those that overlap or touch made one."""
-    out: list[int] = []
-    for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        if out and s <= out[-1]:
-            out[-1] = max(e, out[-1])
-        else:
-            out += [s, e]
-    return out
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths and values of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.value_lengths().to_numpy(zero_copy_only=False), column.flatten()
+
+
+def per_row(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def merged_spans(words: Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Per document the merged ranges of its covered words: start, end, ... from its own first word."""
+    hit = np.zeros(len(words.start) + 1, bool)
+    hit[:-1] = covered(len(words.start), start, end)
+    opens = np.zeros(len(hit), bool)
+    opens[words.first] = True
+    before = np.append(False, hit[:-1])
+    begins = np.flatnonzero(hit & (~before | opens))
+    ends = np.flatnonzero(before & (~hit | opens))
+    doc = np.searchsorted(words.first[1:], begins, side="right")
+    values = np.stack([begins, ends], 1) - words.first[doc][:, None]
+    return per_row(2 * np.bincount(doc, minlength=len(words.first) - 1), pa.array(values.ravel(), pa.int32()))
+
+
+def items_met(phrases: Phrases, n_docs: int, doc: np.ndarray, phrase: np.ndarray, known: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """Per document the ids of the items met, sorted, with those known from an earlier pass."""
+    pair = np.unique(doc * len(phrases.lengths) + phrase) if len(doc) else doc
+    doc, phrase = (pair // len(phrases.lengths), pair % len(phrases.lengths)) if len(pair) else (pair, pair)
+    count = phrases.n_items[phrase] if len(phrase) else phrase
+    begins = np.append(0, np.cumsum(phrases.n_items))[phrase]
+    which = np.repeat(begins - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    names = phrases.items[phrases.of_items[which]] if len(which) else np.zeros(0, object)
+    known_counts, known_names = flat(known)
+    table = pa.table({"doc": np.concatenate([np.repeat(doc, count), np.repeat(np.arange(n_docs), known_counts)]), "name": pa.concat_arrays([pa.array(names, pa.string()), known_names.cast(pa.string())])})
+    table = table.group_by(["doc", "name"]).aggregate([]).sort_by([("doc", "ascending"), ("name", "ascending")]).combine_chunks()
+    column = table.column("name")
+    return per_row(np.bincount(table.column("doc").to_numpy(), minlength=n_docs), column.chunk(0) if column.num_chunks else pa.array([], pa.string()))
 
 
 def _pass(rows: DataFrame, shared, text: str) -> DataFrame:
@@ -198,14 +227,12 @@ def _pass(rows: DataFrame, shared, text: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, text):
                 words, phrase, start, end = find_spans(part.column(text), phrases)
-                spans, found = part.column("__w_spans").to_pylist(), [set(x) for x in part.column("__w_found").to_pylist()]
                 doc = np.searchsorted(words.first[1:], start, side="right")
-                begin = words.first[doc]
-                for d, p, s, e in zip(doc.tolist(), phrase.tolist(), (start - begin).tolist(), (end - begin).tolist(), strict=True):
-                    spans[d] += (s, e)
-                    found[d].update(phrases.items[i] for i in phrases.of_items[p])
-                more = [pa.array(words.counts.astype(np.int64)), pa.array([merged(x) for x in spans], pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *more], names=schema.names)
+                counts, earlier = flat(part.column("__w_spans"))
+                earlier = earlier.to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:-1], counts)
+                spans = merged_spans(words, np.concatenate([start, earlier[::2]]), np.concatenate([end, earlier[1::2]]))
+                found = items_met(phrases, part.num_rows, doc, phrase, part.column("__w_found"))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(words.counts.astype(np.int64)), spans, found], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -1,10 +1,11 @@
 """Line dedup on hashes only, with native functions.
 
-Postings (line hash, document, position) are range-partitioned by hash, document and position,
-so that a line found in a third of all documents spreads over many partitions, and each
-partition streams its keys in order: a key's first occurrence and its number of documents are
-partial sums there, and one row per key and partition meets the rest. What returns to the texts
-is a sparse bitmap of the lines to leave out, one row per document, never lines.
+Postings (line hash, document, position) are range-partitioned by hash and document with a
+secondary sort by position, so that a line found in a third of all documents spreads over many
+partitions, and each partition streams its keys in order: the first occurrence of a key in each
+document, and of these the first one and their number, are partial sums there, and one row per
+key and partition meets the rest. What returns to the texts is a sparse bitmap of the lines to
+leave out, one row per document, never lines.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, settle, shuffle_partitions
+from .shared import BROADCAST_BYTES, BROADCAST_ROWS, settle, shuffle_partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What is stripped from a line's ends.
@@ -20,6 +21,8 @@ BLANKS = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 1, 10
 #: Lines that one number of a bitmap stands for.
 WORD_BITS = 64
+#: What the second hash of a key starts from.
+SECOND_HASH = 1
 #: Parts of a frequent key's postings where such keys are too many to broadcast.
 SALTS = 16
 
@@ -36,29 +39,31 @@ def text_lines(text: str) -> Column:
 
 
 def postings(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(h, doc, th, at, first)``: each line's key hash, its row and place, and whether its row has the key here first."""
-    hashed = F.transform(text_lines(text), lambda line, i: F.struct(F.when(F.char_length(line_key(line)) >= min_chars, F.xxhash64(line_key(line))).alias("h"), i.alias("at")))
-    keyed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.array_sort(F.filter(hashed, lambda x: x["h"].isNotNull())).alias("keys"))
-    first = F.transform("keys", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), ((i == 0) | (F.get("keys", i - 1)["h"] != x["h"])).alias("first")))
-    return keyed.select("doc", "th", F.explode(first).alias("key")).select("key.h", "doc", "th", "key.at", "key.first")
+    """``(h, g, doc, th, at)``: the two hashes of each line's key, its row and its place."""
+    key = F.transform(text_lines(text), lambda line: line_key(line))
+    hashed = F.transform(key, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit(SECOND_HASH), k).alias("g"))))
+    keyed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.posexplode(hashed).alias("at", "key"))
+    return keyed.where(F.col("key").isNotNull()).select("key.h", "key.g", "doc", "th", "at")
 
 
 def drop_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: str = "none") -> DataFrame:
     """``(doc, th, words)`` for documents that lose lines: a sparse bitmap ``array<struct<word, bits>>``.
 
-    A key found in at least ``min_docs`` rows loses all its lines (``keep="none"``) or all but
-    its first one by document and position (``keep="first"``).
+    A key found in at least ``min_docs`` documents loses all its lines (``keep="none"``) or all
+    but its first one by document and position (``keep="first"``).
     """
-    order = ["h", "doc", "th", "at"]
-    sorted_ = settle(postings(docs, doc_id, text, min_chars)).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    keys = sorted_.groupBy("h").agg(F.sum(F.col("first").cast("long")).alias("docs"), F.min(F.struct("doc", "th", "at")).alias("place"))
-    frequent = settle(keys.where(F.col("docs") >= min_docs).select("h", "place"))
-    lost = sorted_.drop("first")
+    key = ["h", "g"]
+    # The partitions' borders never part a key's lines in one document.
+    sorted_ = settle(postings(docs, doc_id, text, min_chars)).repartitionByRange(shuffle_partitions(docs.sparkSession), *key, "doc").sortWithinPartitions(*key, "doc", "th", "at")
+    firsts = sorted_.groupBy(*key, "doc").agg(F.min(F.struct("th", "at")).alias("place"))
+    keys = firsts.groupBy(*key).agg(F.count("doc").alias("docs"), F.min(F.struct("doc", "place.th", "place.at")).alias("place"))
+    frequent = settle(keys.where(F.col("docs") >= min_docs).select(*key, "place"))
+    lost = sorted_
     if frequent.count() <= BROADCAST_ROWS:
-        lost = lost.join(F.broadcast(frequent), "h")
+        lost = lost.join(F.broadcast(frequent), key)
     else:  # one line may have a third of all postings: they are dealt by salt too, and each frequent key goes to every salt
-        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        lost = lost.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["h", "salt"]).drop("salt")
+        salted = settle(frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        lost = lost.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*key, "salt"]).drop("salt")
     if keep == "first":
         lost = lost.where(~F.struct("doc", "th", "at").eqNullSafe(F.col("place")))
     word = F.floor(F.col("at") / WORD_BITS).cast("int")
@@ -70,14 +75,19 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """``docs`` with ``text`` cut to the lines that stay, and ``n_lines``, ``n_dropped``.
 
     A null text is one empty line and becomes the empty text; keys under ``min_chars`` code
-    points never lose a line; rows that repeat a doc_id count as documents each and share a
-    bitmap if their texts are equal; an empty table stays empty. Two keys of one 64-bit hash
-    would be taken for one.
+    points never lose a line; rows that repeat a doc_id are one document to the count, and share
+    a bitmap if their texts are equal; rows without a doc_id lose lines but do not count; an
+    empty table stays empty. Keys are told apart by 128 bits of hash: among 10^12 different
+    lines the odds of one pair taken for one are about 10^-15. Bitmaps are broadcast if their
+    measured size allows it, else they meet the texts in a shuffle.
     """
-    lost = drop_bitmaps(docs, doc_id, text, min_chars, min_docs, keep).select(F.col("doc").alias("__w_doc"), F.col("th").alias("__w_th"), F.col("words").alias("__w_words"))
+    lost = settle(drop_bitmaps(docs, doc_id, text, min_chars, min_docs, keep))
+    total = lost.agg(F.count("*"), F.sum(F.size("words"))).first()
+    small = total[0] * 48 + (total[1] or 0) * 12 <= BROADCAST_BYTES
+    lost = lost.select(F.col("doc").alias("__w_doc"), F.col("th").alias("__w_th"), F.col("words").alias("__w_words"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*kept).withColumn("__w_text_hash", F.xxhash64(F.col(text)))
-    rows = rows.join(lost.hint("merge"), rows[doc_id].eqNullSafe(F.col("__w_doc")) & (F.col("__w_text_hash") == F.col("__w_th")), "left")
+    rows = rows.join(F.broadcast(lost) if small else lost.hint("merge"), rows[doc_id].eqNullSafe(F.col("__w_doc")) & (F.col("__w_text_hash") == F.col("__w_th")), "left")
     zeros = lambda acc, x: F.concat(acc, F.array_repeat(F.lit(0).cast("long"), x["word"] - F.size(acc)), F.array(x["bits"]))
     rows = rows.withColumn("__w_dense", F.when(F.col("__w_words").isNotNull(), F.aggregate("__w_words", F.array().cast("array<long>"), zeros)))
     bit = lambda i: F.coalesce(F.get("__w_dense", F.floor(i / WORD_BITS).cast("int")), F.lit(0).cast("long"))

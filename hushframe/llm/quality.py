@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import BASE, BYTE_VALUES, Words, covered, mix, per_doc, prefix_sums, slices, span_hash, texts, window_hash
+from .arrowtext import SPACE, Words, counted, covered, numbered, per_doc, pieces, slices, texts
 from .shared import joined_by, null_safe, settle
 
 #: The symbols that n_symbols counts.
@@ -26,42 +26,53 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_HOST_RATE = 0.9
 
 
-def _repeats(keys: np.ndarray) -> np.ndarray:
-    """Which keys occur more than once."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out = np.zeros(len(keys), bool)
-    out[order[1:]] |= same
-    out[order[:-1]] |= same
-    return out
+#: Triples of word numbers below this fit one 63-bit number.
+TRIPLE = 1 << 21
+
+
+def _repeats(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys their document holds more than once, and which it held before; documents are in order."""
+    order = np.argsort(keys, kind="stable")  # equal keys stay in order, those of a document together
+    same = (keys[order][1:] == keys[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    often, again = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    again[order[1:]] = same
+    often[order[:-1]] = same
+    return often | again, again
+
+
+def _triples(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for the three words from each start, the same exactly for equal words."""
+    ids = ids.astype(np.int64)
+    most = int(ids.max(initial=0)) + 1
+    pair = ids[starts] * most + ids[starts + 1]
+    if most > TRIPLE:  # a very long text: pairs are numbered anew
+        pair = np.unique(pair, return_inverse=True)[1]
+        if int(pair.max(initial=0) + 1) * most >= 1 << 63:
+            raise ValueError("a text of more than 2^32 words")
+    return pair * most + ids[starts + 2]
 
 
 def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = texts(column)
     words = Words(data, offsets)
-    sums = prefix_sums(BYTE_VALUES[data], BASE)
-    symbol = np.zeros(256, bool)
+    symbol, char = np.zeros(256, bool), ~SPACE
     symbol[list(SYMBOLS)] = True
-    stats = {"n_words": words.counts}
-    stats["word_chars"] = per_doc(words.inside & ((data & 0xC0) != 0x80), offsets)
-    stats["n_symbols"] = per_doc(symbol[data], offsets)
+    char[0x80:0xC0] = False  # the later bytes of a character
+    stats = {"n_words": words.counts, "word_chars": counted(data, offsets, char), "n_symbols": counted(data, offsets, symbol)}
 
-    breaks = np.flatnonzero(data == 0x0A)
+    breaks = np.concatenate([np.flatnonzero(data[a:b] == 0x0A) + a for a, b in pieces(len(data))] or [np.zeros(0, np.int64)])
     line_start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     line_start = line_start[line_start < len(data)]
     line_doc = np.searchsorted(offsets[1:], line_start, side="right")
     line_end = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, line_start)], offsets[line_doc + 1])
     has_word = np.searchsorted(words.start, line_end) > np.searchsorted(words.start, line_start)
     line_start, line_end, line_doc = line_start[has_word], line_end[has_word], line_doc[has_word]
-    keys = mix(span_hash(sums, line_start, line_end, BASE) + line_doc.astype(np.uint64), 1)
-    _, firsts = np.unique(keys, return_index=True)
-    n = len(offsets) - 1
-    stats["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[firsts], minlength=n)
+    _, again = _repeats(numbered(data, line_start, line_end)[0], line_doc)
+    stats["n_dup_lines"] = np.bincount(line_doc[again], minlength=len(offsets) - 1)
 
-    hashes = span_hash(sums, words.start, words.end, BASE)
     starts = np.flatnonzero(words.window_starts(3))
-    keys = mix(window_hash(hashes, starts, 3) + words.doc()[starts].astype(np.uint64), 2)
-    again = starts[_repeats(keys)]
+    often, _ = _repeats(_triples(numbered(data, words.start, words.end)[0], starts), words.doc()[starts])
+    again = starts[often]
     stats["n_repeat_words"] = per_doc(covered(len(words.start), again, again + 3), words.first)
     return stats
 
@@ -99,14 +110,20 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
     return by.withColumn("host_rate", rate).withColumn("host_rejected", (F.col("host_key") != "1") & (F.col("host_rate") >= max_rate))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``docs`` with the statistics, ``base_failed``, ``host_rate`` and ``kept``.
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, with_text: bool = True) -> DataFrame:
+    """``docs`` with the statistics, ``base_failed``, ``host_rate`` and ``kept``; columns of these names are replaced.
 
     A null text has no words and fails; a null host is never rejected as one; an empty table
     stays empty; repeated rows count and are judged each. Only hosts that are rejected, or few,
     are joined back; texts are not shuffled unless there are more hosts than may be broadcast.
+    ``with_text=False`` leaves the text out, and then every text is read once instead of twice.
     """
-    hosts = settle(host_verdicts(with_text_stats(docs.select(text, host), text).select(host, "base_failed"), host, max_rate=max_rate))
-    judged = with_text_stats(docs.drop("host_rate", "kept"), text).withColumn("__w_host", null_safe(host))
+    docs = docs.drop("host_rate", "kept")
+    if with_text:
+        judged, seen = with_text_stats(docs, text), with_text_stats(docs.select(text, host), text)
+    else:
+        judged = seen = settle(with_text_stats(docs, text).drop(text))
+    hosts = settle(host_verdicts(seen.select(host, "base_failed"), host, max_rate=max_rate))
+    judged = judged.withColumn("__w_host", null_safe(host))
     out = joined_by(judged, hosts.select(F.col("host_key").alias("__w_host"), "host_rate", F.col("host_rejected").alias("__w_rejected")), ["__w_host"], hosts.count())
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("__w_rejected", F.lit(False))).drop("__w_host", "__w_rejected")

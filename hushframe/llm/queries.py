@@ -24,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     return found.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 

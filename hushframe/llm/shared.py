@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows (some tens of bytes each) may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows from which on a join key is heavy.
+HEAVY_ROWS = 1000
+#: The same for a side whose bytes were summed.
+BROADCAST_BYTES = 32 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return own or f"{spark.conf.get('spark.sql.warehouse.dir')}/steps"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends here.
+    """``df`` written to the shared folder and read back, so that its lineage ends here."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is used.
+
+def dealt(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, bucketed by ``by``, and read back: groups and joins by it need no shuffle.
+
+    The name in the catalogue goes at once; the files stay as long as the folder does.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    name = f"dealt_{uuid.uuid4().hex}"
+    writer = df.repartition(parts, by).write.format("parquet").option("compression", "zstd").bucketBy(parts, by).sortBy(by)
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    back = spark.table(name)
+    back.schema  # the files are known from here on
+    spark.sql(f"DROP TABLE {name}")
+    return back
+
+
+def sampled_texts(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """Distinct texts of about ``n`` rows, chosen by a hash of the text: a bounded sample, the same on every run."""
+    total = docs.count()
+    most = (1 << 63) - 1 if total <= n else (1 << 63) * n // total
+    return docs.select(text).where(F.col(text).isNotNull() & (F.shiftrightunsigned(F.xxhash64(text), 1) <= most)).distinct()
 
 
 def first_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The ``n`` rows of ``df(column)`` that come first by a hash of it: a bounded sample, gathered as each task's own first n."""
-    rows = df.select(column).orderBy(F.xxhash64(column), column).limit(n).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(column).schema)
+    """The ``n`` distinct values of ``df(column)`` that come first by a hash of them; ``df`` comes from a bounded sample."""
+    return df.select(column).distinct().orderBy(F.xxhash64(column), column).limit(n)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -57,33 +82,41 @@ def ranked(df: DataFrame, key: str) -> DataFrame:
     return parts.withColumn("rank", place + offset).drop("_at")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def met_by(df: DataFrame, small: DataFrame, on: str, total: int) -> DataFrame:
+    """``df`` inner-joined with ``small(on, n, ...)``, one row per key, where ``n`` is about how many of df's ``total`` rows have the key.
+
+    Keys with many rows are few (a share of ``total`` each, so never more than may be broadcast)
+    and go to where the rows are; the rest is a sort-merge join without a heavy key.
+    """
+    heavy = max(HEAVY_ROWS, 2 * total // BROADCAST_ROWS)
+    hot, rest = small.where(F.col("n") > heavy).drop("n"), small.where(F.col("n") <= heavy).drop("n")
+    light = df.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.hint("merge"), on)
+    return df.join(F.broadcast(hot), on).unionByName(light)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, label)``, label the smallest node reachable.
 
     Alternates large-star and small-star rewiring (each a grouped minimum and a join on small
-    rows), so the rounds grow with the logarithm of the longest chain and no link, component or
-    label leaves the executors. A star's hub may hold many rows: its minimum is pre-aggregated
-    before the shuffle and the join is one that adaptive execution splits.
+    rows) until nothing changes, so the rounds grow with the logarithm of the longest chain and
+    no link, component or label leaves the executors. A hub's minimum is pre-aggregated before
+    the shuffle, and its rows are not gathered for the join.
     """
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    n, same = edges.count(), False
+    while n and not same:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = met_by(both.where("b > a"), low, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower.hint("merge"), "a")
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = met_by(large, lower, "a", n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower.select("a", "m")).distinct()
         small = settle(small)
         # A round that changes nothing ends it: every node then hangs on its smallest one.
-        same = small.count() == edges.count() and small.join(edges.hint("merge"), ["a", "b"], "left_anti").isEmpty()
-        edges = small
-        if same:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        now = small.count()
+        same = now == n and small.join(edges.hint("merge"), ["a", "b"], "left_anti").isEmpty()
+        edges, n = small, now
     hubs = edges.groupBy(F.col("b").alias("node")).agg(F.min("b").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(hubs)
 

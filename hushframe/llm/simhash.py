@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import slices, texts
-from .shared import components, settle
+from .shared import components, met_by, settle
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 SEGMENT_BITS = 32
@@ -41,9 +41,10 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(doc_id, fp long)``; nothing is shuffled."""
-    schema = T.StructType([docs.schema[doc_id], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__w_fp`` (long) in place of the text; nothing is shuffled."""
+    kept = [f for f in docs.schema if f.name != text]
+    names = [*[f.name for f in kept], "__w_fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,9 +52,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 data, offsets = texts(part.column(text))
                 raw = data.tobytes()
                 found = [fingerprint(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(doc_id), pa.array(found, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(found, pa.int64())], names=names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("__w_fp", T.LongType())]))
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -71,6 +72,17 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def labelled(rows: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """``rows(__w_fp, ...)`` with ``__w_least``, the smallest ``least`` of all rows that links lead to."""
+    # All copies of a fingerprint are one node, pre-aggregated before the shuffle.
+    nodes = settle(rows.groupBy(F.col("__w_fp").alias("fp")).agg(F.min(least).alias("least"), F.count("*").alias("n")))
+    labels = components(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    nodes = settle(nodes.join(labels.hint("merge"), "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label")))
+    by_label = settle(nodes.groupBy("label").agg(F.min("least").alias("__w_least"), F.count("*").alias("n")))
+    named = met_by(nodes.select("fp", "label", F.col("n").alias("rows")), by_label, "label", nodes.count())
+    return met_by(rows, settle(named.select(F.col("fp").alias("__w_fp"), F.col("rows").alias("n"), "__w_least")), "__w_fp", rows.count())
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
@@ -79,22 +91,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     each; a null doc_id belongs to its component but never names it unless all its members are
     null. An empty table gives none.
     """
-    rows = settle(fingerprints(docs, doc_id, text))
-    # All copies of a fingerprint are one node, pre-aggregated before the shuffle.
-    nodes = settle(rows.groupBy("fp").agg(F.min(doc_id).alias("least")))
-    labels = components(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(labels.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "label").join(least.hint("merge"), "label").select("fp", "component_id")
-    return rows.join(named.hint("merge"), "fp").select(F.col(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = settle(fingerprints(docs.select(doc_id, text), text))
+    out = labelled(rows, F.col(doc_id), max_bits)
+    return out.select(F.col(doc_id), F.lower(F.lpad(F.hex("__w_fp"), 16, "0")).alias("fingerprint"), F.col("__w_least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the one of smallest doc_id.
+    """``docs`` with one row of each near-duplicate component: that of the smallest doc_id.
 
-    Of equal rows one stays. Rows without a doc_id go where their component has one with it,
-    and else stay: nothing tells which of them is first.
+    Rows without a doc_id come after all others; of rows that share their doc_id the one whose
+    columns hash smallest stays, and of rows equal in every column any. Texts are shuffled once,
+    to meet what is known of them; once more only if some rows are equal in every column.
     """
-    named = near_duplicates(docs, doc_id, text, max_bits)
-    keep = named.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__w_keep")).distinct()
-    return docs.join(keep.hint("merge"), docs[doc_id].eqNullSafe(F.col("__w_keep")), "left_semi").dropDuplicates([doc_id, text])
+    whole = F.xxhash64(*[F.col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+    rows = settle(fingerprints(docs.select(doc_id, text, whole.alias("__w_row")), text))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__w_row").alias("row"))
+    keep = settle(labelled(rows, order, max_bits).where(order == F.col("__w_least")).select(F.col(doc_id).alias("__w_id"), F.col("__w_row").alias("__w_hash")))
+    once = keep.distinct()
+    found = docs.join(once.hint("merge"), (whole == F.col("__w_hash")) & docs[doc_id].eqNullSafe(F.col("__w_id")), "left_semi")
+    return found if once.count() == keep.count() else found.dropDuplicates()

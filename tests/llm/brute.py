@@ -88,7 +88,7 @@ def line_key(line: bytes) -> bytes:
 
 
 def lines(rows, min_docs=10):
-    docs = Counter(k for _, t, _ in rows for k in {line_key(x) for x in raw(t).split(b"\n")})
+    docs = Counter(k for k, _ in {(line_key(x), i) for i, t, _ in rows if i is not None for x in raw(t).split(b"\n")})
     out = []
     for i, text, _ in rows:
         own = raw(text).split(b"\n")

@@ -27,6 +27,11 @@ def made_rows():
     rows += [(130, "word " * 400, "s2"), (131, "word " * 90, "s2"), (132, "one two " * 60, "s2"), (133, "one two " * 60 + passage, "s2")]
     rows += [(None, base, "s1"), (None, words(60), "s1"), (140, base, "s1"), (140, base, "s1"), (141, " ".join([passage, words(3000), base]), "big")]
     rows += [(150, f"tail {passage}", "s1"), (151, f"{passage}\0\0\0\0", "s1"), (152, f"{passage}\0\0", "s1")]
+    # Complementary Thue-Morse words, lines and windows: different, though many sums over them agree.
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    tail = words(49)
+    rows += [(160, f"{morse}\n{other}\n{words(30)}", "s1"), (161, f"{morse} {tail}", "s1"), (162, f"{other} {tail}", "s1"), (163, f"x {morse[:40]}", "s1"), (164, f"x {other[:40]}", "s1")]
     return rows
 
 
@@ -69,7 +74,7 @@ def test_hosts_that_always_fail(spark):
 
 def test_decontaminate(spark, docs, rows, empty):
     long = rows[1][1].split()
-    items = [(1, " ".join(long[5:40]).upper()), (2, "One, two; one"), (3, None), (4, "..."), (4, "lamp1 nowhere"), (None, " ".join(long[10:30])), (10, "word " * 13)]
+    items = [(1, " ".join(long[5:40]).upper()), (2, "One, two; one"), (3, None), (4, "..."), (4, "lamp1 nowhere"), (None, " ".join(long[10:30])), (10, "word " * 13), (11, rows[-1][1][2:].translate(str.maketrans("ab", "ba"))), (12, rows[-4][1].split()[0])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = brute.overlap(rows, [("null" if i is None else i, t) for i, t in items if t is not None])
     digest = F.sha2(F.array_join("item_ids", ","), 256)
@@ -81,6 +86,25 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.benchmark_overlap(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_texts_in_small_pieces(rows, monkeypatch):
+    """A text longer than a piece: the same numbers whatever the piece."""
+    import pyarrow as pa
+
+    column = pa.array([t for _, t, _ in rows])
+    whole = quality.text_stats(column)
+    phrases = decontaminate.Phrases(["1"], [rows[1][1]])
+    spans = [x.tolist() for x in decontaminate.find_spans(column, phrases)[1:]]
+    monkeypatch.setattr("hushframe.llm.arrowtext.PIECE_BYTES", 7)
+    assert {k: v.tolist() for k, v in quality.text_stats(column).items()} == {k: v.tolist() for k, v in whole.items()}
+    assert [x.tolist() for x in decontaminate.find_spans(column, phrases)[1:]] == spans
+
+
+def test_repeated_ids_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "same line\nown", "s")] * 12 + [(None, "same line", "s")] * 12 + [(i, "often", "s") for i in range(10)], SCHEMA)
+    found = {(r["doc_id"], r["text"]) for r in linededup.line_dedup(docs).collect()}
+    assert found == {(1, "same line\nown"), (None, "same line"), *((i, "") for i in range(10))}
+
+
 def test_fm_index():
     import numpy as np
 
@@ -98,9 +122,12 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(docs)
     assert set(kept.columns) == set(docs.columns)
-    want = {i for i, _, c in brute.near_duplicates(rows) if i == c and i is not None}
-    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert {i for i, _ in left if i is not None} == want and len(left) == len(set(left))
+    groups = brute.near_duplicates(rows)
+    want = {i for i, _, c in groups if i == c and i is not None}
+    left = [r["doc_id"] for r in kept.collect()]
+    # One row of each group; groups whose rows all lack an id keep one without.
+    apart = {c for _, _, c in brute.near_duplicates([(k, t, s) for k, (_, t, s) in enumerate(rows)])}
+    assert {i for i in left if i is not None} == want and len(left) == len(apart)
 
 
 def test_chains_of_links(spark):
