@@ -6,6 +6,8 @@ patterns are written with the macros below and never with those two escapes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +62,21 @@ def json_quoted(column: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(column.alias("v"))), r'^\{"v":(.*)\}$', 1)
 
 
-def digit_at(digits: Column, place: Column) -> Column:
-    return F.substring(digits, place, 1).cast("int")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: Digits that checksums take by plain arithmetic, which Spark compiles; longer strings are folded.
+PLACES = 19
+
+
+def digits_from_right(digits: Column) -> list[Column]:
+    """The first PLACES digits of a string of digits from its right end; 0 where there is none."""
+    n = F.char_length(digits)
+    low = F.coalesce(F.right(digits, F.lit(9)).try_cast("long"), F.lit(0).cast("long"))
+    high = F.coalesce(F.substr(digits, F.lit(1), F.greatest(n - 9, F.lit(0))).try_cast("long"), F.lit(0).cast("long"))
+    return [(F.floor(half / F.lit(10**k)) % 10).cast("int") for half, most in ((low, 9), (high, PLACES - 9)) for k in range(most)]
 
 
 def luhn_ok(digits: Column) -> Column:
@@ -72,8 +87,12 @@ def luhn_ok(digits: Column) -> Column:
         own = F.substr(digits, n - i, F.lit(1)).cast("int") * (1 + i % 2)
         return own - F.when(own > 9, 9).otherwise(0)
 
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + worth(i))
-    return F.coalesce(F.when(digits.rlike("^[0-9]+$"), total % 10 == 0), F.lit(False))
+    total = F.lit(0)
+    for k, digit in enumerate(digits_from_right(digits)):
+        total = total + (digit * 2 - F.when(digit > 4, 9).otherwise(0) if k % 2 else digit)
+    folded = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + worth(i))
+    short, long = digits.rlike(f"^[0-9]{{1,{PLACES}}}$"), digits.rlike(f"^[0-9]{{{PLACES + 1},}}$")
+    return F.coalesce(F.when(short, total % 10 == 0).when(long, folded % 10 == 0), F.lit(False))
 
 
 def dihedral_product(a: int, b: int) -> int:
@@ -97,12 +116,18 @@ def verhoeff_tables() -> tuple[list[int], list[int]]:
 
 def verhoeff_ok(digits: Column) -> Column:
     """Whether a string of digits passes the dihedral check; anything else does not."""
-    product, power = (lit_array(t) for t in verhoeff_tables())
+    products, powers = verhoeff_tables()
+    product, power = lit_array(products), lit_array(powers)
     n = F.char_length(digits)
 
     def step(acc: Column, i: Column) -> Column:
         placed = F.get(power, i % 8 * 10 + F.substr(digits, n - i, F.lit(1)).cast("int"))
         return F.get(product, acc * 10 + placed)
 
-    check = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step)
-    return F.coalesce(F.when(digits.rlike("^[0-9]+$"), check == 0), F.lit(False))
+    check = F.lit(0)
+    for k, digit in enumerate(digits_from_right(digits)):  # 0 leaves the check as it is
+        placed = F.when(n > k, F.get(lit_array(powers[k % 8 * 10 : k % 8 * 10 + 10]), digit)).otherwise(0)
+        check = F.get(product, check * 10 + placed)
+    folded = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step)
+    short, long = digits.rlike(f"^[0-9]{{1,{PLACES}}}$"), digits.rlike(f"^[0-9]{{{PLACES + 1},}}$")
+    return F.coalesce(F.when(short, check == 0).when(long, folded == 0), F.lit(False))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, so that its lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors and driver share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return own or f"{spark.conf.get('spark.sql.warehouse.dir')}/steps"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    A lost executor takes nothing with it. Only where the setting is absent (tests, one machine)
-    a temporary folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that its lineage ends here. A lost executor takes nothing with it."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +41,25 @@ def decode_anchors(det: DataFrame, images: DataFrame, threshold: float = THRESHO
 
 
 def nms(boxes: DataFrame, iou: float = MAX_IOU) -> DataFrame:
-    """Per image the boxes of best score, without those that overlap a kept one by more than ``iou``."""
+    """Per image the boxes of best score, without those that overlap a kept one by more than ``iou``.
 
-    def suppress(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "x", "y"], ascending=[False, True, True], kind="stable")
-        x, y, w, h = (group[c].to_numpy(float) for c in ("x", "y", "w", "h"))
-        left = np.ones(len(group), bool)
-        for k in range(len(group)):
-            if left[k]:
-                across = np.clip(np.minimum(x[k] + w[k], x + w) - np.maximum(x[k], x), 0, None)
-                down = np.clip(np.minimum(y[k] + h[k], y + h) - np.maximum(y[k], y), 0, None)
-                both = across * down
-                union = w[k] * h[k] + w * h - both
-                near = np.divide(both, union, out=np.zeros_like(both), where=union > 0) > iou
-                left[k + 1 :] &= ~near[k + 1 :]
-        return group[left]
+    Boxes of equal score go in the order of ``x, y`` and, if there, ``box_id``. One walk over
+    each image's boxes, best first, against those kept so far.
+    """
+    order = [(-F.col("score")).alias("_best"), *[F.col(c).alias(f"_{c}") for c in ("x", "y", "box_id") if c in boxes.columns]]
+    own = F.struct(*[c for c in boxes.columns if c != "image_id"])
+    best = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*order, own.alias("box")))).alias("_all"))
+    kept_type = boxes.drop("image_id").schema.simpleString()
+
+    def overlaps(a: Column, b: Column) -> Column:
+        side = lambda p, size: F.greatest(F.lit(0.0), F.least(a[p] + a[size], b[p] + b[size]) - F.greatest(a[p], b[p]))
+        both = side("x", "w") * side("y", "h")
+        union = a["w"] * a["h"] + b["w"] * b["h"] - both
+        return (union > 0) & (both > iou * union)
 
-    return boxes.groupBy("image_id").applyInPandas(suppress, boxes.schema)
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x["box"])), kept).otherwise(F.concat(kept, F.array(x["box"])))
+    left = best.select("image_id", F.explode(F.aggregate("_all", F.array().cast(f"array<{kept_type}>"), step)).alias("_b"))
+    return left.select(*[F.col(c) if c == "image_id" else F.col(f"_b.{c}").alias(c) for c in boxes.columns])
 
 
 def overlap_area(a: str = "", b: str = "b_") -> Column:
@@ -67,9 +67,19 @@ def overlap_area(a: str = "", b: str = "b_") -> Column:
     return span("x", "w") * span("y", "h")
 
 
-def box_iou(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of boxes of one image with ``iou``; columns of ``b`` get the prefix ``b_``."""
-    pairs = a.join(b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on]), on)
+def box_iou(a: DataFrame, b: DataFrame, on: list[str], below: str | None = None, apart: bool = True) -> DataFrame:
+    """Pairs of boxes of one image with ``iou``; columns of ``b`` get the prefix ``b_``.
+
+    ``below`` names a column by which only pairs in ascending order are made, each once;
+    ``apart=False`` leaves out pairs that do not overlap, before anything is built of them.
+    """
+    other = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
+    pairs = a.join(other.hint("merge"), on)
+    if below is not None:
+        pairs = pairs.where(F.col(below) < F.col(f"b_{below}"))
+    if not apart:
+        crossing = lambda p, size: (F.col(p) < F.col(f"b_{p}") + F.col(f"b_{size}")) & (F.col(f"b_{p}") < F.col(p) + F.col(size))
+        pairs = pairs.where(crossing("x", "w") & crossing("y", "h"))
     union = F.col("w") * F.col("h") + F.col("b_w") * F.col("b_h") - overlap_area()
     return pairs.withColumn("iou", F.when(union > 0, overlap_area() / union).otherwise(F.lit(0.0)))
 
@@ -95,7 +105,7 @@ def occlusion(candidates: DataFrame, bounds: DataFrame, width: float, height: fl
     on_screen = F.col("_cx").between(0, width) & F.col("_cy").between(0, height)
     tops = bounds.select("page_id", F.col("node_id").alias("top"), F.col("ancestors").alias("top_ancestors"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"), "paint_order")
     inside = F.col("_cx").between(F.col("bx"), F.col("bx") + F.col("bw")) & F.col("_cy").between(F.col("by"), F.col("by") + F.col("bh"))
-    hit = at.where(on_screen).select("page_id", "node_id", "_cx", "_cy").join(tops, "page_id").where(inside)
+    hit = at.where(on_screen).select("page_id", "node_id", "_cx", "_cy").join(tops.hint("merge"), "page_id").where(inside)
     top = hit.groupBy("page_id", "node_id").agg(F.max_by(F.struct("top", "top_ancestors"), "paint_order").alias("t"))
     hidden = top.where((F.col("t.top") != F.col("node_id")) & ~F.array_contains("t.top_ancestors", F.col("node_id")))
     return candidates.join(hidden.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")

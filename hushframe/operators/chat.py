@@ -79,11 +79,14 @@ def merge_same_role(conversations: DataFrame) -> DataFrame:
 def pair_tool_results(results: DataFrame, calls: DataFrame) -> DataFrame:
     """``results(conv_id, call_id, ...)`` with ``name`` of the call that they answer, or ``unknown``."""
     known = calls.select("conv_id", "call_id", "name").dropDuplicates(["conv_id", "call_id"])
-    return results.join(known, ["conv_id", "call_id"], "left").withColumn("name", F.coalesce("name", F.lit("unknown")))
+    return results.join(known.hint("merge"), ["conv_id", "call_id"], "left").withColumn("name", F.coalesce("name", F.lit("unknown")))
 
 
 #: What a call may carry, as its JSON has it; numbers come as doubles, so that 2.5 is not taken for an id.
-PAYLOAD = "action string, elementId double, text string, keys string, direction string, code string, seconds double, op string, tabId double, url string"
+PAYLOAD = (
+    "action string, elementId double, text string, keys string, direction string, code string, seconds double, op string, tabId double, url string, "
+    "button string, clicks double, newTab boolean, clear boolean, pressEnter boolean, amount double, isSensitive boolean, expectKind string"
+)
 
 
 def checked_actions(df: DataFrame, payload: str) -> DataFrame:
@@ -106,6 +109,8 @@ def checked_actions(df: DataFrame, payload: str) -> DataFrame:
         .when((action == "tab") & F.col("call.op").isin("switch", "close") & ~F.coalesce(whole("tabId"), F.lit(False)), F.concat(F.lit("tab "), F.col("call.op"), F.lit(" needs tabId")))
     )
     cut = F.when(action == "wait", F.col("call").withField("seconds", F.least("call.seconds", F.lit(float(MAX_WAIT))))).otherwise(F.col("call"))
+    for field in ("elementId", "tabId", "clicks", "amount"):  # a number that is not whole counts as none
+        cut = cut.withField(field, F.when(whole(field), F.col(f"call.{field}")))
     return rows.withColumns({"error": error, "call": cut})
 
 

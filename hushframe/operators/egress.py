@@ -16,9 +16,12 @@ from ..functions.expressions import human_bytes
 JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
 #: Long base64 runs are images, not prose.
 OPAQUE = "^[A-Za-z0-9+/=]{200,}$"
-NOT_JSON = "Request body is not JSON and cannot be inspected."
-FOUND = "Unredacted personal data found in the request body."
-NO_HOST = "Unparseable URL."
+#: Between values where they are searched together: no identifier goes on over it.
+APART = "\u0000"
+NOT_JSON = "The body is no JSON: it was refused uninspected."
+FOUND = "Personal data stands open in the body."
+NO_HOST = "The address names no host."
+STRANGER = " is a host that nobody has allowed."
 
 
 def _no_constant(name: str):
@@ -52,9 +55,9 @@ def json_strings(requests: DataFrame) -> DataFrame:
 
 
 def kinds_in(body: Column) -> Column:
-    """Sorted distinct kinds of the identifiers in a body's string values."""
-    found = F.transform(string_values(body), lambda v: F.transform(without_overlaps(all_detected(v, DETECTORS)), lambda s: s["kind"]))
-    return F.array_sort(F.array_distinct(F.flatten(found)))
+    """Sorted distinct kinds of the identifiers in a body's string values, which are searched as one text."""
+    found = without_overlaps(all_detected(F.array_join(string_values(body), APART), DETECTORS))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda s: s["kind"])))
 
 
 def body_kinds(found: DataFrame) -> DataFrame:
@@ -64,15 +67,21 @@ def body_kinds(found: DataFrame) -> DataFrame:
 
 def inspect_body(requests: DataFrame) -> DataFrame:
     """``request_id, ok, reason, kinds``."""
-    rows = requests.withColumns({"_json": strict_json("body"), "_kinds": kinds_in(F.col("body"))})
+    rows = requests.withColumn("_json", strict_json("body")).withColumn("_kinds", kinds_in(F.when(F.col("_json"), F.col("body"))))
     held = F.coalesce(F.size("_kinds") > 0, F.lit(True))
     reason = F.when(~F.col("_json"), F.lit(NOT_JSON)).when(held, F.lit(FOUND))
     return rows.select("request_id", reason.isNull().alias("ok"), reason.alias("reason"), F.when(F.col("_json") & held, F.col("_kinds")).alias("kinds"))
 
 
+#: Hosts that may be broadcast; a longer list is joined by a shuffle.
+BROADCAST_HOSTS = 10_000
+
+
 def allowed_hosts(requests: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``requests`` with ``host_allowed``; ``hosts(host)`` is a short configured list."""
-    return requests.join(F.broadcast(hosts.select("host").distinct().withColumn("host_allowed", F.lit(True))), "host", "left").withColumn("host_allowed", F.coalesce("host_allowed", F.lit(False)))
+    """``requests`` with ``host_allowed``; ``hosts(host)`` is a configured list, broadcast if its counted rows are few."""
+    listed = hosts.select("host").distinct().withColumn("host_allowed", F.lit(True))
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    return requests.join(F.broadcast(listed) if few else listed.hint("merge"), "host", "left").withColumn("host_allowed", F.coalesce("host_allowed", F.lit(False)))
 
 
 def egress_verdict(requests: DataFrame, hosts: DataFrame, own_host: str | None = None) -> DataFrame:
@@ -87,15 +96,17 @@ def egress_verdict(requests: DataFrame, hosts: DataFrame, own_host: str | None =
     port = F.regexp_extract("url", r"^[^/]+//[^/?#]*?(:\d+)(?:[/?#]|$)", 1)
     rows = requests.withColumns({"_scheme": scheme, "host": F.concat(host, port)})
     rows = allowed_hosts(rows, hosts)
-    rows = rows.withColumns({"_json": strict_json("body"), "_kinds": kinds_in(F.col("body"))})
     local = F.col("_scheme").isin("data", "blob") | (F.col("host").eqNullSafe(F.lit(own_host)) if own_host else F.lit(False))
     empty = F.coalesce(F.col("body"), F.lit("")) == ""
+    # Only what an allowed host would get is parsed and searched.
+    rows = rows.withColumn("_sent", F.when(F.col("host_allowed") & ~F.coalesce(local, F.lit(False)), F.col("body")))
+    rows = rows.withColumn("_json", strict_json("_sent")).withColumn("_kinds", kinds_in(F.when(F.col("_json"), F.col("_sent"))))
     held = F.coalesce(F.size("_kinds") > 0, F.lit(True))
     reason = (
         F.when(F.col("_scheme").isin("data", "blob"), F.lit(None).cast("string"))
         .when(F.col("url").isNull() | F.col("host").isNull(), F.lit(NO_HOST))
         .when(local, F.lit(None).cast("string"))
-        .when(~F.col("host_allowed"), F.concat("host", F.lit(" is not a configured provider.")))
+        .when(~F.col("host_allowed"), F.concat("host", F.lit(STRANGER)))
         .when(empty, F.lit(None).cast("string"))
         .when(~F.col("_json"), F.lit(NOT_JSON))
         .when(held, F.lit(FOUND))

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.detectors import DETECTORS, all_detected
 from ..functions.expressions import EDGE
 
 #: Autocomplete tokens and the kind that each declares.
 AUTOCOMPLETE = {
-    "password": "current-password new-password",
+    "current-password": "password",
+    "new-password": "password",
     "one-time-code": "one-time-code",
     "cc-number": "cc-number",
     "cc-csc": "cc-csc",
-    "cc-exp": "cc-exp cc-exp-month cc-exp-year",
-    "name": "cc-name name given-name family-name additional-name",
+    "cc-exp": "cc-exp",
+    "cc-exp-month": "cc-exp",
+    "cc-exp-year": "cc-exp",
+    "cc-name": "name",
+    "name": "name",
+    "given-name": "name",
+    "family-name": "name",
+    "additional-name": "name",
     "email": "email",
-    "tel": "tel tel-national tel-local",
-    "street-address": "street-address address-line1 address-line2",
+    "tel": "tel",
+    "tel-national": "tel",
+    "tel-local": "tel",
+    "street-address": "street-address",
+    "address-line1": "street-address",
+    "address-line2": "street-address",
     "postal-code": "postal-code",
-    "bday": "bday bday-day bday-month bday-year",
+    "bday": "bday",
+    "bday-day": "bday",
+    "bday-month": "bday",
+    "bday-year": "bday",
 }
 #: Words of labels and the kind that each suggests; the first that matches wins.
 LABEL_WORDS = [
@@ -62,8 +78,7 @@ def label_kind(words: Column) -> Column:
 
 def autocomplete_kind(value: Column) -> Column:
     """The kind of the last token that is known, or null."""
-    pairs = [(token, kind) for kind, tokens in AUTOCOMPLETE.items() for token in tokens.split()]
-    known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in AUTOCOMPLETE.items() for x in pair])
     tokens = F.split(F.trim(F.lower(value)), r"\s+")
     kinds = F.filter(F.transform(tokens, lambda t: F.try_element_at(known, t)), lambda k: k.isNotNull())
     return F.try_element_at(kinds, F.lit(-1))
@@ -109,7 +124,20 @@ def fields_to_mask(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("sensitive").isNotNull() & filled).select("page_id", "node_id", F.col("sensitive").alias("kind"), "bounds")
 
 
-def classify_columns(df: DataFrame) -> DataFrame:
-    """``column, kind`` of the columns of any table whose names suggest personal data; a name's own prefix is no hindrance."""
-    names = df.sparkSession.createDataFrame([(f.name,) for f in df.schema], "column string")
-    return classify_label(names, "column").where(F.col("kind").isNotNull()).select("column", "kind")
+def classify_columns(df: DataFrame, share: float = 0.5) -> DataFrame:
+    """``column, by_name, by_value, n_values, n_found``: what each column's name suggests, and what its values hold.
+
+    ``by_value`` is the kind of identifier in the largest part of a column's non-null values, if
+    that is at least ``share`` of them; ties go to the kind that detectors name first. Columns
+    are read as strings, all in one pass, and counted before anything is shuffled.
+    """
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    value = F.col("_c.value")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in plain])).alias("_c"))
+    held = F.array_distinct(F.transform(all_detected(value, DETECTORS), lambda s: s["kind"]))
+    counts = cells.select("_c.column", value.isNotNull().alias("there"), held.alias("kinds"))
+    kinds = dict.fromkeys(d.kind for d in DETECTORS)
+    found = counts.groupBy("column").agg(F.count_if("there").alias("n_values"), *[F.count_if(F.array_contains("kinds", k)).alias(f"_{i}") for i, k in enumerate(kinds)])
+    most = F.greatest(*[F.col(f"_{i}") for i in range(len(kinds))])
+    first = F.coalesce(*[F.when(F.col(f"_{i}") == most, k) for i, k in enumerate(kinds)])
+    return classify_label(found, "column").select("column", F.col("kind").alias("by_name"), F.when((most > 0) & (most >= share * F.col("n_values")), first).alias("by_value"), "n_values", most.alias("n_found"))

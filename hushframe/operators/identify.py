@@ -14,14 +14,14 @@ def keys_of(key: str | list[str]) -> list[str]:
 
 
 def exploded(df: DataFrame, key: str | list[str], spans: Column) -> DataFrame:
+    """One row per span. An outer explode, as the optimizer would work the spans out twice to filter before an inner one."""
     keys = keys_of(key)
-    return df.select(*keys, F.explode(spans).alias("_s")).select(*keys, "_s.start", "_s.end", "_s.text", "_s.kind")
+    return df.select(*keys, F.explode_outer(spans).alias("_s")).where(F.col("_s").isNotNull()).select(*keys, "_s.start", "_s.end", "_s.text", "_s.kind")
 
 
 def detect(df: DataFrame, key: str | list[str], text: str, kind: str) -> DataFrame:
     """``key, start, end, text, kind`` of one detector. Null texts have no findings."""
-    which = detector(kind)
-    return exploded(df.where(F.col(text).rlike(which.pattern)), key, detected(F.col(text), which))
+    return exploded(df, key, detected(F.col(text), detector(kind)))
 
 
 def span_positions(df: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -34,7 +34,7 @@ def resolve_overlaps(df: DataFrame, spans: str = "spans") -> DataFrame:
 
 
 def with_spans(df: DataFrame, text: str, detectors: list[Detector] | None = None, name: str = "spans") -> DataFrame:
-    """``df`` with the resolved spans of all detectors; the cheap gate decides which rows try them."""
+    """``df`` with the resolved spans of all detectors, each tried on texts that hold its hint."""
     return df.withColumn(name, without_overlaps(all_detected(F.col(text), detectors or DETECTORS)))
 
 
@@ -66,10 +66,12 @@ def cap_per_group(df: DataFrame, by: list[str], order: list[Column | str], n: in
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def find_in_pages(text_nodes: DataFrame, cap: int = 200) -> DataFrame:
-    """Findings in a page's text nodes, the first ``cap`` of each page."""
-    found = find_identifiers(text_nodes, ["page_id", "node_id", "pos"], "text")
-    return cap_per_group(found, ["page_id"], ["pos", "start"], cap).select("page_id", "node_id", "start", "end", "kind")
+def find_in_pages(text_nodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """``page_id, node_id, nth, start, end, kind`` of the findings in a page's text nodes; with ``cap`` the first so many of each page."""
+    found = find_identifiers(text_nodes, ["page_id", "node_id", "nth"], "text")
+    if cap is not None:
+        found = cap_per_group(found, ["page_id"], ["node_id", "nth", "start"], cap)
+    return found.select("page_id", "node_id", "nth", "start", "end", "kind")
 
 
 def leak_check(df: DataFrame, key: str | list[str], text: str) -> DataFrame:

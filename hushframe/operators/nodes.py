@@ -12,13 +12,26 @@ from .fields import field_kind
 
 #: Vocabulary of roles, tags and attributes.
 INTERACTIVE_ROLES = (
-    "button link checkbox radio textbox combobox listbox menuitem menuitemcheckbox menuitemradio option tab treeitem "
-    "slider spinbutton searchbox switch gridcell columnheader rowheader tooltip tree tabpanel progressbar scrollbar"
-).split()
-INTERACTIVE_TAGS = "a button input select textarea option summary menu menuitem embed canvas object".split()
-STRONG_TAGS = "a button input select textarea summary option".split()
-STRUCTURAL_TAGS = "nav header footer main section article form ul ol li aside dialog fieldset details table thead tbody tfoot tr".split()
-WIDGET_ATTRIBUTES = "aria-checked aria-expanded aria-pressed aria-selected aria-required aria-haspopup aria-keyshortcuts aria-autocomplete".split()
+    "button", "link", "checkbox", "radio", "textbox", "combobox", "listbox", "menuitem",
+    "menuitemcheckbox", "menuitemradio", "option", "tab", "treeitem", "slider", "spinbutton", "searchbox",
+    "switch", "gridcell", "columnheader", "rowheader", "tooltip", "tree", "tabpanel", "progressbar",
+    "scrollbar",
+)
+INTERACTIVE_TAGS = (
+    "a", "button", "input", "select", "textarea", "option", "summary", "menu",
+    "menuitem", "embed", "canvas", "object",
+)
+STRONG_TAGS = (
+    "a", "button", "input", "select", "textarea", "summary", "option",
+)
+STRUCTURAL_TAGS = (
+    "nav", "header", "footer", "main", "section", "article", "form", "ul",
+    "ol", "li", "aside", "dialog", "fieldset", "details", "table", "thead",
+    "tbody", "tfoot", "tr",
+)
+WIDGET_ATTRIBUTES = (
+    "aria-checked", "aria-expanded", "aria-pressed", "aria-selected", "aria-required", "aria-haspopup", "aria-keyshortcuts", "aria-autocomplete",
+)
 SEARCH_WORDS = "search|magnify|glass|lookup|find|query"
 INPUT_ROLES = {"checkbox": "checkbox", "radio": "radio", "range": "slider", "number": "spinbutton", "search": "searchbox", "submit": "button", "button": "button", "reset": "button", "image": "button"}
 TAG_ROLES = {"button": "button", "textarea": "textbox", "option": "option", "summary": "button", "progress": "progressbar", "dialog": "dialog", "form": "form", "nav": "navigation", "main": "main"}
@@ -106,7 +119,7 @@ def node_search_hint(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("search_hint", search_hint())
 
 
-def _role_or_tag(tags: list[str]) -> Column:
+def _role_or_tag(tags: tuple[str, ...]) -> Column:
     return F.col("tag").isin(*tags) | is_one_of(F.col("role"), INTERACTIVE_ROLES)
 
 
@@ -134,9 +147,9 @@ def node_visible(nodes: DataFrame) -> DataFrame:
     opacity = F.coalesce(F.regexp_extract(style, r"(?:^|;)\s*opacity\s*:\s*([0-9.]+)", 1).try_cast("double"), F.lit(1.0))
     own = nodes.select("page_id", "node_id", opacity.alias("opacity")).where(F.col("opacity") < 1)
     chain = nodes.select("page_id", "node_id", F.explode(F.concat(F.array("node_id"), "ancestors")).alias("of"))
-    dim = chain.join(own.withColumnRenamed("node_id", "of"), ["page_id", "of"]).groupBy("page_id", "node_id").agg(F.product("opacity").alias("shown")).where(F.col("shown") <= 0.01)
+    dim = chain.join(own.withColumnRenamed("node_id", "of").hint("merge"), ["page_id", "of"]).groupBy("page_id", "node_id").agg(F.product("opacity").alias("shown")).where(F.col("shown") <= 0.01)
     hidden = F.coalesce(attr("aria-hidden") == "true", F.lit(False)) | style.rlike(r"display\s*:\s*none") | style.rlike(r"visibility\s*:\s*hidden")
-    return nodes.where(~hidden).join(dim.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+    return nodes.where(~hidden).join(dim.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
 
 
 def near_viewport(width: float, height: float, margin: float = MARGIN, min_size: float = MIN_SIZE) -> Column:
@@ -156,18 +169,18 @@ def node_scrollable(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     boxes = metrics.where(over("overflow_y", "scroll_height", "client_height") | over("overflow_x", "scroll_width", "client_width")).select("page_id", F.col("node_id").alias("of"))
     boxes = boxes.join(nodes.where(F.col("tag").isin("html", "body")).select("page_id", F.col("node_id").alias("of")), ["page_id", "of"], "left_anti")
     chain = nodes.select("page_id", "node_id", F.explode(F.concat(F.array("node_id"), "ancestors")).alias("of"))
-    hit = chain.join(boxes, ["page_id", "of"], "left_semi").select("page_id", "node_id").distinct().withColumn("scrollable", F.lit(True))
-    return nodes.join(hit, ["page_id", "node_id"], "left").withColumn("scrollable", F.coalesce("scrollable", F.lit(False)))
+    hit = chain.join(boxes.hint("merge"), ["page_id", "of"], "left_semi").select("page_id", "node_id").distinct().withColumn("scrollable", F.lit(True))
+    return nodes.join(hit.hint("merge"), ["page_id", "node_id"], "left").withColumn("scrollable", F.coalesce("scrollable", F.lit(False)))
 
 
 def label_for(nodes: DataFrame) -> DataFrame:
     """``page_id, node_id, label``: the label that names a node's id, else the one that holds the node."""
     labels = nodes.where((F.col("tag") == "label") & filled(F.col("inline_text")).isNotNull())
     by_id = labels.where(has_attr("for")).groupBy("page_id", attr("for").alias("_id")).agg(F.min_by(squash(F.col("inline_text")), "pos").alias("label"), F.lit(0).alias("_way"))
-    named = nodes.where(has_attr("id")).select("page_id", "node_id", attr("id").alias("_id")).join(by_id, ["page_id", "_id"]).select("page_id", "node_id", "label", "_way")
+    named = nodes.where(has_attr("id")).select("page_id", "node_id", attr("id").alias("_id")).join(by_id.hint("merge"), ["page_id", "_id"]).select("page_id", "node_id", "label", "_way")
     above = nodes.select("page_id", "node_id", F.posexplode("ancestors").alias("_way", "_of"))
     held = labels.select("page_id", F.col("node_id").alias("_of"), squash(F.col("inline_text")).alias("label"))
-    wrapped = above.join(held, ["page_id", "_of"]).select("page_id", "node_id", "label", (F.col("_way") + 1).alias("_way"))
+    wrapped = above.join(held.hint("merge"), ["page_id", "_of"]).select("page_id", "node_id", "label", (F.col("_way") + 1).alias("_way"))
     return named.union(wrapped).groupBy("page_id", "node_id").agg(F.min_by("label", "_way").alias("label"))
 
 
@@ -176,15 +189,21 @@ def labelled_by(nodes: DataFrame) -> DataFrame:
     listed = nodes.where(has_attr("aria-labelledby")).select("page_id", "node_id", F.posexplode(F.split(squash(attr("aria-labelledby")), " ")).alias("nth", "_id"))
     text = squash(F.coalesce(F.nullif("inline_text", F.lit("")), "desc_text"))
     targets = nodes.where(has_attr("id")).groupBy("page_id", attr("id").alias("_id")).agg(F.min_by(text, "pos").alias("t"))
-    parts = listed.join(targets.where(F.col("t") != ""), ["page_id", "_id"]).groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("nth", "t"))).alias("parts"))
+    parts = listed.join(targets.where(F.col("t") != "").hint("merge"), ["page_id", "_id"]).groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("nth", "t"))).alias("parts"))
     return parts.select("page_id", "node_id", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("label"))
 
 
-def node_name(nodes: DataFrame, limit: int = NAME_CHARS) -> DataFrame:
-    """Adds ``name``, the accessible name, by precedence of its sources."""
+def container_labels(nodes: DataFrame) -> DataFrame:
+    """Adds ``label``, what a container is called: the texts that it refers to, else its own label; null if neither."""
+    rows = nodes.join(labelled_by(nodes).withColumnRenamed("label", "_referred").hint("merge"), ["page_id", "node_id"], "left")
+    return rows.withColumn("label", F.coalesce(filled(F.col("_referred")), filled(attr("aria-label")))).drop("_referred")
+
+
+def node_name(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``name``, the accessible name, by precedence of its sources; whole, so that redaction comes before any cut."""
     by_reference = labelled_by(nodes).withColumnRenamed("label", "_referred")
     by_label = label_for(nodes).withColumnRenamed("label", "_label")
-    rows = nodes.join(by_reference, ["page_id", "node_id"], "left").join(by_label, ["page_id", "node_id"], "left")
+    rows = nodes.join(by_reference.hint("merge"), ["page_id", "node_id"], "left").join(by_label.hint("merge"), ["page_id", "node_id"], "left")
     tag, kind = F.col("tag"), input_type()
     name = F.coalesce(
         filled(F.col("_referred")),
@@ -199,23 +218,23 @@ def node_name(nodes: DataFrame, limit: int = NAME_CHARS) -> DataFrame:
         filled(attr("name")),
         F.lit(""),
     )
-    return rows.withColumn("name", truncated(name, limit)).drop("_referred", "_label")
+    return rows.withColumn("name", truncated(name, limit) if limit else name).drop("_referred", "_label")
 
 
 def node_value(nodes: DataFrame) -> DataFrame:
     """Adds ``value``: what an input, text area or list holds now; empty for boxes and buttons."""
-    options = nodes.where(F.col("tag") == "option").select("page_id", F.explode("ancestors").alias("node_id"), "pos", has_attr("selected").alias("_on"), squash(F.col("own_text")).alias("_text"))
+    options = nodes.where(F.col("tag") == "option").select("page_id", F.explode("ancestors").alias("node_id"), "pos", has_attr("selected").alias("_on"), squash(F.array_join("own_texts", "")).alias("_text"))
     chosen = options.groupBy("page_id", "node_id").agg(F.max_by("_text", F.struct("_on", (-F.col("pos")).alias("first"))).alias("_chosen"))
-    rows = nodes.join(chosen, ["page_id", "node_id"], "left")
+    rows = nodes.join(chosen.hint("merge"), ["page_id", "node_id"], "left")
     typed = F.when(is_one_of(input_type(), NO_VALUE), "").otherwise(squash(F.coalesce(attr("value"), F.lit(""))))
-    value = F.when(F.col("tag") == "input", typed).when(F.col("tag") == "textarea", squash(F.col("own_text"))).when(F.col("tag") == "select", F.coalesce("_chosen", F.lit(""))).otherwise("")
+    value = F.when(F.col("tag") == "input", typed).when(F.col("tag") == "textarea", squash(F.array_join("own_texts", ""))).when(F.col("tag") == "select", F.coalesce("_chosen", F.lit(""))).otherwise("")
     return rows.withColumn("value", value).drop("_chosen")
 
 
 def node_sensitive(nodes: DataFrame) -> DataFrame:
     """Adds ``sensitive``: the kind that the node's declaration gives."""
     label = label_for(nodes).withColumnRenamed("label", "_label")
-    rows = nodes.join(label, ["page_id", "node_id"], "left")
+    rows = nodes.join(label.hint("merge"), ["page_id", "node_id"], "left")
     words = F.concat_ws(" ", attr("aria-label"), attr("name"), attr("placeholder"), attr("id"), F.when(F.col("tag").isin("input", "textarea"), F.col("_label")))
     kind = field_kind(F.col("tag"), attr("type"), attr("autocomplete"), attr("role"), _editable(), words)
     return rows.withColumn("sensitive", kind).drop("_label")
@@ -254,14 +273,14 @@ def name_dominance(candidates: DataFrame) -> DataFrame:
     named = candidates.where(F.coalesce(F.col("name"), F.lit("")) != "")
     above = named.select("page_id", F.col("node_id").alias("_of"), "name", F.col("strong").alias("_strong"))
     below = named.select("page_id", "node_id", "name", "strong", F.explode("ancestors").alias("_of"))
-    gone = below.join(above, ["page_id", "_of", "name"]).where(F.col("_strong") | ~F.col("strong")).select("page_id", "node_id").distinct()
-    return candidates.join(gone, ["page_id", "node_id"], "left_anti")
+    gone = below.join(above.hint("merge"), ["page_id", "_of", "name"]).where(F.col("_strong") | ~F.col("strong")).select("page_id", "node_id").distinct()
+    return candidates.join(gone.hint("merge"), ["page_id", "node_id"], "left_anti")
 
 
 def nearest_kept_ancestor(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """``page_id, node_id, ancestor``: the nearest of ``kept`` above each node."""
     chain = nodes.select("page_id", "node_id", F.posexplode("ancestors").alias("_far", "_of"))
-    met = chain.join(kept.select("page_id", F.col("node_id").alias("_of")), ["page_id", "_of"])
+    met = chain.join(kept.select("page_id", F.col("node_id").alias("_of")).hint("merge"), ["page_id", "_of"])
     return met.groupBy("page_id", "node_id").agg(F.min_by("_of", "_far").alias("ancestor"))
 
 
@@ -297,19 +316,19 @@ def collapse_wrappers(candidates: DataFrame) -> DataFrame:
 
 def structural_containers(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Nodes of structural tags that stand above a kept node and are not kept themselves."""
-    above = nodes.join(kept.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").select("page_id", F.explode("ancestors").alias("node_id")).distinct()
-    found = nodes.where(F.col("tag").isin(*STRUCTURAL_TAGS)).join(above, ["page_id", "node_id"], "left_semi")
-    return found.join(kept.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+    above = nodes.join(kept.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi").select("page_id", F.explode("ancestors").alias("node_id")).distinct()
+    found = nodes.where(F.col("tag").isin(*STRUCTURAL_TAGS)).join(above.hint("merge"), ["page_id", "node_id"], "left_semi")
+    return found.join(kept.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
 
 
 def attach_parents(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Kept nodes and their containers with ``parent``, the nearest of both above (null at the root), and ``level``."""
     kept = materialized(kept.select("page_id", "node_id"))
     shown = materialized(kept.union(structural_containers(nodes, kept).select("page_id", "node_id")).distinct())
-    rows = nodes.join(shown, ["page_id", "node_id"], "left_semi")
+    rows = nodes.join(shown.hint("merge"), ["page_id", "node_id"], "left_semi")
     chain = rows.select("page_id", "node_id", F.posexplode("ancestors").alias("_far", "_of"))
-    met = chain.join(shown.withColumnRenamed("node_id", "_of"), ["page_id", "_of"]).groupBy("page_id", "node_id").agg(F.min_by("_of", "_far").alias("parent"), F.count("*").alias("level"))
-    return rows.join(met, ["page_id", "node_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)).cast("int"))
+    met = chain.join(shown.withColumnRenamed("node_id", "_of").hint("merge"), ["page_id", "_of"]).groupBy("page_id", "node_id").agg(F.min_by("_of", "_far").alias("parent"), F.count("*").alias("level"))
+    return rows.join(met.hint("merge"), ["page_id", "node_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)).cast("int"))
 
 
 def document_order(df: DataFrame) -> DataFrame:
@@ -328,7 +347,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """Visible interactive nodes with role, strength and name; nameless weak ones are layout. Written once, as later steps join it with itself."""
     rows = node_strong_signal(node_interactive(node_role(node_visible(nodes)))).where("interactive")
     named = node_name(nodes).select("page_id", "node_id", "name")
-    return materialized(rows.join(named, ["page_id", "node_id"]).where(F.col("strong") | (F.col("name") != "")))
+    return materialized(rows.join(named.hint("merge"), ["page_id", "node_id"]).where(F.col("strong") | (F.col("name") != "")))
 
 
 def scan_funnel(nodes: DataFrame) -> DataFrame:
@@ -347,8 +366,8 @@ def without_weak_inside(kept: DataFrame) -> DataFrame:
     rows = node_link_or_button(node_strong_element(kept))
     near = nearest_kept_ancestor(rows, kept)
     outer = rows.select("page_id", F.col("node_id").alias("ancestor"), F.col("link_or_button").alias("_link"))
-    gone = rows.where(~F.col("strong_element")).join(near, ["page_id", "node_id"]).join(outer, ["page_id", "ancestor"]).where("_link")
-    return rows.join(gone.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+    gone = rows.where(~F.col("strong_element")).join(near.hint("merge"), ["page_id", "node_id"]).join(outer.hint("merge"), ["page_id", "ancestor"]).where("_link")
+    return rows.join(gone.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
 
 
 def page_scan_report(pages: DataFrame, elements: DataFrame, regions: DataFrame, frames: DataFrame) -> DataFrame:
@@ -362,39 +381,51 @@ def page_scan_report(pages: DataFrame, elements: DataFrame, regions: DataFrame,
 
 def latest_scan(elements: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Rows of the newest scan of each page."""
-    newest = F.max("scan_id").over(Window.partitionBy(*by))
-    return elements.withColumn("_newest", newest).where(F.col("scan_id") == F.col("_newest")).drop("_newest")
+    newest = elements.groupBy(*by).agg(F.max("scan_id").alias("scan_id"))
+    return elements.join(newest.hint("shuffle_hash"), [*by, "scan_id"], "left_semi")
 
 
 def stale_action_ids(actions: DataFrame, elements: DataFrame) -> DataFrame:
     """Actions whose element the latest scan of their page lacks."""
     current = latest_scan(elements).select("page_id", "element_id").distinct()
-    return actions.join(current, ["page_id", "element_id"], "left_anti")
+    return actions.join(current.hint("merge"), ["page_id", "element_id"], "left_anti")
 
 
-MAX_DEPTH, MAX_FRAMES, MAX_PER_FRAME, MIN_FRAME = 5, 100, 60, 50
+#: Fixed value: frames smaller than this show nothing.
+MIN_FRAME = 50
 
 
-def inline_frames(elements: DataFrame, frames: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def inline_frames(elements: DataFrame, frames: DataFrame, max_depth: int | None = None, max_frames: int | None = None, max_elements: int | None = None) -> DataFrame:
     """Elements of embedded pages in the coordinates of the page that embeds them, clipped to the frame.
 
     ``elements(page_id, element_id, name, x, y, width, height)`` gains ``tag`` (``f1-``, ``f1-2-``
     by level) and ``top_id``; ``frames(page_id, pos, child_page_id, x, y, width, height,
-    border_left, border_top)``. One join per level, until nothing is embedded or ``max_depth``.
+    border_left, border_top)``. One join per level, until nothing is embedded any more. A page
+    that stands above itself is not embedded again, as in browsers. The three numbers limit
+    levels, frames of a page and elements of an embedded page only where they are given.
     """
-    order = Window.partitionBy("page_id").orderBy("pos")
-    usable = frames.where((F.col("width") >= MIN_FRAME) & (F.col("height") >= MIN_FRAME)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MAX_FRAMES)
-    usable = usable.select(F.col("page_id").alias("_host"), F.col("child_page_id").alias("page_id"), "nth", F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("width").alias("fw"), F.col("height").alias("fh"), "border_left", "border_top")
-    capped = elements.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("element_id"))).where(F.col("_n") <= MAX_PER_FRAME).drop("_n")
-    own = elements.withColumns({"tag": F.lit(""), "depth": F.lit(0), "top_id": F.col("page_id")})
-    level = capped.withColumns({"tag": F.lit(""), "depth": F.lit(0)})
-    out = own
-    for depth in range(1, max_depth + 1):
-        met = level.join(usable, "page_id")
-        left, top = F.greatest(F.col("fx") + F.col("border_left") + F.col("x"), F.col("fx")), F.greatest(F.col("fy") + F.col("border_top") + F.col("y"), F.col("fy"))
-        right = F.least(F.col("fx") + F.col("border_left") + F.col("x") + F.col("width"), F.col("fx") + F.col("fw"))
-        bottom = F.least(F.col("fy") + F.col("border_top") + F.col("y") + F.col("height"), F.col("fy") + F.col("fh"))
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    usable = frames.where((F.col("width") >= MIN_FRAME) & (F.col("height") >= MIN_FRAME)).withColumn("nth", nth)
+    usable = usable if max_frames is None else usable.where(F.col("nth") <= max_frames)
+    host = {"page_id": "host", "nth": "nth", "x": "fx", "y": "fy", "width": "fw", "height": "fh", "border_left": "border_left", "border_top": "border_top"}
+    usable = materialized(usable.select(F.col("child_page_id").alias("page_id"), *[F.col(c).alias(f"_{n}") for c, n in host.items()]))
+    inner = elements
+    if max_elements is not None:
+        inner = inner.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("element_id"))).where(F.col("_n") <= max_elements).drop("_n")
+    out = elements.withColumns({"tag": F.lit(""), "depth": F.lit(0), "top_id": F.col("page_id")})
+    level = inner.withColumns({"tag": F.lit(""), "depth": F.lit(0), "_within": F.array("page_id")})
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        met = level.join(usable.hint("merge"), "page_id").where(~F.array_contains("_within", F.col("_host")))
+        left, top = F.greatest(F.col("_fx") + F.col("_border_left") + F.col("x"), F.col("_fx")), F.greatest(F.col("_fy") + F.col("_border_top") + F.col("y"), F.col("_fy"))
+        right = F.least(F.col("_fx") + F.col("_border_left") + F.col("x") + F.col("width"), F.col("_fx") + F.col("_fw"))
+        bottom = F.least(F.col("_fy") + F.col("_border_top") + F.col("y") + F.col("height"), F.col("_fy") + F.col("_fh"))
         moved = met.withColumns({"_l": left, "_t": top, "_r": right, "_b": bottom}).where((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")))
-        level = moved.select(F.col("_host").alias("page_id"), "element_id", "name", F.col("_l").alias("x"), F.col("_t").alias("y"), (F.col("_r") - F.col("_l")).alias("width"), (F.col("_b") - F.col("_t")).alias("height"), F.concat(F.lit("f"), F.col("nth").cast("string"), F.lit("-"), F.col("tag")).alias("tag"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level.withColumn("top_id", F.col("page_id")))
+        tag = F.concat(F.lit("f"), F.col("_nth").cast("string"), F.lit("-"), F.col("tag"))
+        boxed = moved.select(F.col("_host").alias("page_id"), "element_id", "name", F.col("_l").alias("x"), F.col("_t").alias("y"), (F.col("_r") - F.col("_l")).alias("width"), (F.col("_b") - F.col("_t")).alias("height"), tag.alias("tag"), F.lit(depth).alias("depth"), F.concat("_within", F.array("_host")).alias("_within"))
+        level = materialized(boxed)
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.drop("_within").withColumn("top_id", F.col("page_id")))
     return out

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialized
+
 
 def spans_intersect(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of spans of one text that share a character; columns of ``b`` get the prefix ``b_``."""
     other = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
-    return a.join(other, on).where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
+    return a.join(other.hint("merge"), on).where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
 
 
 def boxes_intersect(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of boxes of one image that share area; columns of ``b`` get the prefix ``b_``."""
     other = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
     apart = lambda p, size: (F.col(p) < F.col(f"b_{p}") + F.col(f"b_{size}")) & (F.col(f"b_{p}") < F.col(p) + F.col(size))
-    return a.join(other, on).where(apart("x", "w") & apart("y", "h"))
+    return a.join(other.hint("merge"), on).where(apart("x", "w") & apart("y", "h"))
 
 
 def covered_truth(found: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
     """``truth`` with ``covered``: whether any finding overlaps it."""
     key = [*on, "start", "end"]
     hit = spans_intersect(truth.select(*key), found.select(*key), on).select(*key).distinct().withColumn("covered", F.lit(True))
-    return truth.join(hit, key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    return truth.join(hit.hint("merge"), key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
 def score_detection(found: DataFrame, truth: DataFrame, on: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -33,11 +35,12 @@ def score_detection(found: DataFrame, truth: DataFrame, on: tuple[str, ...] = ("
     overlap a true identifier among all findings.
     """
     on = list(on)
+    found = materialized(found.select(*on, "start", "end"))  # read three times
     judged = covered_truth(found, truth, on)
     real = F.col("decoy_reason").isNull()
     true_spans = truth.where(real).select(*on, "start", "end")
     right = spans_intersect(found.select(*on, "start", "end"), true_spans, on).select(*on, "start", "end").distinct()
-    shown = found.select(*on, "start", "end").distinct().join(right.withColumn("right", F.lit(True)), [*on, "start", "end"], "left").agg(F.count("*").alias("shown"), F.count("right").alias("right"))
+    shown = found.select(*on, "start", "end").distinct().join(right.withColumn("right", F.lit(True)).hint("merge"), [*on, "start", "end"], "left").agg(F.count("*").alias("shown"), F.count("right").alias("right"))
     sums = judged.agg(F.count_if(real).alias("identifiers"), F.count_if(real & F.col("covered")).alias("hit"), F.count_if(~real).alias("decoys"), F.count_if(~real & F.col("covered")).alias("decoys_covered"))
     ratio = lambda a, b: F.when(b > 0, a / b)
     both = sums.withColumn("_one", F.lit(1)).join(shown.withColumn("_one", F.lit(1)), "_one")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.detectors import spliced
-from .identify import find_identifiers, keys_of
-from .redact import redact_handles
+from ..functions.detectors import pattern_matches, spliced
+from ..functions.materialize import materialized
+from .identify import keys_of, with_spans
+from .redact import with_handles
 
+#: What a handle looks like, and one of a session, whose tag may be left out.
 HANDLE = r"\[redacted:([a-z-]+)#([a-z0-9-]+)\]"
 SESSION_HANDLE = r"\[redacted:([a-z-]+)#s?([0-9]+)\]"
 #: Generations for which a value that is no longer seen still resolves.
@@ -32,10 +34,10 @@ def vault_mint(found: DataFrame, vault: DataFrame, scope: str, order: list[str],
     """
     seen = found.groupBy(F.col(scope).cast("string").alias("scope"), "kind", F.col("text").alias("value")).agg(F.min(F.struct(*order)).alias("at"))
     last = vault.groupBy("scope").agg(F.max("n").alias("last"))
-    fresh = seen.join(vault, ["scope", "kind", "value"], "left_anti").join(last, "scope", "left")
+    fresh = seen.join(vault.hint("merge"), ["scope", "kind", "value"], "left_anti").join(last.hint("merge"), "scope", "left")
     n = F.row_number().over(Window.partitionBy("scope").orderBy("at", "kind", "value")) + F.coalesce("last", F.lit(0))
     minted = fresh.withColumn("n", n.cast("long")).select("scope", F.concat("kind", F.lit(f"#{tag}"), F.col("n").cast("string")).alias("handle"), "kind", "value", "n", F.lit(gen).cast("long").alias("seen_gen"))
-    again = vault.join(seen.select("scope", "kind", "value", F.lit(True).alias("_seen")), ["scope", "kind", "value"], "left")
+    again = vault.join(seen.select("scope", "kind", "value", F.lit(True).alias("_seen")).hint("merge"), ["scope", "kind", "value"], "left")
     kept = again.select("scope", "handle", "kind", "value", "n", F.when(F.col("_seen"), F.lit(gen).cast("long")).otherwise(F.col("seen_gen")).alias("seen_gen"))
     return kept.unionByName(minted)
 
@@ -51,34 +53,37 @@ def vault_expiry(vault: DataFrame, gen: int, grace: int = GRACE) -> DataFrame:
 
 
 def redact_conversations(conversations: DataFrame) -> DataFrame:
-    """Each conversation redacted with a vault of its own, values numbered by turn and place."""
+    """Each conversation redacted with a vault of its own, values numbered by turn and place.
+
+    Spans are found once and written; numbers and texts both follow from them.
+    """
     key = ["conv_id", "turn"]
-    found = find_identifiers(conversations, key, "text")
+    rows = materialized(with_spans(conversations.select(*key, "role", "text"), "text", name="_spans"))
+    found = rows.select(*key, F.explode("_spans").alias("s")).select(*key, "s.start", "s.kind", "s.text")
     vault = handle_numbering(found, "conv_id", ["turn", "start"], tag="s").withColumnRenamed("conv_id", "scope")
-    out = redact_handles(conversations, key, "text", vault, "conv_id")
-    return conversations.select("conv_id", "turn", "role").join(out.select(*key, "text"), key).select("conv_id", "turn", "role", "text")
+    return with_handles(rows, [*key, "role"], "text", vault, "conv_id").select(*key, "role", "text")
+
+
+TOKEN = "struct<nth:int,start:int,end:int,kind:string,number:string,token:string>"
 
 
 def _tokens(text: Column, pattern: str) -> Column:
     """Handles in a text with their places: kind, id, start, end."""
-    gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda acc, x: acc + F.char_length(x))
 
-    def token(match: Column, i: Column) -> Column:
-        start = length(gaps, i + 1) + length(whole, i)
-        return F.struct(i.alias("nth"), start.alias("start"), (start + F.char_length(match)).alias("end"), F.regexp_extract(match, pattern, 1).alias("kind"), F.regexp_extract(match, pattern, 2).alias("number"), match.alias("token"))
+    def token(match: Column, start: Column, nth: Column) -> Column:
+        return F.struct(nth.alias("nth"), start.alias("start"), (start + F.char_length(match)).alias("end"), F.regexp_extract(match, pattern, 1).alias("kind"), F.regexp_extract(match, pattern, 2).alias("number"), match.alias("token"))
 
-    return F.transform(whole, token)
+    return F.when(F.contains(text, F.lit("[redacted:")), pattern_matches(text, pattern, token, TOKEN))
 
 
 def _expanded(df: DataFrame, keys: list[str], text: str, pattern: str, vault: DataFrame, scope: str, tag: str) -> DataFrame:
     """``df`` with ``_tokens``: each handle of the text with the vault's entry, in order."""
-    rows = df.select(*dict.fromkeys([*keys, scope]), F.explode(_tokens(F.col(text), pattern)).alias("t"))
+    rows = df.select(*dict.fromkeys([*keys, scope]), F.explode_outer(_tokens(F.col(text), pattern)).alias("t")).where(F.col("t").isNotNull())
     rows = rows.withColumn("handle", F.concat("t.kind", F.lit(f"#{tag}"), "t.number"))
     entries = vault.select(F.col("scope").alias(scope), "handle", F.struct("kind", "value", "seen_gen").alias("entry"))
-    met = rows.join(entries, [scope, "handle"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t.nth", "t.start", "t.end", "t.token", "entry"))).alias("_tokens"))
+    met = rows.join(entries.hint("merge"), [scope, "handle"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t.nth", "t.start", "t.end", "t.token", "entry"))).alias("_tokens"))
     empty = F.array().cast("array<struct<nth:int,start:int,end:int,token:string,entry:struct<kind:string,value:string,seen_gen:bigint>>>")
-    return df.join(met, keys, "left").withColumn("_tokens", F.coalesce("_tokens", empty))
+    return df.join(met.hint("merge"), keys, "left").withColumn("_tokens", F.coalesce("_tokens", empty))
 
 
 def rehydrate(df: DataFrame, key: str | list[str], text: str, target_kind: str, vault: DataFrame, gen: int, scope: str = "scope", grace: int = GRACE) -> DataFrame:

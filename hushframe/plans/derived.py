@@ -41,7 +41,7 @@ DERIVED: dict[str, tuple[str, str]] = {
     "chunks": (
         "conversations",
         "conv_id as request_id, turn as seq, case turn % 3 when 0 then 'call' when 1 then 'content' else 'reasoning' end as channel, case when turn % 3 = 0 then cast(turn % 2 as int) end as idx, "
-        "case when turn = 0 then 'id-' || cast(conv_id as string) end as id, case when turn % 3 = 0 then 'tool' || cast(turn % 2 as string) end as name, substring(text, 1, 12) as args_fragment",
+        "case when turn = 0 then 'id-' || cast(conv_id as string) end as id, case when turn % 3 = 0 then 'tool' || cast(turn % 2 as string) end as name, text as args_fragment",
     ),
     "finishes": (
         "conversations",
@@ -63,7 +63,7 @@ DERIVED: dict[str, tuple[str, str]] = {
     "images": ("orders", "cast(o_orderkey as bigint) as image_id, cast(320 as bigint) as width, cast(240 as bigint) as height, cast(1 + o_orderkey % 2 as double) as dpr"),
     "anchors": (
         "lineitem",
-        "cast(l_orderkey as bigint) as image_id, 16 as stride, cast(l_partkey % 400 as int) as i, cast(l_partkey % 101 as double) / 100 as cls, cast(l_suppkey % 90 as double) / 80 as obj, cast(l_suppkey % 10 as double) / 10 as dx, cast(l_partkey % 10 as double) / 10 as dy, cast(l_partkey % 7 as double) / 4 as lw, cast(l_suppkey % 5 as double) / 4 as lh",
+        "cast(l_orderkey as bigint) as image_id, 16 as stride, cast(l_partkey % 400 as int) as i, cast(l_partkey % 101 as double) / 100 as cls, cast(l_suppkey * 37 % 90 as double) / 80 as obj, cast(l_suppkey % 10 as double) / 10 as dx, cast(l_partkey % 10 as double) / 10 as dy, cast(l_partkey % 7 as double) / 4 as lw, cast(l_suppkey % 5 as double) / 4 as lh",
     ),
     "field_rows": (
         "part",
@@ -91,10 +91,13 @@ PIECES = f"""conv_id as request_id, turn * {TURN_PLACES} + piece as seq, case tu
 _COUNT = f"cast(greatest(1, ceil(coalesce(length(text), 0) / {PIECE_CHARS}.0)) as bigint)"
 
 
+def piece_rows(conversations: DataFrame) -> DataFrame:
+    return conversations.selectExpr("conv_id", "turn", "text", f"explode(sequence(cast(0 as bigint), {_COUNT} - 1)) as piece")
+
+
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of every turn's text, cut into fragments whose ``seq`` follows from turn and piece; a turn without text is one fragment."""
-    cut = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "text", f"explode(sequence(cast(0 as bigint), {_COUNT} - 1)) as piece")
-    return cut.selectExpr(*split_columns(PIECES))
+    return piece_rows(table(spark, sf_dir, "conversations")).selectExpr(*split_columns(PIECES))
 
 
 def pieces_sql() -> str:

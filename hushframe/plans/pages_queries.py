@@ -13,22 +13,10 @@ from ..sources.tables import src_pages as read_pages
 from ..sources.tables import src_text as read_text
 from ..sources.tables import src_truth as read_truth
 from ..sources.tables import table
-from . import sql
+from . import markup, sql
+from .markup import FORMED, with_forms
 from .registry import query
 
-#: Pages with a form before the article's end, made from each page's own number.
-FORM = (
-    "'<form id=\"f' || cast(page_id as string) || '\"><label for=\"mail\">E mail</label><input id=\"mail\" type=\"email\" value=\"user' || cast(page_id as string) || '@example.com\"><input type=\"checkbox\" checked aria-label=\"Agree\"><div onclick=\"go()\"><a href=\"/p' || cast(page_id as string) || '\"><span tabindex=\"0\">Go on</span></a></div>"
-    "<iframe src=\"https://ads.example.com/a?b=1\"></iframe><button aria-expanded=\"false\" disabled>Send now</button><span data-pii=\"email\">user' || cast(page_id as string) || '@example.com</span><em data-decoy=\"price\">450</em></form>'"
-)
-
-
-def with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, sf_dir).selectExpr("page_id", "url", f"replace(html, '</body>', {FORM} || '</body>') as html")
-
-
-_FORMED = f"(SELECT page_id, url, replace(html, '</body>', {FORM} || '</body>') AS html FROM pages)"
-
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of all pages, parsed once however many joins read them."""
@@ -51,12 +39,15 @@ def src_text(spark, sf_dir):
     return read_text(spark, sf_dir, "documents", "doc_id")
 
 
-@query(f"SELECT page_id, 'email' AS kind, NULL AS decoy, 'user' || CAST(page_id AS VARCHAR) || '@example.com' AS text FROM {_FORMED} WHERE contains(html, 'data-pii') UNION ALL SELECT page_id, NULL, 'price', '450' FROM {_FORMED} WHERE contains(html, 'data-decoy')")
+@query(f"SELECT page_id, 'email' AS kind, NULL AS decoy, 'user' || CAST(page_id AS VARCHAR) || '@example.com' AS text FROM {FORMED} WHERE contains(html, 'data-pii') UNION ALL SELECT page_id, NULL, 'price', '450' FROM {FORMED} WHERE contains(html, 'data-decoy')")
 def src_truth(spark, sf_dir):
     return read_truth(with_forms(spark, sf_dir))
 
 
-@query(f"SELECT page_id, url, {sql.squash('regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1)')} AS title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
+_TITLE = sql.squash("regexp_extract(html, $$(?is)<title[^>]*>(.*?)</title>$$, 1)")
+
+
+@query(f"SELECT page_id, url, {_TITLE} AS title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
 def page_header(spark, sf_dir):
     return source.page_header(read_pages(spark, sf_dir))
 
@@ -78,26 +69,28 @@ def internal_url(spark, sf_dir):
     return nodes.internal_url(pages)
 
 
-@query(
-    """SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<(a|p|li|ul|nav|h1|article|footer|div)[ >]', 1)) AS tag FROM pages) GROUP BY page_id, tag"""
-)
+@query(f"SELECT page_id, node_id, tag FROM {markup.NODES}")
 def page_nodes(spark, sf_dir):
-    """Node counts per tag, which markup alone tells."""
-    rows = source.page_nodes(read_pages(spark, sf_dir)).where(F.col("tag").isin("a", "p", "li", "ul", "nav", "h1", "article", "footer", "div"))
-    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return source.page_nodes(with_forms(spark, sf_dir)).select("page_id", F.col("node_id").cast("long").alias("node_id"), "tag")
+
+
+@query(f"SELECT page_id, node_id AS pos, tag FROM {markup.NODES}")
+def document_order(spark, sf_dir):
+    return nodes.document_order(page_rows(spark, sf_dir)).select("page_id", F.col("pos").cast("long").alias("pos"), "tag")
 
 
-@query()
+@query(f"SELECT page_id, text FROM {markup.TEXTS}")
 def page_text_nodes(spark, sf_dir):
-    return source.page_text_nodes(page_rows(spark, sf_dir))
+    return source.page_text_nodes(page_rows(spark, sf_dir)).select("page_id", "text")
 
 
-@query()
+@query(f"{sql.found_ctes(markup.TEXTS, 'page_id, k', 'text')} SELECT page_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", kind FROM found")
 def find_in_pages(spark, sf_dir):
-    return identify.find_in_pages(source.page_text_nodes(page_rows(spark, sf_dir)))
+    found = identify.find_in_pages(source.page_text_nodes(page_rows(spark, sf_dir)))
+    return found.select("page_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind")
 
 
-@query(f"SELECT page_id, 'https://ads.example.com/a?b=1' AS src, 'ads.example.com' AS label FROM {_FORMED} WHERE contains(html, '<iframe')")
+@query(f"SELECT page_id, 'https://ads.example.com/a?b=1' AS src, 'ads.example.com' AS label FROM {FORMED} WHERE contains(html, '<iframe')")
 def page_frames(spark, sf_dir):
     return source.page_frames(page_rows(spark, sf_dir)).select("page_id", "src", "label")
 
@@ -108,7 +101,7 @@ def _flag(name: str, function, column: str):
         return function(rows).groupBy("page_id", "tag", column).agg(F.count("*").alias("n"))
 
     run.__name__ = name
-    query()(run)
+    query(f"SELECT page_id, tag, {markup.FLAGS[column]} AS {column}, count(*) AS n FROM {markup.NODES} GROUP BY ALL")(run)
 
 
 for _name, _function, _column in (
@@ -123,24 +116,91 @@ for _name, _function, _column in (
     _flag(_name, _function, _column)
 
 
-@query()
+def _long_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("node_id", F.col("node_id").cast("long"))
+
+
+@query(f"SELECT page_id, node_id, tag, {markup.ROLE} AS role FROM {markup.NODES}")
 def node_role(spark, sf_dir):
-    return nodes.node_role(page_rows(spark, sf_dir)).select("page_id", "node_id", "tag", "role")
+    return _long_id(nodes.node_role(page_rows(spark, sf_dir))).select("page_id", "node_id", "tag", "role")
 
 
-@query()
+@query(f"SELECT page_id, role, count(*) AS elements FROM (SELECT page_id, {markup.ROLE} AS role FROM {markup.NODES}) WHERE role <> '' GROUP BY ALL")
 def role_counts(spark, sf_dir):
     return nodes.role_counts(nodes.node_role(page_rows(spark, sf_dir)).where("role <> ''"))
 
 
-@query()
+@query(f"SELECT page_id, node_id, tag FROM {markup.NODES} WHERE {markup.VISIBLE}")
 def node_visible(spark, sf_dir):
-    return nodes.node_visible(page_rows(spark, sf_dir)).select("page_id", "node_id", "tag")
+    return _long_id(nodes.node_visible(page_rows(spark, sf_dir))).select("page_id", "node_id", "tag")
+
 
+_BOX = "CAST(node_id % 7 * 20 - 60 AS DOUBLE) AS x, CAST(node_id * 11 - 40 AS DOUBLE) AS y, CAST(5 + page_id % 9 * 3 AS DOUBLE) AS width, CAST(8 + node_id % 5 AS DOUBLE) AS height, CASE WHEN node_id % 10 = 0 THEN 'fixed' ELSE 'static' END AS position"
 
-@query()
+
+def _boxed(rows: DataFrame) -> DataFrame:
+    """Bounds that follow from each node's place: a rendered crawl would bring them."""
+    return rows.selectExpr("page_id", "node_id", *_split(_BOX))
+
+
+def _split(columns: str) -> list[str]:
+    return [c.strip() for c in columns.split(", CA")[:1]] + [f"CA{c.strip()}" for c in columns.split(", CA")[1:]]
+
+
+@query(
+    f"""SELECT page_id, node_id, tag FROM (SELECT page_id, node_id, tag, {_BOX} FROM {markup.NODES}) WHERE width >= 10 AND height >= 10
+    AND (position = 'fixed' OR (y + height > -200 AND x + width > -200 AND y < 300 + 200 AND x < 100 + 200))"""
+)
+def node_near_viewport(spark, sf_dir):
+    rows = _long_id(page_rows(spark, sf_dir)).select("page_id", "node_id", "tag")
+    return nodes.node_near_viewport(rows, _boxed(rows), 100, 300).select("page_id", "node_id", "tag")
+
+
+@query(
+    f"""WITH n AS (SELECT *, max(CASE WHEN tag = 'nav' THEN node_id END) OVER (PARTITION BY page_id ORDER BY node_id) AS nav, max(CASE WHEN tag IN ('div', 'article') THEN node_id END) OVER (PARTITION BY page_id ORDER BY node_id) AS past FROM {markup.NODES})
+    SELECT page_id, node_id, tag FROM n WHERE page_id % 2 = 0 AND nav IS NOT NULL AND past IS NULL"""
+)
+def node_scrollable(spark, sf_dir):
+    """Navigation bars that have more content than they show, on every other page."""
+    rows = page_rows(spark, sf_dir)
+    metrics = rows.where("tag in ('nav', 'body')").select("page_id", "node_id", F.lit("auto").alias("overflow_y"), F.lit("visible").alias("overflow_x"), F.when(F.col("page_id") % 2 == 0, 500).otherwise(101).alias("scroll_height"), F.lit(100).alias("client_height"), F.lit(50).alias("scroll_width"), F.lit(50).alias("client_width"))
+    return _long_id(nodes.node_scrollable(rows, metrics).where("scrollable")).select("page_id", "node_id", "tag")
+
+
+@query(f"SELECT page_id, node_id, tag, name FROM {markup.NAMED} WHERE tag <> 'div'")
 def node_name(spark, sf_dir):
-    return redact.redact_names(nodes.node_name(page_rows(spark, sf_dir))).select("page_id", "node_id", "tag", "name")
+    """Names of controls."""
+    named = redact.redact_names(nodes.node_name(page_rows(spark, sf_dir)))
+    return _long_id(named.where(F.col("tag").isin("input", "button", "a", "select", "textarea", "option"))).select("page_id", "node_id", "tag", "name")
+
+
+_LONG_NAME = "repeat('word ', CAST(page_id % 25 AS INT)) || 'to user' || CAST(page_id AS VARCHAR) || '@example.com at last'"
+_MASKED_NAME = "repeat('word ', CAST(page_id % 25 AS INT)) || 'to [redacted:email] at last'"
+
+
+def _cut(text: str, limit: int) -> str:
+    return f"CASE WHEN length({text}) > {limit} THEN substr({text}, 1, {limit - 1}) || '…' ELSE {text} END"
+
+
+def _long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every length, with an address that cutting first would cut through."""
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "repeat('word ', cast(page_id % 25 as int)) || 'to user' || cast(page_id as string) || '@example.com at last' as name")
+
+
+@query(f"SELECT page_id, {_cut(_MASKED_NAME, 80)} AS name FROM pages")
+def redact_names(spark, sf_dir):
+    return redact.redact_names(_long_names(spark, sf_dir))
+
+
+@query(f"SELECT page_id, node_id, 'Mail [redacted:email] now' AS label FROM {markup.NODES} WHERE tag = 'section'")
+def redact_container_labels(spark, sf_dir):
+    rows = nodes.container_labels(page_rows(spark, sf_dir)).where(F.col("tag").isin(*nodes.STRUCTURAL_TAGS) & F.col("label").isNotNull())
+    return _long_id(redact.redact_container_labels(rows)).select("page_id", "node_id", "label")
+
+
+@query(f"SELECT page_id, node_id, CASE WHEN tag = 'input' THEN 'user' || CAST(page_id AS VARCHAR) || '@example.com' WHEN tag = 'textarea' THEN 'call 9876543210' ELSE 'Two' END AS value FROM {markup.NODES} WHERE tag IN ('textarea', 'select') OR {markup.value('id')} = 'mail'")
+def node_value(spark, sf_dir):
+    return _long_id(nodes.node_value(page_rows(spark, sf_dir)).where("value <> ''")).select("page_id", "node_id", "value")
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,100 +208,140 @@ def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.node_states(redact.redact_values(rows))
 
 
-@query()
+_VALUE_STATE = f"""CASE WHEN {markup.value('id')} = 'mail' THEN 'value=[redacted:email]' WHEN tag = 'textarea' THEN 'value="call [redacted:tel]"' WHEN tag = 'select' THEN 'value="Two"' ELSE replace({markup.STATES}, ', ', ',') END"""
+
+
+@query(f"SELECT * FROM (SELECT page_id, node_id, tag, {_VALUE_STATE} AS states FROM {markup.NODES}) WHERE states <> ''")
 def node_states(spark, sf_dir):
-    return _valued(spark, sf_dir).where(F.size("states") > 0).select("page_id", "node_id", "tag", F.array_join("states", ",").alias("states"))
+    return _long_id(_valued(spark, sf_dir).where(F.size("states") > 0)).select("page_id", "node_id", "tag", F.array_join("states", ",").alias("states"))
 
 
-@query(f"SELECT page_id, 'email' AS kind, '[redacted:email]' AS value FROM {_FORMED} WHERE contains(html, 'type=\"email\"')")
+@query(f"SELECT page_id, CASE WHEN tag = 'input' THEN 'email' END AS kind, CASE WHEN tag = 'input' THEN '[redacted:email]' WHEN tag = 'textarea' THEN 'call [redacted:tel]' ELSE 'Two' END AS value FROM {markup.NODES} WHERE tag IN ('textarea', 'select') OR {markup.value('id')} = 'mail'")
 def redact_values(spark, sf_dir):
-    return _valued(spark, sf_dir).where("sensitive is not null").select("page_id", F.col("sensitive").alias("kind"), "value")
+    return _valued(spark, sf_dir).where("value <> ''").select("page_id", F.col("sensitive").alias("kind"), "value")
 
 
-@query(f"SELECT page_id, 'email' AS kind, CAST(page_id AS DOUBLE) AS x FROM {_FORMED} WHERE contains(html, 'type=\"email\"')")
+@query(f"SELECT page_id, 'email' AS kind, CAST(page_id AS DOUBLE) AS x FROM {FORMED} WHERE contains(html, 'type=\"email\"')")
 def fields_to_mask(spark, sf_dir):
     rows = _valued(spark, sf_dir).withColumn("bounds", F.struct(F.col("page_id").cast("double").alias("x")))
     return mask_fields(rows).select("page_id", "kind", F.col("bounds.x").alias("x"))
 
 
-@query(f"SELECT page_id, 'email' AS kind, CAST(1 AS BIGINT) AS fields FROM {_FORMED} WHERE contains(html, 'type=\"email\"')")
+@query(f"SELECT page_id, 'email' AS kind, CAST(1 AS BIGINT) AS fields FROM {FORMED} WHERE contains(html, 'type=\"email\"')")
 def classified_counts(spark, sf_dir):
     return nodes.classified_counts(nodes.node_sensitive(page_rows(spark, sf_dir)))
 
 
-@query(f"SELECT page_id, 'E mail' AS label FROM {_FORMED} WHERE contains(html, '<label for')")
+@query(f"SELECT page_id, node_id, 'E mail' AS label FROM {markup.NODES} WHERE {markup.value('id')} = 'mail' AND page_id % 4 <> 3")
 def label_for(spark, sf_dir):
-    return nodes.label_for(page_rows(spark, sf_dir)).select("page_id", "label")
+    return _long_id(nodes.label_for(page_rows(spark, sf_dir))).select("page_id", "node_id", "label")
+
+
+@query(f"SELECT page_id, node_id, 'Beta Alpha' AS label FROM {markup.NODES} WHERE {markup.has('aria-labelledby')}")
+def labelled_by(spark, sf_dir):
+    return _long_id(nodes.labelled_by(page_rows(spark, sf_dir))).select("page_id", "node_id", "label")
 
 
-@query()
+@query(f"SELECT page_id, node_id, tag, left(name, 30) AS name FROM {markup.KEPT}")
 def name_dominance(spark, sf_dir):
-    return nodes.name_dominance(nodes.candidates(page_rows(spark, sf_dir))).select("page_id", "node_id", "tag", "name")
+    kept = redact.redact_names(nodes.name_dominance(nodes.candidates(page_rows(spark, sf_dir))))
+    return _long_id(kept).select("page_id", "node_id", "tag", F.left("name", F.lit(30)).alias("name"))
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT page_id, node_id, tag, attrs, max(CASE WHEN {markup.has('onclick')} THEN node_id END) OVER w AS box, max(CASE WHEN tag = 'select' THEN node_id END) OVER w AS sel FROM {markup.NODES} WINDOW w AS (PARTITION BY page_id ORDER BY node_id))
+    SELECT page_id, node_id, CASE WHEN tag = 'option' THEN sel ELSE box END AS ancestor FROM n WHERE tag = 'option' OR (box IS NOT NULL AND node_id IN (box + 1, box + 2))"""
+)
 def nearest_kept_ancestor(spark, sf_dir):
     rows, kept = kept_nodes(spark, sf_dir)
-    return nodes.nearest_kept_ancestor(rows, kept)
+    return _long_id(nodes.nearest_kept_ancestor(rows, kept)).withColumn("ancestor", F.col("ancestor").cast("long"))
 
 
-@query()
+@query(f"SELECT page_id, node_id, tag FROM {markup.CONTAINERS}")
 def structural_containers(spark, sf_dir):
-    return nodes.structural_containers(*kept_nodes(spark, sf_dir)).select("page_id", "node_id", "tag")
+    return _long_id(nodes.structural_containers(*kept_nodes(spark, sf_dir))).select("page_id", "node_id", "tag")
 
 
-@query()
+@query(f"SELECT page_id, node_id, parent, CAST(level AS BIGINT) AS level FROM {markup.PLACED}")
 def attach_parents(spark, sf_dir):
-    return nodes.attach_parents(*kept_nodes(spark, sf_dir)).select("page_id", "node_id", "parent", "level")
+    placed = nodes.attach_parents(*kept_nodes(spark, sf_dir))
+    return placed.select("page_id", *[F.col(c).cast("long").alias(c) for c in ("node_id", "parent", "level")])
 
 
-@query()
+@query(f"SELECT page_id, node_id, tag FROM {markup.NAMED}")
 def collapse_wrappers(spark, sf_dir):
     """With boxes that follow from each node's place: deeper nodes lie within the ones above."""
     rows = nodes.node_link_or_button(nodes.node_strong_element(nodes.candidates(page_rows(spark, sf_dir))))
     level = F.col("depth").cast("double")
     rows = rows.withColumns({"x": level, "y": level, "width": 200 - 2 * level, "height": 100 - 2 * level})
-    return nodes.collapse_wrappers(rows.select("page_id", "node_id", "ancestors", "pos", "tag", "strong_element", "link_or_button", "x", "y", "width", "height")).select("page_id", "node_id", "tag")
+    return _long_id(nodes.collapse_wrappers(rows.select("page_id", "node_id", "ancestors", "pos", "tag", "strong_element", "link_or_button", "x", "y", "width", "height"))).select("page_id", "node_id", "tag")
 
 
-@query()
+@query(
+    f"""SELECT page_id, count(*) AS visited, count(*) FILTER ({markup.FLAGS['interactive']} AND {markup.VISIBLE}) AS interactive, count(k.node_id) AS after_name, count(k.node_id) AS final
+    FROM {markup.NODES} n LEFT JOIN (SELECT page_id, node_id FROM {markup.KEPT}) k USING (page_id, node_id) GROUP BY page_id"""
+)
 def scan_funnel(spark, sf_dir):
     return nodes.scan_funnel(page_rows(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{sql.found_ctes(markup.TEXTS, 'page_id, k', 'text')} SELECT p.page_id, url, coalesce(n.elements, 0) AS elements, coalesce(f.regions, 0) AS regions, coalesce(n.frames, 0) AS frames, coalesce(n.frames, 0) AS fields FROM pages p
+    LEFT JOIN (SELECT page_id, count(*) FILTER ({markup.FLAGS['interactive']}) AS elements, count(*) FILTER (tag = 'iframe') AS frames FROM {markup.NODES} GROUP BY page_id) n ON p.page_id = n.page_id
+    LEFT JOIN (SELECT page_id, count(*) AS regions FROM found GROUP BY page_id) f ON p.page_id = f.page_id"""
+)
 def page_scan_report(spark, sf_dir):
-    rows = nodes.node_sensitive(nodes.node_role(page_rows(spark, sf_dir)))
+    rows = materialized(nodes.node_sensitive(nodes.node_role(page_rows(spark, sf_dir))))
     found = identify.find_in_pages(source.page_text_nodes(rows))
     return nodes.page_scan_report(read_pages(spark, sf_dir), nodes.node_interactive(rows).where("interactive"), found, source.page_frames(rows))
 
 
-def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, kept = kept_nodes(spark, sf_dir)
     placed = materialized(nodes.attach_parents(rows, kept))
-    shown = nodes.node_role(placed).join(kept.select("page_id", "node_id", F.lit(True).alias("element"), "name"), ["page_id", "node_id"], "left")
-    states = nodes.node_states(nodes.node_sensitive(shown)).withColumns({"element": F.coalesce("element", F.lit(False)), "scrollable": F.lit(False), "name": redact.redacted(F.coalesce("name", F.lit("")))})
-    return outline.page_outline(outline.element_line(states))
+    shown = nodes.node_role(nodes.container_labels(placed)).join(kept.select("page_id", "node_id", F.lit(True).alias("element"), "name").hint("merge"), ["page_id", "node_id"], "left")
+    shown = redact.redact_container_labels(shown).withColumn("element", F.coalesce("element", F.lit(False)))
+    named = redact.redact_names(shown.withColumn("name", F.coalesce("name", F.lit(""))))
+    named = named.withColumns({"name": F.when(F.col("element"), F.col("name")).otherwise(F.coalesce("label", F.lit(""))), "scrollable": F.lit(False)})
+    return outline.element_line(nodes.node_states(nodes.node_sensitive(named)))
+
 
+@query(f"SELECT page_id, node_id, line FROM {markup.LINES}")
+def element_line(spark, sf_dir):
+    return _long_id(_lines(spark, sf_dir)).select("page_id", "node_id", "line")
 
-@query()
+
+@query(f"SELECT page_id, outline FROM {markup.OUTLINES}")
 def page_outline(spark, sf_dir):
-    return _outlined(spark, sf_dir)
+    return outline.page_outline(_lines(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""SELECT p.page_id, 'Page: ' || CAST(to_json({_TITLE}) AS VARCHAR) || ' — ' || url || chr(10) || chr(10) || CASE WHEN coalesce(outline, '') = '' THEN 'The page shows no control.' ELSE '{outline.HEADING}' || chr(10) || outline END AS observation
+    FROM pages p LEFT JOIN {markup.OUTLINES} o ON p.page_id = o.page_id"""
+)
 def page_observation(spark, sf_dir):
-    return outline.page_observation(source.page_header(read_pages(spark, sf_dir)), _outlined(spark, sf_dir), "both")
+    return outline.page_observation(source.page_header(read_pages(spark, sf_dir)), page_outline(spark, sf_dir), "both")
+
 
+_FRAME = "page_id + 1 AS child, CAST(page_id % 5 * 20 AS DOUBLE) AS fx, 15.0 AS fy, 100.0 AS fw, 60.0 AS fh"
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT page_id, node_id, CAST(node_id * 9 % 140 AS DOUBLE) AS x, CAST(node_id % 6 * 15 AS DOUBLE) AS y, 30.0 AS w, 20.0 AS h FROM {markup.NODES} WHERE tag IN ('a', 'button')),
+    f AS (SELECT page_id AS host, {_FRAME} FROM {markup.NODES} WHERE tag = 'iframe' AND page_id % 3 <> 0),
+    l AS (SELECT page_id, node_id, x, y, w, h, '' AS tag, 0 AS depth FROM e UNION ALL
+        SELECT host, node_id, greatest(fx + 2 + x, fx), greatest(fy + 2 + y, fy), least(fx + 2 + x + w, fx + fw) - greatest(fx + 2 + x, fx), least(fy + 2 + y + h, fy + fh) - greatest(fy + 2 + y, fy), 'f1-' || l.tag, depth + 1
+        FROM l JOIN f ON f.child = l.page_id WHERE least(fx + 2 + x + w, fx + fw) > greatest(fx + 2 + x, fx) AND least(fy + 2 + y + h, fy + fh) > greatest(fy + 2 + y, fy))
+    SELECT page_id, node_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS width, round(h, 6) AS height, tag, CAST(depth AS BIGINT) AS depth FROM l"""
+)
 def inline_frames(spark, sf_dir):
-    """Pages that embed the page of the next number, with boxes from their numbers."""
-    pages = table(spark, sf_dir, "pages").select("page_id")
-    number = F.col("page_id").cast("double")
-    elements = pages.select("page_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("element_id")).select("page_id", "element_id", F.lit("e").alias("name"), (F.col("element_id") * 40.0).alias("x"), (number % 7 * 10).alias("y"), F.lit(30.0).alias("width"), F.lit(20.0).alias("height"))
-    frames = pages.where("page_id % 3 <> 0").select("page_id", F.lit(1).alias("pos"), (F.col("page_id") + 1).alias("child_page_id"), (number % 5 * 20).alias("x"), F.lit(15.0).alias("y"), F.lit(100.0).alias("width"), F.lit(60.0).alias("height"), F.lit(2.0).alias("border_left"), F.lit(2.0).alias("border_top"))
-    return nodes.inline_frames(elements, frames)
+    """Links and buttons of pages whose frames hold the page of the next number; bounds follow from the nodes' places."""
+    rows = _long_id(page_rows(spark, sf_dir))
+    elements = rows.where("tag in ('a', 'button')").selectExpr("page_id", "node_id as element_id", "tag as name", "cast(node_id * 9 % 140 as double) as x", "cast(node_id % 6 * 15 as double) as y", "30.0D as width", "20.0D as height")
+    frames = source.page_frames(rows).where("page_id % 3 <> 0").selectExpr("page_id", "node_id as pos", "page_id + 1 as child_page_id", "cast(page_id % 5 * 20 as double) as x", "15.0D as y", "100.0D as width", "60.0D as height", "2.0D as border_left", "2.0D as border_top")
+    out = nodes.inline_frames(elements, frames)
+    return out.select("page_id", F.col("element_id").alias("node_id"), *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")], "tag", F.col("depth").cast("long").alias("depth"))
 
 
 @query("SELECT c_custkey AS user_id, '[redacted:email] — https://x.example.com/' || CAST(c_custkey AS VARCHAR) || chr(10) || 'Orders — https://x.example.com/?m=[redacted:email]' AS tabs FROM customer")

@@ -9,7 +9,8 @@ from ..operators import boxes, chat, fields, identify, nodes, score
 from ..operators.vault import expected_kind_check as check
 from ..sources.tables import table
 from ..streaming.streams import reply_match as match_replies
-from .derived import derived, derived_sql, pieces, pieces_sql
+from . import sql
+from .derived import CARD, MAIL, PAN, PHONE, PHONE_TEXT, derived, derived_sql, pieces, pieces_sql
 from .registry import query
 
 _BOXES, _IMAGES = derived_sql("boxes"), derived_sql("images")
@@ -39,7 +40,7 @@ def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query(f"SELECT image_id, a_id, b_id, round({_BOTH} / (aw * ah + bw * bh - {_BOTH}), 9) AS iou FROM {_PAIRS}")
 def box_iou(spark, sf_dir):
-    out = boxes.box_iou(*_pairs(spark, sf_dir), ["image_id"]).where("box_id < b_box_id")
+    out = boxes.box_iou(*_pairs(spark, sf_dir), ["image_id"], below="box_id")
     return out.select("image_id", F.col("box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), F.round("iou", 9).alias("iou"))
 
 
@@ -71,9 +72,17 @@ def decode_anchors(spark, sf_dir):
     return out.select("image_id", "i", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")], F.round("score", 9).alias("score"))
 
 
-@query()
+_CROSS = "(greatest(0, least(b.x + b.w, k.x + k.w) - greatest(b.x, k.x)) * greatest(0, least(b.y + b.h, k.y + k.h) - greatest(b.y, k.y)))"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x, y, box_id) AS n FROM {_BOXES}),
+    s AS (SELECT image_id, n, [n] AS kept FROM b WHERE n = 1 UNION ALL SELECT b.image_id, b.n, CASE WHEN EXISTS (SELECT 1 FROM b k WHERE k.image_id = b.image_id AND list_contains(s.kept, k.n) AND {_CROSS} / (b.w * b.h + k.w * k.h - {_CROSS}) > 0.3) THEN s.kept ELSE list_append(s.kept, b.n) END
+        FROM s JOIN b ON b.image_id = s.image_id AND b.n = s.n + 1)
+    SELECT image_id, box_id, x, y, w, h, score FROM b SEMI JOIN (SELECT image_id, unnest(max_by(kept, n)) AS n FROM s GROUP BY image_id) USING (image_id, n)"""
+)
 def nms(spark, sf_dir):
-    return boxes.nms(derived(spark, sf_dir, "boxes"))
+    return boxes.nms(derived(spark, sf_dir, "boxes").withColumn("box_id", F.col("box_id")))
 
 
 @query(
@@ -97,11 +106,15 @@ def redaction_manifest(spark, sf_dir):
     return boxes.redaction_manifest(regions, order=("y", "x", "box_id")).select("page_id", "box_id", "id")
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT image_id AS page_id, box_id AS node_id, x, y, w, h, x + w / 2 AS cx, y + h / 2 AS cy FROM {_BOXES}),
+    t AS (SELECT c.page_id, c.node_id, max(o.node_id) AS top FROM c JOIN c o ON c.page_id = o.page_id AND c.cx BETWEEN o.x AND o.x + o.w AND c.cy BETWEEN o.y AND o.y + o.h WHERE c.cx BETWEEN 0 AND 300 AND c.cy BETWEEN 0 AND 200 GROUP BY c.page_id, c.node_id)
+    SELECT page_id, node_id, x, y, w, h FROM c ANTI JOIN (SELECT * FROM t WHERE top <> node_id AND NOT (top % 2 = 0 AND top - 1 = node_id)) USING (page_id, node_id)"""
+)
 def occlusion(spark, sf_dir):
     own = derived(spark, sf_dir, "boxes").select(F.col("image_id").alias("page_id"), F.col("box_id").cast("int").alias("node_id"), "x", "y", "w", "h")
     bounds = own.withColumns({"ancestors": F.when(F.col("node_id") % 2 == 0, F.array(F.col("node_id") - 1)).otherwise(F.array().cast("array<int>")), "paint_order": F.col("node_id")})
-    return boxes.occlusion(own, bounds, 300, 200)
+    return boxes.occlusion(own, bounds, 300, 200).withColumn("node_id", F.col("node_id").cast("long"))
 
 
 # --- fields
@@ -109,7 +122,7 @@ def occlusion(spark, sf_dir):
 _FIELDS = derived_sql("field_rows")
 _WORDS = r"regexp_replace(regexp_replace(label, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_.\-]+', ' ', 'g')"
 _LABEL = "CASE " + " ".join(f"WHEN regexp_matches(words, '(?i)\\b(?:{pattern})\\b') THEN '{kind}'" for kind, pattern in fields.LABEL_WORDS) + " END"
-_AUTO = "CASE " + " ".join(f"WHEN token = '{t}' THEN '{kind}'" for kind, tokens in fields.AUTOCOMPLETE.items() for t in tokens.split()) + " END"
+_AUTO = "CASE " + " ".join(f"WHEN token = '{token}' THEN '{kind}'" for token, kind in fields.AUTOCOMPLETE.items()) + " END"
 _TYPE = "CASE WHEN tag = 'input' AND lower(type) IN ('password', 'email', 'tel') THEN lower(type) END"
 
 
@@ -148,10 +161,22 @@ def classify_fields(spark, sf_dir):
     return fields.classify_fields(rows).select(F.col("key").alias("id"), "sensitive")
 
 
-@query("SELECT 'c_phone_number' AS \"column\", 'tel' AS kind UNION ALL SELECT 'userEmail', 'email' UNION ALL SELECT 'cardNumber', 'cc-number'")
+#: Columns of personal data under telling and other names: name, contents, what the name suggests.
+_COLUMNS = (("contact", MAIL, None), ("userPhone", PHONE_TEXT, "tel"), ("cardNumber", CARD, "cc-number"), ("taxCode", f"case when c_custkey % 3 = 0 then {PAN} end", None), ("note", f"case when c_custkey % 2 = 0 then 'call ' || {PHONE} || ' or ' || {MAIL} end", None), ("emailAddress", "c_mktsegment", "email"))
+
+
+def _columns_sql() -> str:
+    source = "(SELECT c_custkey AS id, " + ", ".join(f"{content} AS {name}" for name, content, _ in _COLUMNS) + " FROM customer)"
+    counts = " UNION ALL ".join(f"SELECT '{name}' AS name, {rank} AS rank, '{kind}' AS kind, (SELECT count(DISTINCT id) FROM {sql.detected(source, 'id', name, kind)}) AS n" for name, _, _ in _COLUMNS for rank, kind in enumerate(sql.PATTERNS))
+    values = " UNION ALL ".join(f"SELECT '{name}' AS name, {f"'{told}'" if told else 'CAST(NULL AS VARCHAR)'} AS by_name, count({name}) AS n_values FROM {source}" for name, _, told in _COLUMNS)
+    best = f"(SELECT name, max(n) AS n_found, arg_max(kind, n * 100 - rank) AS kind FROM ({counts}) GROUP BY name)"
+    return f"SELECT name AS \"column\", by_name, CASE WHEN n_found > 0 AND n_found >= 0.5 * n_values THEN kind END AS by_value, n_values, n_found FROM ({values}) JOIN {best} USING (name)"
+
+
+@query(_columns_sql())
 def classify_columns(spark, sf_dir):
-    named = table(spark, sf_dir, "customer").withColumnsRenamed({"c_name": "c_phone_number", "c_mktsegment": "userEmail", "c_acctbal": "cardNumber"})
-    return fields.classify_columns(named)
+    rows = table(spark, sf_dir, "customer").selectExpr(*[f"{content} as {name}" for name, content, _ in _COLUMNS])
+    return fields.classify_columns(rows)
 
 
 # --- chat logs
@@ -246,10 +271,8 @@ def validate_actions(spark, sf_dir):
 )
 def reply_match(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("nonce"), F.col("event_type").alias("source"), "ts", "event_id")
-    out = match_replies(events, events, "6 hours")
-    # An event is its own reply at the same moment; that pair goes, and a request left without any stays unanswered.
-    kept = out.where(~F.col("event_id").eqNullSafe(F.col("reply_event_id"))).select("event_id", F.col("reply_event_id").alias("reply"))
-    return events.select("event_id").join(kept, "event_id", "left").withColumn("answered", F.col("reply").isNotNull())
+    out = match_replies(events, events, "6 hours", unlike="event_id")  # an event is no reply to itself
+    return out.select("event_id", F.col("reply_event_id").alias("reply"), "answered")
 
 
 # --- windows over scans and actions

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import pages_queries, records_queries, text_queries  # noqa: F401
+    from . import pages_queries, records_queries, stored_queries, text_queries  # noqa: F401

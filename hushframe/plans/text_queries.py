@@ -10,6 +10,7 @@ from ..operators import egress, identify, redact, score, vault
 from ..sources.tables import src_pages, src_text, table
 from . import sql
 from .derived import derived, derived_sql
+from .markup import FORMED, with_forms
 from .registry import QUERIES, ORACLES, query
 
 SPANS = 'CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", m AS text, kind'
@@ -52,9 +53,9 @@ def checksum_luhn(spark, sf_dir):
     return identify.checksum_luhn(derived(spark, sf_dir, "card_numbers"), "number")
 
 
-@query(f"SELECT page_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", m AS text FROM {sql.matches('pages', 'page_id', 'html', sql.EMAIL)}")
+@query(f"SELECT page_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", m AS text FROM {sql.matches(FORMED, 'page_id', 'html', sql.EMAIL)}")
 def span_positions(spark, sf_dir):
-    pages = src_pages(spark, sf_dir)
+    pages = with_forms(spark, sf_dir)
     pattern = detector("email").pattern
     spans = identify.span_positions(pages.where(F.col("html").rlike(pattern)), "html", pattern).select("page_id", F.explode("spans").alias("s"))
     return long_places(spans.select("page_id", "s.start", "s.end", "s.text"))
@@ -107,10 +108,11 @@ def redact_drop_documents(spark, sf_dir):
     return out.select("doc_id", F.md5("text").alias("text_md5"), F.array_join("kinds", ",").alias("kinds"))
 
 
-@query(f"{sql.redacted_ctes(IDENTITIES, 'id', 'text')} SELECT count(*) AS rows, 0 AS leaks FROM redacted")
+@query(f"{sql.found_ctes(IDENTITIES, 'id', 'text')} SELECT (SELECT count(*) FROM {IDENTITIES}) AS rows, (SELECT count(*) FROM found WHERE id % 3 = 0) AS leaks")
 def leak_check(spark, sf_dir):
-    """Findings in what redaction leaves: none."""
-    out = redact.redact_drop(derived(spark, sf_dir, "identity_texts"), "id", "text")
+    """Findings in what should be redacted: every third text was forgotten, the others hold none."""
+    texts = derived(spark, sf_dir, "identity_texts")
+    out = redact.redact_drop(texts.where("id % 3 <> 0"), "id", "text").select("id", "text").union(texts.where("id % 3 = 0").select("id", "text"))
     leaks = identify.leak_check(out, "id", "text").groupBy("id").agg(F.count("*").alias("n"))
     return out.join(leaks, "id", "left").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("leaks"))
 
@@ -126,13 +128,13 @@ def redact_header(spark, sf_dir):
 
 # --- vault
 
-_CHATS = derived_sql("chats")
-_NUMBERED = f"""{sql.found_ctes(_CHATS, 'conv_id, turn', 'text')},
+CHATS = derived_sql("chats")
+NUMBERED = f"""{sql.found_ctes(CHATS, 'conv_id, turn', 'text')},
     firsts AS (SELECT conv_id, kind, m AS value, min(turn * 1000000 + s) AS first_at FROM found GROUP BY conv_id, kind, m),
     vault AS (SELECT conv_id, kind, value, row_number() OVER (PARTITION BY conv_id ORDER BY first_at, kind, value) AS n FROM firsts)"""
 
 
-@query(f"{_NUMBERED} SELECT conv_id, kind, value, n, kind || '#' || CAST(n AS VARCHAR) AS handle FROM vault")
+@query(f"{NUMBERED} SELECT conv_id, kind, value, n, kind || '#' || CAST(n AS VARCHAR) AS handle FROM vault")
 def handle_numbering(spark, sf_dir):
     found = identify.find_identifiers(derived(spark, sf_dir, "chats"), ["conv_id", "turn"], "text")
     return vault.handle_numbering(found, "conv_id", ["turn", "start"])
@@ -144,13 +146,25 @@ _VAULTED = """firsts AS (SELECT conv_id, kind, m AS value, min(turn * 1000000 +
 
 
 @query(
-    f"""{sql.redacted_ctes(_CHATS, 'conv_id, turn', 'text', "'[redacted:' || kind || '#s' || CAST(n AS VARCHAR) || ']'", _VAULTED)}
-    SELECT conv_id, turn, c.role, out AS text FROM redacted JOIN {_CHATS} AS c USING (conv_id, turn)"""
+    f"""{sql.redacted_ctes(CHATS, 'conv_id, turn', 'text', "'[redacted:' || kind || '#s' || CAST(n AS VARCHAR) || ']'", _VAULTED)}
+    SELECT conv_id, turn, c.role, out AS text FROM redacted JOIN {CHATS} AS c USING (conv_id, turn)"""
 )
 def redact_conversations(spark, sf_dir):
     return vault.redact_conversations(derived(spark, sf_dir, "chats"))
 
 
+@query(
+    f"""{sql.redacted_ctes(CHATS, 'conv_id, turn', 'text', "'[redacted:' || kind || '#' || CAST(n AS VARCHAR) || ']'", _VAULTED)}
+    SELECT conv_id, turn, out AS text, kinds FROM redacted"""
+)
+def redact_handles(spark, sf_dir):
+    """Chats redacted with a vault that was minted before."""
+    chats = derived(spark, sf_dir, "chats")
+    found = identify.find_identifiers(chats, ["conv_id", "turn"], "text")
+    known = vault.handle_numbering(found, "conv_id", ["turn", "start"]).withColumnRenamed("conv_id", "scope")
+    return redact.redact_handles(chats, ["conv_id", "turn"], "text", known, "conv_id").withColumn("kinds", F.array_join("kinds", ","))
+
+
 def _two_mints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Early turns minted in generation 1, the others in generation 2."""
     chats = derived(spark, sf_dir, "chats")
@@ -160,7 +174,7 @@ def _two_mints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.vault_mint(found(chats.where("turn >= 2")), first, "conv_id", ["turn", "start"], gen=2)
 
 
-_MINTED = f"""{sql.found_ctes(_CHATS, 'conv_id, turn', 'text')},
+_MINTED = f"""{sql.found_ctes(CHATS, 'conv_id, turn', 'text')},
     firsts AS (SELECT conv_id, kind, m AS value, min(turn * 1000000 + s) AS first_at, max(CASE WHEN turn < 2 THEN 1 ELSE 2 END) AS seen_gen FROM found GROUP BY conv_id, kind, m),
     minted AS (SELECT CAST(conv_id AS VARCHAR) AS scope, kind, value, row_number() OVER (PARTITION BY conv_id ORDER BY first_at, kind, value) AS n, CAST(seen_gen AS BIGINT) AS seen_gen FROM firsts)"""
 
@@ -183,7 +197,7 @@ def vault_lookup(spark, sf_dir):
 
 
 
-@query(f"SELECT conv_id, turn, text, 'email,tel' AS kinds FROM {_CHATS}")
+@query(f"SELECT conv_id, turn, text, 'email,tel' AS kinds FROM {CHATS}")
 def restore_session(spark, sf_dir):
     """Redacted chats with their handles expanded again: the same texts."""
     chats = derived(spark, sf_dir, "chats")
@@ -195,7 +209,7 @@ def restore_session(spark, sf_dir):
 
 
 @query(
-    f"""{_NUMBERED} SELECT v.conv_id, CASE WHEN v.conv_id % 3 = 0 THEN 'tel' ELSE 'email' END AS target, v.conv_id % 3 <> 0 AS ok, CASE WHEN v.conv_id % 3 <> 0 THEN 'to ' || v.value || '!' END AS text,
+    f"""{NUMBERED} SELECT v.conv_id, CASE WHEN v.conv_id % 3 = 0 THEN 'tel' ELSE 'email' END AS target, v.conv_id % 3 <> 0 AS ok, CASE WHEN v.conv_id % 3 <> 0 THEN 'to ' || v.value || '!' END AS text,
     CASE WHEN v.conv_id % 3 = 0 THEN 'email cannot go into tel' END AS error FROM vault v WHERE v.n = 1 AND v.kind = 'email'"""
 )
 def rehydrate(spark, sf_dir):
@@ -211,36 +225,36 @@ def rehydrate(spark, sf_dir):
 
 _HOSTS = ("api.example.com", "other.example.com")
 _REQUESTS = derived_sql("requests")
-_JUDGED = f"""(SELECT request_id, host, bytes, logged, reason IS NULL AS allowed, reason, CASE WHEN reason LIKE 'Unredacted%' THEN 'email' ELSE '' END AS kinds FROM (
+JUDGED = f"""(SELECT request_id, host, bytes, logged, reason IS NULL AS allowed, reason, CASE WHEN reason = '{egress.FOUND}' THEN 'email' ELSE '' END AS kinds FROM (
     SELECT request_id, CASE WHEN conv_kind = 0 OR conv_kind = 4 THEN 'api.example.com' WHEN conv_kind = 1 THEN 'evil.example.net' END AS host, CAST(octet_length(CAST(body AS BLOB)) AS BIGINT) AS bytes, conv_kind <> 2 AS logged,
-    CASE WHEN conv_kind = 2 THEN NULL WHEN conv_kind = 3 THEN '{egress.NO_HOST}' WHEN conv_kind = 1 THEN 'evil.example.net is not a configured provider.' WHEN body = '' THEN NULL
+    CASE WHEN conv_kind = 2 THEN NULL WHEN conv_kind = 3 THEN '{egress.NO_HOST}' WHEN conv_kind = 1 THEN 'evil.example.net{egress.STRANGER}' WHEN body = '' THEN NULL
         WHEN NOT starts_with(body, '{{') THEN '{egress.NOT_JSON}' WHEN contains(body, '@') THEN '{egress.FOUND}' END AS reason
     FROM (SELECT *, CASE WHEN starts_with(url, 'data:') THEN 2 WHEN url = 'not a url' THEN 3 WHEN contains(url, 'evil') THEN 1 ELSE 0 END AS conv_kind FROM {_REQUESTS})))"""
 
 
-def _hosts(spark: SparkSession) -> DataFrame:
+def hosts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(h,) for h in _HOSTS], "host string")
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "requests").withColumn("at", F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("request_id").cast("decimal(18,6)")))
 
 
-@query(f"SELECT request_id, host, bytes, allowed, logged, reason, kinds FROM {_JUDGED}")
+@query(f"SELECT request_id, host, bytes, allowed, logged, reason, kinds FROM {JUDGED}")
 def egress_verdict(spark, sf_dir):
-    out = egress.egress_verdict(_requests(spark, sf_dir), _hosts(spark))
+    out = egress.egress_verdict(requests(spark, sf_dir), hosts(spark))
     return out.select("request_id", "host", "bytes", "allowed", "logged", "reason", F.coalesce(F.array_join("kinds", ","), F.lit("")).alias("kinds"))
 
 
-@query(f"SELECT coalesce(host, 'not a url') AS host, bytes, allowed, reason, kinds, count(*) AS n FROM {_JUDGED} WHERE logged GROUP BY ALL")
+@query(f"SELECT coalesce(host, 'not a url') AS host, bytes, allowed, reason, kinds, count(*) AS n FROM {JUDGED} WHERE logged GROUP BY ALL")
 def egress_log(spark, sf_dir):
-    log = egress.egress_log(_requests(spark, sf_dir), _hosts(spark)).withColumn("kinds", F.coalesce(F.array_join("kinds", ","), F.lit("")))
+    log = egress.egress_log(requests(spark, sf_dir), hosts(spark)).withColumn("kinds", F.coalesce(F.array_join("kinds", ","), F.lit("")))
     return log.groupBy("host", "bytes", "allowed", "reason", "kinds").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT coalesce(host, 'not a url') AS host, count(*) FILTER (allowed) AS sent, count(*) FILTER (NOT allowed) AS refused, CAST(coalesce(sum(bytes) FILTER (allowed), 0) AS BIGINT) AS bytes FROM {_JUDGED} WHERE logged GROUP BY 1")
+@query(f"SELECT coalesce(host, 'not a url') AS host, count(*) FILTER (allowed) AS sent, count(*) FILTER (NOT allowed) AS refused, CAST(coalesce(sum(bytes) FILTER (allowed), 0) AS BIGINT) AS bytes FROM {JUDGED} WHERE logged GROUP BY 1")
 def egress_summary(spark, sf_dir):
-    return egress.egress_summary(egress.egress_log(_requests(spark, sf_dir), _hosts(spark)), by="host").drop("size")
+    return egress.egress_summary(egress.egress_log(requests(spark, sf_dir), hosts(spark)), by="host").drop("size")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
@@ -250,14 +264,14 @@ def log_tail(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) IN ('site0.example', 'site1.example.com', 'www.example.com') AS host_allowed FROM pages")
 def allowed_hosts(spark, sf_dir):
-    hosts = spark.createDataFrame([("site0.example",), ("site1.example.com",), ("www.example.com",)], "host string")
+    known = spark.createDataFrame([("site0.example",), ("site1.example.com",), ("www.example.com",)], "host string")
     pages = src_pages(spark, sf_dir).select("page_id", F.expr("try_parse_url(url, 'HOST')").alias("host"))
-    return egress.allowed_hosts(pages, hosts).select("page_id", "host", "host_allowed")
+    return egress.allowed_hosts(pages, known).select("page_id", "host", "host_allowed")
 
 
 @query(f"SELECT request_id, pos, value FROM (SELECT request_id, unnest([regexp_extract(body, '\"role\": \"([^\"]*)\"', 1)] || CASE WHEN contains(body, '@') THEN [regexp_extract(body, '\"note\": \"([^\"]*)\"', 1)] ELSE [] END) AS value, unnest(range(CASE WHEN contains(body, '@') THEN 2 ELSE 1 END)) AS pos FROM {_REQUESTS} WHERE starts_with(body, '{{'))")
 def json_strings(spark, sf_dir):
-    rows = _requests(spark, sf_dir).where(F.col("body").startswith("{"))
+    rows = requests(spark, sf_dir).where(F.col("body").startswith("{"))
     return egress.json_strings(rows).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -266,7 +280,7 @@ def json_strings(spark, sf_dir):
     CASE WHEN NOT starts_with(body, '{{') THEN '{egress.NOT_JSON}' WHEN contains(body, '@') THEN '{egress.FOUND}' END AS reason FROM {_REQUESTS}"""
 )
 def inspect_body(spark, sf_dir):
-    return egress.inspect_body(_requests(spark, sf_dir)).select("request_id", "ok", "reason")
+    return egress.inspect_body(requests(spark, sf_dir)).select("request_id", "ok", "reason")
 
 
 @query(f"{sql.found_ctes(IDENTITIES, 'id', 'text')} SELECT id AS request_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM found GROUP BY id")

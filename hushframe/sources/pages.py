@@ -5,6 +5,7 @@ One Python pass parses the markup (unclosed tags included); everything after it
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,7 +18,7 @@ from ..operators.identify import cap_per_group
 
 NODES = (
     "page_id long, node_id int, parent_id int, ancestors array<int>, depth int, pos int, tag string, attrs map<string,string>, "
-    "own_text string, inline_text string, desc_text string, shadow boolean"
+    "own_texts array<string>, inline_text string, desc_text string, shadow boolean"
 )
 #: Tags that are no nodes, and those that have no content.
 SKIPPED = frozenset("style script noscript link meta head br hr template".split())
@@ -29,16 +30,26 @@ BLOCKS = frozenset("article aside div dl fieldset footer form h1 h2 h3 h4 h5 h6
 INLINE = frozenset("span em strong b i small abbr code mark sub sup cite q u s del ins time kbd var samp a".split())
 CONTROLS = frozenset("a button input select textarea summary option".split())
 NO_TEXT = ("script", "style", "noscript", "template", "title")
-MIN_TEXT, MAX_TEXTS = 10, 4000
+MIN_TEXT = 10
+#: As in browsers, an element that would be deeper becomes a sibling of the one above it.
+MOST_DEPTH = 512
+#: Characters of a node's text, blanks squashed, that can matter to its name: that is cut to 80 after
+#: redaction, and no identifier, mail addresses included, is longer than 254.
+NAME_SOURCE = 2048
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parent", "parts", "node", "shadow")
+    __slots__ = ("tag", "attrs", "parent", "parts", "node", "shadow", "hidden", "depth", "whole", "inline", "outside")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Element | None, shadow: bool):
         self.tag, self.attrs, self.parent, self.shadow = tag, attrs, parent, shadow
         self.parts: list[str | _Element] = []
         self.node = -1
+        self.depth = parent.depth + 1 if parent is not None else 0
+        own = tag in SKIPPED and not (tag == "template" and "shadowrootmode" in attrs)
+        #: Within a tag that is not walked; a declared shadow root is.
+        self.hidden = own or (parent is not None and parent.hidden)
+        self.whole = self.inline = self.outside = ""
 
 
 class _Parser(HTMLParser):
@@ -46,6 +57,7 @@ class _Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.open = _Element("", {}, None, False)
         self.order: list[_Element] = []
+        self.cut = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes = CLOSED_BY.get(tag, ("p",) if tag in BLOCKS else ())
@@ -55,6 +67,8 @@ class _Parser(HTMLParser):
                 self.open = at.parent
                 break
             at = at.parent
+        if self.open.depth >= MOST_DEPTH:
+            self.open = self.open.parent
         values = {k: v or "" for k, v in reversed(attrs)}
         root = tag == "template" and "shadowrootmode" in values
         element = _Element(tag, values, self.open, self.open.shadow or root)
@@ -76,39 +90,40 @@ class _Parser(HTMLParser):
                 return
             at = at.parent
 
+    def handle_comment(self, data: str) -> None:
+        self.cut = True  # a comment ends a text node
+
     def handle_data(self, data: str) -> None:
-        self.open.parts.append(data)
+        parts = self.open.parts
+        if parts and isinstance(parts[-1], str) and not self.cut:
+            parts[-1] += data
+        else:
+            parts.append(data)
+        self.cut = False
 
 
-def _hidden(e: _Element) -> bool:
-    """Within a tag that is not walked; a declared shadow root is."""
-    while e is not None and e.parent is not None:
-        if e.tag in SKIPPED and not (e.tag == "template" and "shadowrootmode" in e.attrs):
-            return True
-        e = e.parent
-    return False
+_BLANKS = re.compile(r"\s+")
 
 
-def _text(e: _Element) -> str:
-    out, stack = [], [e]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in SKIPPED:
-            stack.extend(reversed(x.parts))
-    return "".join(out)
+def _gathered(texts: Iterator[str]) -> str:
+    """Texts end to end, blanks squashed, up to NAME_SOURCE characters."""
+    out, n = [], 0
+    for text in texts:
+        out.append(text)
+        n += len(text)
+        if n >= NAME_SOURCE:
+            break
+    return _BLANKS.sub(" ", "".join(out))[:NAME_SOURCE]
 
 
-def _outside_controls(e: _Element) -> str:
-    out, stack = [], list(reversed(e.parts))
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in SKIPPED and x.tag not in CONTROLS and "role" not in x.attrs:
-            stack.extend(reversed(x.parts))
-    return "".join(out)
+def _name_texts(order: list[_Element]) -> None:
+    """From the last element to the first, so that each uses what its children already have."""
+    for e in reversed(order):
+        short = [_BLANKS.sub(" ", x) if isinstance(x, str) else x for x in e.parts]
+        e.inline = _gathered(x if isinstance(x, str) else x.whole for x in short if isinstance(x, str) or x.tag in INLINE)
+        if e.tag not in SKIPPED:
+            e.whole = _gathered(x if isinstance(x, str) else x.whole for x in short)
+        e.outside = _gathered(x if isinstance(x, str) else x.outside for x in short if isinstance(x, str) or not (x.tag in SKIPPED or x.tag in CONTROLS or "role" in x.attrs))
 
 
 def parsed(html: str | None) -> list[dict]:
@@ -116,27 +131,27 @@ def parsed(html: str | None) -> list[dict]:
     parser = _Parser()
     parser.feed(html or "")
     parser.close()
+    _name_texts(parser.order)
     rows: list[dict] = []
     for e in parser.order:
-        if _hidden(e) or e.tag == "template":
+        if e.hidden or e.tag == "template":
             continue
         e.node = len(rows)
         up = e.parent
         while up.parent is not None and up.node < 0:
             up = up.parent
         above = rows[up.node] if up.node >= 0 else None
-        inline = "".join(x if isinstance(x, str) else _text(x) for x in e.parts if isinstance(x, str) or x.tag in INLINE)
         rows.append({
             "node_id": e.node, "parent_id": up.node if above else None, "ancestors": ([up.node, *above["ancestors"]] if above else []),
             "depth": above["depth"] + 1 if above else 0, "pos": e.node, "tag": e.tag, "attrs": e.attrs,
-            "own_text": "".join(x for x in e.parts if isinstance(x, str)), "inline_text": inline, "desc_text": _outside_controls(e), "shadow": e.shadow,
+            "own_texts": [x for x in e.parts if isinstance(x, str)], "inline_text": e.inline, "desc_text": e.outside, "shadow": e.shadow,
         })
     return rows
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
     """``pages`` as node rows; ``ancestors`` goes from the parent up. Pages are independent, nothing is shuffled."""
-    names = [part.split()[0] for part in NODES.replace("map<string,string>", "map").split(", ")]
+    names = [part.split()[0] for part in NODES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,11 +163,15 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, NODES)
 
 
-def page_text_nodes(nodes: DataFrame, min_len: int = MIN_TEXT, cap: int = MAX_TEXTS) -> DataFrame:
-    """``page_id, node_id, pos, text``: each node's own text, if long enough, the first ``cap`` of a page."""
-    text = squash(F.col("own_text"))
-    rows = nodes.where(~F.col("tag").isin(*NO_TEXT)).select("page_id", "node_id", "pos", text.alias("text"))
-    return cap_per_group(rows.where(F.char_length("text") >= min_len), ["page_id"], ["pos"], cap)
+def page_text_nodes(nodes: DataFrame, min_len: int = MIN_TEXT, cap: int | None = None) -> DataFrame:
+    """``page_id, node_id, nth, text``: each text node by itself, if long enough; ``nth`` counts those of its element.
+
+    What stands before and after a child, a line break or a comment is two text nodes, never one.
+    With ``cap`` the first so many of each page.
+    """
+    rows = nodes.where(~F.col("tag").isin(*NO_TEXT)).select("page_id", "node_id", F.posexplode("own_texts").alias("nth", "text"))
+    rows = rows.withColumn("text", squash(F.col("text"))).where(F.char_length("text") >= min_len)
+    return rows if cap is None else cap_per_group(rows, ["page_id"], ["node_id", "nth"], cap)
 
 
 def page_header(pages: DataFrame) -> DataFrame:

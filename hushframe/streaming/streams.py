@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.egress import egress_verdict
 from ..operators.identify import find_identifiers
@@ -31,8 +31,11 @@ def stream_egress(stream: DataFrame, hosts: DataFrame, own_host: str | None = No
 class Minter(StatefulProcessor):
     """Per scope: each new (kind, value) gets the next number, which is never given again."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.numbers = handle.getMapState("numbers", "kind string, value string", "n long")
+        self.numbers = handle.getMapState("numbers", "kind string, value string", "n long", ttlDurationMs=self.ttl_ms)
         self.last = handle.getValueState("last", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -51,17 +54,27 @@ class Minter(StatefulProcessor):
         pass
 
 
-def stream_vault(stream: DataFrame, scope: str, at: str, text: str) -> DataFrame:
-    """``scope, handle, kind, value, n`` of values as they are first seen; ``at`` orders rows within a batch."""
+def stream_vault(stream: DataFrame, scope: str, at: str, text: str, ttl_ms: int | None = None) -> DataFrame:
+    """``scope, handle, kind, value, n`` of values as they are first seen; ``at`` orders rows within a batch.
+
+    With ``ttl_ms`` a value that was minted so long ago leaves the state; seen again, it gets a
+    new number, as numbers are never used twice.
+    """
     found = find_identifiers(stream, [scope, at], text).select(F.col(scope).cast("string").alias("scope"), F.col(at).alias("at"), "start", "kind", "text")
-    return found.groupBy("scope").transformWithStateInPandas(statefulProcessor=Minter(), outputStructType="scope string, handle string, kind string, value string, n long", outputMode="Append", timeMode="None")
+    return found.groupBy("scope").transformWithStateInPandas(statefulProcessor=Minter(), outputStructType="scope string, handle string, kind string, value string, n long", outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
 class Assembler(StatefulProcessor):
-    """Per request: fragments until a row with ``finish``, then one row per call."""
+    """Per request: fragments until a row with ``finish``, then one row per call; given up when no row comes for ``timeout_ms``."""
+
+    COLUMNS = ["request_id", "idx", "id", "name", "args", "finished"]
+
+    def __init__(self, timeout_ms: int | None = None):
+        self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getListState("parts", "seq int, idx int, id string, name string, args string")
+        self.handle = handle
+        self.parts = handle.getListState("parts", "seq long, idx int, id string, name string, args string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
@@ -69,30 +82,55 @@ class Assembler(StatefulProcessor):
         for r in frame.itertuples():
             if not pd.isna(r.idx):
                 self.parts.appendValue((int(r.seq), int(r.idx), text(r.id), text(r.name), text(r.args_fragment)))
-        out = []
+        if self.timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if frame["finish"].notna().any():
-            calls: dict[int, list] = {}
-            for seq, idx, id_, name, args in sorted(self.parts.get(), key=lambda p: p[0]):
-                call = calls.setdefault(idx, [None, None, ""])
-                call[0], call[1], call[2] = id_ or call[0], name or call[1], call[2] + (args or "")
-            out = [(key[0], i, c[0] or f"call_{i}", c[1], c[2]) for i, c in sorted(calls.items())]
-            self.parts.clear()
-        yield pd.DataFrame(out, columns=["request_id", "idx", "id", "name", "args"])
+            yield self.joined(key, True)
+        elif self.timeout_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.joined(key, False)
+
+    def joined(self, key, finished: bool) -> pd.DataFrame:
+        """What has come of each call; the request's state ends."""
+        calls: dict[int, list] = {}
+        for _, idx, id_, name, args in sorted(self.parts.get(), key=lambda p: p[0]):
+            call = calls.setdefault(idx, [None, None, []])
+            call[0], call[1] = id_ or call[0], name or call[1]
+            call[2].append(args or "")
+        self.parts.clear()
+        return pd.DataFrame([(key[0], i, c[0] or f"call_{i}", c[1], "".join(c[2]), finished) for i, c in sorted(calls.items())], columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def stream_reassemble(stream: DataFrame) -> DataFrame:
-    """``request_id, idx, id, name, args`` of requests whose finish row has come; the finish row must not precede its fragments' batch."""
-    return stream.groupBy("request_id").transformWithStateInPandas(statefulProcessor=Assembler(), outputStructType="request_id int, idx int, id string, name string, args string", outputMode="Append", timeMode="None")
+def stream_reassemble(stream: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """``request_id, idx, id, name, args, finished`` of requests whose finish row has come; it must not precede its fragments' batch.
+
+    With ``timeout_ms`` a request for which no row comes for so long is put out unfinished, and its state ends.
+    """
+    schema = "request_id long, idx int, id string, name string, args string, finished boolean"
+    rows = stream.withColumn("request_id", F.col("request_id").cast("long"))
+    return rows.groupBy("request_id").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=schema, outputMode="Append", timeMode="None" if timeout_ms is None else "ProcessingTime")
+
+
+def listen(judged: DataFrame, listener: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Starts a stream of verdicts whose batches, refused rows included, each go to ``listener(rows, batch)`` as they are judged."""
+    return judged.writeStream.foreachBatch(listener).option("checkpointLocation", checkpoint).start()
 
 
-def reply_match(requests: DataFrame, replies: DataFrame, within: str = "250 milliseconds") -> DataFrame:
+def reply_match(requests: DataFrame, replies: DataFrame, within: str = "250 milliseconds", unlike: str | None = None) -> DataFrame:
     """Requests ``(nonce, source, ts, ...)`` with their reply, from the same source and in time; others get none.
 
-    On streams both sides need a watermark on ``ts``; late replies are then dropped.
+    On streams both sides need a watermark on ``ts``; late replies are then dropped. Rows that
+    agree in the column ``unlike`` are the same message, which does not answer itself.
     """
     other = replies.select(F.col("nonce").alias("_nonce"), F.col("source").alias("_source"), F.col("ts").alias("reply_ts"), *[F.col(c).alias(f"reply_{c}") for c in replies.columns if c not in ("nonce", "source", "ts")])
     in_time = (F.col("reply_ts") >= F.col("ts")) & (F.col("reply_ts") <= F.col("ts") + F.expr(f"interval {within}"))
-    return requests.join(other, (F.col("nonce") == F.col("_nonce")) & (F.col("source") == F.col("_source")) & in_time, "left_outer").drop("_nonce", "_source").withColumn("answered", F.col("reply_ts").isNotNull())
+    met = (F.col("nonce") == F.col("_nonce")) & (F.col("source") == F.col("_source")) & in_time
+    if unlike is not None:
+        met = met & (F.col(unlike) != F.col(f"reply_{unlike}"))
+    return requests.join(other, met, "left_outer").drop("_nonce", "_source").withColumn("answered", F.col("reply_ts").isNotNull())

@@ -1,10 +1,12 @@
 """Pages as nodes; roles, names, states, structure and outline."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions.materialize import materialized
-from hushframe.operators import fields, nodes, outline, redact
+from hushframe.operators import fields, identify, nodes, outline, redact
 from hushframe.sources import pages as source
 from hushframe.sources import tables
 
@@ -43,8 +45,9 @@ def test_nodes(rows):
 
 
 def test_text_nodes_header_links_frames(spark, rows):
-    texts = [r["text"] for r in source.page_text_nodes(rows).orderBy("pos").collect()]
+    texts = [r["text"] for r in source.page_text_nodes(rows).orderBy("node_id", "nth").collect()]
     assert "First paragraph" in texts and not any(len(t) < 10 for t in texts)
+    assert "Second paragraph with ravi@example.com" in texts
     pages = spark.createDataFrame([(1, "https://h.example.com/p?q=1", HTML)], "page_id long, url string, html string")
     head = source.page_header(pages).first()
     assert (head["title"], head["host"]) == ("My page", "h.example.com")
@@ -52,6 +55,26 @@ def test_text_nodes_header_links_frames(spark, rows):
     assert [r["label"] for r in source.page_frames(rows).orderBy("node_id").collect()] == ["ads.example.com", "Side"]
 
 
+def test_text_nodes_are_apart(spark):
+    """A break, an inline child or a comment parts two text nodes: nothing is found across, nothing is hidden by what follows."""
+    html = "<p>write to user@example.com<br>next line</p><p>98765<b>x</b>43210</p><p>98765<!-- c -->43210</p><p>call 98765 43210 now</p><p>a &lt; b, said info@example.org</p>"
+    pages = spark.createDataFrame([(1, "", html)], "page_id long, url string, html string")
+    texts = source.page_text_nodes(source.page_nodes(pages), min_len=1)
+    assert [r["text"] for r in texts.orderBy("node_id", "nth").collect()] == ["write to user@example.com", "next line", "98765", "43210", "x", "98765", "43210", "call 98765 43210 now", "a < b, said info@example.org"]
+    found = {(r["kind"], r["start"], r["end"]) for r in identify.find_in_pages(texts).collect()}
+    assert found == {("email", 9, 25), ("tel", 5, 16), ("email", 12, 28)}
+    many = "<p>" + "<br>".join(f"mail user{i}@example.com today" for i in range(5000)) + "</p>"
+    pages = spark.createDataFrame([(1, "", many)], "page_id long, url string, html string")
+    assert identify.find_in_pages(source.page_text_nodes(source.page_nodes(pages))).count() == 5000
+
+
+def test_unclosed_tags_take_linear_time():
+    began = time.time()
+    found = source.parsed("<div>text " * 20000)
+    assert len(found) == 20000 and max(r["depth"] for r in found) <= source.MOST_DEPTH and time.time() - began < 20
+    assert len(source.parsed("<b>x" * 20000)) == 20000 and time.time() - began < 40
+
+
 def by_name(rows):
     return nodes.node_name(nodes.node_role(rows))
 
@@ -110,7 +133,7 @@ def test_outline(rows):
     text = outline.page_outline(lines).first()["outline"].split("\n")
     assert text[0] == "nav" and text[1] == "  ul" and text[3].lstrip().startswith("[") and 'link "One"' in text[3]
     cut = outline.page_outline(lines, max_lines=3).first()["outline"]
-    assert cut.endswith(f"… and {len(text) - 3} more (scroll to see them)")
+    assert cut.endswith(f"… {len(text) - 3} more lines")
     funnel = nodes.scan_funnel(rows).first()
     assert funnel["visited"] >= funnel["interactive"] >= funnel["after_name"] >= funnel["final"] > 0
 
@@ -149,8 +172,9 @@ def test_classification(spark):
     df = spark.createDataFrame(made, "n int, tag string, type string, autocomplete string, aria_label string, name string, placeholder string, id string, label string")
     got = [r["sensitive"] for r in fields.classify_fields(df).orderBy("n").collect()]
     assert got == [c[-1] for c in CLASSES]
-    columns = fields.classify_columns(spark.createDataFrame([], "user_email string, c_acctbal double, phoneNumber string, id long"))
-    assert {(r["column"], r["kind"]) for r in columns.collect()} == {("user_email", "email"), ("phoneNumber", "tel")}
+    made = [("a@example.com", 1.0, "9876543210", 7, None), ("b@example.com", 2.0, "none", 8, None), (None, 3.0, "also none", 9, None)]
+    columns = fields.classify_columns(spark.createDataFrame(made, "contact string, c_acctbal double, phoneNumber string, id long, tags array<string>"))
+    assert {tuple(r) for r in columns.collect()} == {("contact", None, "email", 2, 2), ("phoneNumber", "tel", None, 3, 1), ("c_acctbal", None, None, 3, 0), ("id", None, None, 3, 0)}
 
 
 def test_truth_markup(spark):
