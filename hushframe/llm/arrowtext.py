@@ -76,16 +76,17 @@ def rolling_hash(sums: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows and their offsets (rows + 1); a null text is empty."""
+    """UTF-8 bytes of all rows (strings or binary) and their offsets (rows + 1); a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)

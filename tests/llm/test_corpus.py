@@ -152,20 +152,38 @@ def test_first_lines_stay(spark):
     assert found == {1: "x\na\nb", 2: "", 3: ""}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_duplicate_bytes(docs, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr("hushframe.llm.repeats.LEAST_BLOCK", 3000)
-    if hot:
-        monkeypatch.setattr(suffixes.Flags, "merge", classmethod(lambda cls, p, own=suffixes.Flags.merge.__func__: own(type("Few", (), {"HOT": 2}), p)))
-    found = suffixes.duplicate_bytes(docs)
+@pytest.mark.parametrize("sizes", [{"block": 3000}, {"block": 3000, "piece": 400}, {"hot": 2, "block": 3000}, {}])
+def test_duplicate_bytes(docs, rows, empty, monkeypatch, sizes):
+    """In many blocks, with texts cut into pieces, with hot prefixes, and in one block."""
+    sizes = dict(sizes)
+    if hot := sizes.pop("hot", None):
+        monkeypatch.setattr(suffixes.Flags, "merge", classmethod(lambda cls, p, b, own=suffixes.Flags.merge.__func__: own(type("Few", (), {"HOT": hot}), p, b)))
+    found = suffixes.duplicate_bytes(docs, **sizes)
     same(found.select("doc_id", "n_bytes", "n_removed", F.expr("size(spans) div 2"), F.sha2("kept", 256)), brute.duplicate_bytes(rows))
     assert suffixes.duplicate_bytes(empty).count() == 0
 
 
+def test_ids_must_be_integers(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for operator in (suffixes.duplicate_bytes, recompression.duplicate_windows):
+        with pytest.raises(TypeError):
+            operator(docs)
+
+
 def test_merge_never_loses_order():
     rng = random.Random(5)
-    runs = [sorted({bytes(rng.choices(b"ab", k=rng.randrange(1, 12))) for _ in range(rng.randrange(0, 40))}) for _ in range(7)]
-    merged = list(suffixes.merged_runs([suffixes.decoded(*suffixes.front_coded(r)) for r in runs]))
+    runs = [sorted({bytes(rng.choices(b"ab", k=9)) for _ in range(rng.randrange(0, 40))}) for _ in range(7)]
+
+    def coded(run):
+        import numpy as np
+
+        rows = np.array([list(k) for k in run], np.uint8).reshape(-1, 9)
+        shared, rest = suffixes.Runs.coded(rows, np.zeros(min(1, len(rows)), int))
+        again = suffixes.Runs.decoded(shared, rows[rest], 9)
+        assert (again == rows).all()
+        return iter(zip([r.tobytes() for r in again], shared.tolist(), strict=True))
+
+    merged = list(suffixes.merged_runs([coded(r) for r in runs]))
     assert [k for k, _, _ in merged] == sorted(k for r in runs for k in r)
     last = b""
     for key, shared, run in merged:
@@ -173,25 +191,35 @@ def test_merge_never_loses_order():
         last = key
 
 
-def test_duplicate_windows(docs, rows, empty, monkeypatch):
-    monkeypatch.setattr("hushframe.llm.repeats.LEAST_BLOCK", 3000)
-    found = recompression.duplicate_windows(docs)
+@pytest.mark.parametrize("sizes", [{"block": 3000}, {"block": 3000, "piece": 400}, {"block": 3000, "rounds": 6}, {}])
+def test_duplicate_windows(docs, rows, empty, sizes):
+    found = recompression.duplicate_windows(docs, **sizes)
     same(found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)), brute.duplicate_words(rows))
     assert recompression.duplicate_windows(empty).count() == 0
 
 
-def test_anchors_depend_on_the_window_only():
+def test_equal_windows_have_equal_symbols_inside():
+    """Rounds with names that all blocks share: what a window's own content fixes is the same wherever it stands."""
     import numpy as np
+    import pyarrow as pa
 
     rng = np.random.default_rng(1)
+    names = {}
     for alphabet in (2, 5, 1000):
-        inner = rng.integers(1, alphabet + 1, 60).astype(np.uint64)
+        inner = [f"w{x}" for x in rng.integers(0, alphabet, 60)]
         seen = set()
         for _ in range(20):
-            around = [rng.integers(1, alphabet + 1, int(rng.integers(0, 30))).astype(np.uint64) for _ in range(2)]
-            text = np.concatenate([around[0], inner, around[1]])
-            at = recompression.anchors(text, np.array([0, len(text)]), np.array([len(around[0]) + 3]), 50)
-            seen.add(int(at[0]))
+            around = [[f"w{x}" for x in rng.integers(0, alphabet, int(rng.integers(0, 30)))] for _ in range(2)]
+            table = pa.table({"text": [" ".join(around[0] + inner + around[1])], "doc": [1]})
+            own = recompression.Sequence(table, 50, 4, 1)
+            word = {w: names.setdefault(w, len(names) + 1) for w in own.distinct.to_pylist()}
+            own.read_words({(0, 0): b"\x08" + np.array([word[own.distinct[int(i)].as_py()] for i in own.word_keys()[0]], "<u8").tobytes()})
+            for r in range(1, 5):
+                own.pair_up(r)
+                keys, _, _ = own.pair_keys()
+                own.read_pairs(r, {(r, 0): b"\x08" + np.array([names.setdefault((r, *map(int, k)), len(names) + 1) for k in zip(*keys, strict=True)], "<u8").tobytes()})
+            at = int(np.searchsorted(own.alive, len(around[0]) + 3))
+            seen.add(tuple(own.symbol[own.low[at] : own.high[at]].tolist()))
         assert len(seen) == 1
 
 
