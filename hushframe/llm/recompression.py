@@ -29,9 +29,16 @@ LENGTH = "<u4"
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """Numbers in four bytes each if they fit, else in eight; the first byte tells."""
-    small = not len(values) or int(values.max()) < 1 << 32
-    return (b"\4" if small else b"\x08") + values.astype("<u4" if small else "<u8").tobytes()
+    """Numbers in as few bytes each as all of them fit in; the first byte tells how many."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes((width,)) + values.astype(f"<u{width}").tobytes()
+
+
+def narrow_ids(ids: np.ndarray) -> bytes:
+    """The same for document ids, which may be negative."""
+    width = 4 if not len(ids) or (ids.min() >= -(1 << 31) and ids.max() < 1 << 31) else 8
+    return bytes((width,)) + ids.astype(f"<i{width}").tobytes()
 
 
 def wide(payload: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
@@ -251,12 +258,13 @@ class Repeats:
         self.inverse[order] = np.cumsum(fresh) - 1
 
     def sent(self, block: int) -> list[tuple]:
-        return [(WHOLE, b, block, self.one[s:e].astype("<u8").tobytes() + self.two[s:e].astype("<u8").tobytes() + self.least[s:e].astype("<i8").tobytes()) for b, s, e in self.stretches]
+        return [(WHOLE, b, block, (e - s).to_bytes(4, "little") + self.one[s:e].astype("<u8").tobytes() + self.two[s:e].astype("<u8").tobytes() + narrow_ids(self.least[s:e])) for b, s, e in self.stretches]
 
     @staticmethod
     def merge(payloads: list[bytes], _: int) -> list[bytes]:
-        sizes = [len(p) // 24 for p in payloads]
-        one, two, least = (np.concatenate([np.frombuffer(p, kind, n, 8 * k * n) for p, n in zip(payloads, sizes, strict=True)]) for k, kind in enumerate(("<u8", "<u8", "<i8")))
+        sizes = [int.from_bytes(p[:4], "little") for p in payloads]
+        one, two = (np.concatenate([np.frombuffer(p, "<u8", n, 4 + 8 * k * n) for p, n in zip(payloads, sizes, strict=True)]) for k in (0, 1))
+        least = np.concatenate([np.frombuffer(p, f"<i{p[4 + 16 * n]}", n, 5 + 16 * n) for p, n in zip(payloads, sizes, strict=True)]).astype(np.int64)
         order = np.lexsort((two, one))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
