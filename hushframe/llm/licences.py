@@ -125,8 +125,9 @@ UNKNOWN_BELOW, CONFIRM_FROM = 0.5, 0.4
 
 
 def spelt(text: Column) -> Column:
-    """One spelling of names: the institute's letters only as capitals (small ones are a German word), versions apart from what they follow."""
-    named = F.regexp_replace(text, r"(?<![A-Za-z])MIT(?![A-Za-z])", "mitname")
+    """One spelling of names: the institute's letters only as capitals among small letters (else they are a German word), versions apart from what they follow."""
+    shouted = F.regexp_count(text, F.lit(r"\p{Lu}{3,}")) >= SHOUTED
+    named = F.when(shouted, text).otherwise(F.regexp_replace(text, r"(?<![A-Za-z])MIT(?![A-Za-z])", "mitname"))
     bare = F.translate(F.lower(named), "äöüßéèêáíóúñç", "aouseeeaiounc")
     apart = F.regexp_replace(bare, r"(?<![a-z])(cc|[al]?gpl|bsd|mpl|apache|mitname)[\-/]?(?=v?[0-9]|by|x11|lizenz|only)", "$1 ")
     return F.regexp_replace(apart, r"(?<![a-z])by (sa|nc)(?![a-z])", "by-$1")
@@ -136,6 +137,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(spelt(text), r"[^a-z0-9\-]+"), lambda w: F.length(w) > 0)
 
 
+#: Words in capitals from which on a paragraph is in capitals as a whole.
+SHOUTED = 6
 #: Any candidate holds one of these, small or in capitals; and of names that are parts of ordinary words, one of these as it is.
 HINTS = (
     "licen", "lizenz", "spdx", "copyright", "permission", "permitted", "redistribut", "software", "warrant", "gnu", "gpl", "affero", "apache", "bsd", "mozilla", "creative commons",
