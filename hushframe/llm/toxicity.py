@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from .arrowtext import BASE, LOWER_VALUES, Words, mix, prefix_sums, slices, span_hash, texts
 from .decontaminate import SEPARATORS
 
-#: Bounds of the training sample, documents of each class.
-SAMPLE_DOCS = 1500
+#: Bounds of the training sample: documents of each class, and bytes of a text that it takes.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32 << 10
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: First letters (bytes) of a word that have embeddings of their own.
 STEMS = (4, 5, 6)
@@ -138,7 +138,7 @@ def _start(tokens: Tokens, toxic: np.ndarray, rng: np.random.Generator) -> Netwo
     seen = np.unique(np.concatenate([np.unique(doc * BUCKETS + column) for column in tokens.ids.T]))
     bad, good = (np.bincount(seen % BUCKETS, toxic[seen // BUCKETS] == y, BUCKETS) for y in (1, 0))
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
-    table[:, 0] = odds * (bad + good) / (bad + good + 4) / 4
+    table[:, 0] = odds * (bad + good) / (bad + good + 12) / 4
     table[0] = 0
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
@@ -233,7 +233,7 @@ def train(found: list[tuple[str | None, int]], counts: dict[int, int]) -> Networ
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int) -> tuple[list[tuple], dict[int, int]]:
-    """At most ``sample`` labelled texts of each class, the first by a hash of the id, none held out."""
+    """At most ``sample`` labelled texts of each class, the first by a hash of the id, none held out and none longer than SAMPLE_BYTES; each text once."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     counts = {0: 0, 1: 0} | {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ids = None
@@ -241,15 +241,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
         ids = part if ids is None else ids.union(part)
     # At most 2 * sample ids: a side of proven size.
-    rows = docs.select(doc_id, text).join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(text).alias("t"), F.first("y").alias("y"))
-    return [(r["t"], r["y"]) for r in rows.orderBy(doc_id).collect()], counts
+    short = docs.select(doc_id, text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES)
+    rows = short.join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(text).alias("t"), F.first("y").alias("y"))
+    # Copies would count a wrong label as often as there are of them; of a text's labels the more frequent one holds.
+    texts_ = rows.groupBy("t").agg((F.avg("y") > 0.5).cast("int").alias("y"), F.min(F.xxhash64(doc_id)).alias("at"))
+    return [(r["t"], r["y"]) for r in texts_.orderBy("at", "t").collect()], counts
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` with ``held_out, score, predicted``.
 
-    Learns from at most ``sample`` labelled documents of each class that are not held out, and
-    from their texts only. Null and empty texts get the score of no words; without labels of
+    Learns from at most ``sample`` labelled documents of each class that are not held out (of
+    texts up to SAMPLE_BYTES, equal ones once), and from their texts only. Null and empty texts get the score of no words; without labels of
     both classes every score is 0; repeated rows score alike; an empty table stays empty.
     """
     net = train(*labelled_sample(docs, labels, doc_id, text, label, sample))

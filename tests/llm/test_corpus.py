@@ -284,6 +284,30 @@ def test_licences(spark, docs, empty):
     assert licences.licence_scan(docs).where("n_confirmed > 0").count() == 0
 
 
+def test_network_against_plain_loops():
+    """The forward pass, worked out window by window; repeated texts score alike."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    table = rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    table[0] = 0
+    filters = [rng.normal(0, 1, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    total = toxicity.FILTERS * len(toxicity.WIDTHS)
+    net = toxicity.Network(table, filters, rng.normal(0, 1, total).astype(np.float32), rng.normal(0, 1, total).astype(np.float32), 0.3)
+    tokens = toxicity.Tokens(pa.array(["one two three four", "", "the THE the", "one two three four", "x", None]))
+    got = net.logit(tokens.ids, tokens.first)
+    for k, (s, e) in enumerate(zip(tokens.first[:-1], tokens.first[1:], strict=True)):
+        rows = [sum(table[i] for i in ids) for ids in tokens.ids[s:e]]
+        tops = []
+        for f in filters:
+            for c in range(toxicity.FILTERS):
+                tops.append(max(sum(float(rows[i + j] @ f[j][:, c]) for j in range(len(f))) for i in range(e - s - max(toxicity.WIDTHS) + 1)))
+        want = sum(max(t + b, 0) * o for t, b, o in zip(tops, net.bias, net.out, strict=True)) + net.out_bias
+        assert got[k] == pytest.approx(want, abs=1e-3)
+    assert got[0] == pytest.approx(got[3]) and got[1] == pytest.approx(got[5])
+
+
 #: Lines and the family that a person finds in them; none of them is a training text.
 LABELLED = [
     ("MIT", "MIT"), ("Distributed under the Apache 2.0 terms.", "Apache-2.0"), ("BSD 3-Clause", "BSD"), ("CC BY 4.0", "CC-BY"), ("SPDX: GPL-3.0-only", "GPL"), ("Veröffentlicht unter der MIT-Lizenz.", "MIT"),
