@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .archives import MIN_REVISIT_BYTES
+from .covertree import ENTRIES, PARTS, ROUNDS, SCALE
 from .linededup import LOWER, MIN_CHARS, MIN_DOCS, UPPER
 from .quality import MAX_HOST_RATE, MAX_REPEAT_PERCENT, MIN_WORDS
 from .recompression import WINDOW
@@ -77,10 +79,43 @@ BYTE_WINDOWS = f"""WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')
     s AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (gone = 0), ''))) AS kept_sha256 FROM r GROUP BY doc_id)
     SELECT d.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept_sha256, {EMPTY}) AS kept_sha256 FROM documents d LEFT JOIN s USING (doc_id)"""
 
+ARCHIVES = f"""WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    row_number() OVER same AS place, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages WINDOW same AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST)),
+    r AS (SELECT *, payload_bytes >= {MIN_REVISIT_BYTES} AND place > 1 AS again FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN newest END AS refers_to FROM r"""
+
+
+def floored(total: str, n: str) -> str:
+    """Exact floor of a quotient of whole numbers, ``n`` above 0."""
+    return f"(({total}) - ((({total}) % ({n})) + ({n})) % ({n})) // ({n})"
+
+
+def vector_codes(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> str:
+    """Lloyd's rounds over whole numbers, one step after the other."""
+    d = "(SELECT max(len(embedding)) FROM kept)"
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS nth FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+        x AS MATERIALIZED (SELECT nth, i // ({d} // {parts}) AS part, i % ({d} // {parts}) AS pos, CAST(floor(CAST({SCALE} AS DOUBLE) * v) AS BIGINT) AS x FROM (SELECT nth, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM kept)),
+        c0 AS MATERIALIZED (SELECT part, nth - 1 AS entry, pos, x FROM x WHERE nth <= {entries})"""]
+
+    def nearest(book: str) -> str:
+        return f"""(SELECT nth, part, arg_min(entry, (apart, entry)) AS entry, min(apart) AS apart FROM (SELECT nth, x.part, entry, sum((x.x - c.x) * (x.x - c.x)) AS apart FROM x JOIN {book} c ON x.part = c.part AND x.pos = c.pos GROUP BY ALL) GROUP BY nth, part)"""
+
+    for k in range(rounds):
+        steps.append(f"""a{k} AS MATERIALIZED {nearest(f'c{k}')},
+            m{k} AS (SELECT part, entry, pos, sum(x) AS total, count(*) AS n FROM x JOIN a{k} USING (nth, part) GROUP BY ALL),
+            c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, CAST(coalesce({floored('total', 'n')}, c.x) AS BIGINT) AS x FROM c{k} c LEFT JOIN m{k} USING (part, entry, pos))""")
+    last = f"c{rounds}"
+    steps.append(f"""f AS (SELECT nth, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(apart) AS BIGINT) AS error FROM {nearest(last)} GROUP BY nth),
+        digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM {last})""")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN kept USING (nth), digest"
+
+
 ORACLES = {
     "op2_quality_rules": QUALITY,
     "op3_decontaminate": DECONTAMINATION,
     "op6_line_dedup": LINES,
     "op9_suffix_dedup": BYTE_WINDOWS,
     "op10_recompression": WORD_WINDOWS,
+    "op11_archives": ARCHIVES,
+    "op12_vector_codes": vector_codes(),
 }

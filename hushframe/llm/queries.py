@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, linededup, mixing, oracles, quality, recompression, secretscan, simhash, suffixes, toxicity
+from . import archives, covertree, decontaminate, licences, linededup, mixing, oracles, quality, recompression, secretscan, simhash, suffixes, toxicity, whitening
+from .shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +70,26 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", sha("kept_text").alias("kept_sha256"))
 
 
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives of both versions, converted into WARC, and what the WARC files hold."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_arc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{folder}/arc", "page_id", "url", "html")
+    archives.arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc", first=F.col("key").cast("long"))
+    found = archives.resolved(archives.read_warc(spark, f"{folder}/warc", with_payload=False))
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_key").cast("long").alias("refers_to"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, book = covertree.vector_codes(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(covertree.book_digest(book)).alias("codebooks_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_quality_rules, op3_decontaminate, op4_licences, op5_simhash, op6_line_dedup, op7_secrets, op8_toxicity, op9_suffix_dedup, op10_recompression)
+    own = (op1_mix_sources, op2_quality_rules, op3_decontaminate, op4_licences, op5_simhash, op6_line_dedup, op7_secrets, op8_toxicity, op9_suffix_dedup, op10_recompression, op11_archives, op12_vector_codes, op13_whitening)
     return {f.__name__: f for f in own}
 
 
