@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import is_one_of, lit_array, squash, truncated
 from ..functions.materialize import materialized
 from .fields import field_kind
+from .intervals import holds, innermost, marked_by, within
 
 #: Vocabulary of roles, tags and attributes.
 INTERACTIVE_ROLES = (
@@ -38,7 +39,7 @@ TAG_ROLES = {"button": "button", "textarea": "textbox", "option": "option", "sum
 EDITABLE = ("true", "", "plaintext-only")
 NO_VALUE = ("checkbox", "radio", "submit", "button")
 NAME_CHARS, MIN_SIZE, MARGIN = 80, 10, 200
-CONTAINED = 0.9
+CONTAINED, LEAST_SHOWN = 0.9, 0.01
 
 
 def attr(name: str) -> Column:
@@ -141,15 +142,16 @@ def node_link_or_button(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("link_or_button", told)
 
 
-def node_visible(nodes: DataFrame) -> DataFrame:
-    """Nodes that neither hide themselves nor stand under an opacity that comes to nothing."""
+def _visible() -> Column:
+    """A node that does not hide itself, under opacities whose product (``shown``, which parsing carries down) is not nothing."""
     style = F.lower(F.coalesce(attr("style"), F.lit("")))
-    opacity = F.coalesce(F.regexp_extract(style, r"(?:^|;)\s*opacity\s*:\s*([0-9.]+)", 1).try_cast("double"), F.lit(1.0))
-    own = nodes.select("page_id", "node_id", opacity.alias("opacity")).where(F.col("opacity") < 1)
-    chain = nodes.select("page_id", "node_id", F.explode(F.concat(F.array("node_id"), "ancestors")).alias("of"))
-    dim = chain.join(own.withColumnRenamed("node_id", "of").hint("merge"), ["page_id", "of"]).groupBy("page_id", "node_id").agg(F.product("opacity").alias("shown")).where(F.col("shown") <= 0.01)
     hidden = F.coalesce(attr("aria-hidden") == "true", F.lit(False)) | style.rlike(r"display\s*:\s*none") | style.rlike(r"visibility\s*:\s*hidden")
-    return nodes.where(~hidden).join(dim.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
+    return ~hidden & (F.col("shown") > LEAST_SHOWN)
+
+
+def node_visible(nodes: DataFrame) -> DataFrame:
+    """Nodes that neither hide themselves nor stand under an opacity that comes to nothing."""
+    return nodes.where(_visible())
 
 
 def near_viewport(width: float, height: float, margin: float = MARGIN, min_size: float = MIN_SIZE) -> Column:
@@ -168,19 +170,18 @@ def node_scrollable(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
     over = lambda way, content, shown: is_one_of(F.col(way), ("auto", "scroll")) & (F.col(content) > F.col(shown) + 1)
     boxes = metrics.where(over("overflow_y", "scroll_height", "client_height") | over("overflow_x", "scroll_width", "client_width")).select("page_id", F.col("node_id").alias("of"))
     boxes = boxes.join(nodes.where(F.col("tag").isin("html", "body")).select("page_id", F.col("node_id").alias("of")), ["page_id", "of"], "left_anti")
-    chain = nodes.select("page_id", "node_id", F.explode(F.concat(F.array("node_id"), "ancestors")).alias("of"))
-    hit = chain.join(boxes.hint("merge"), ["page_id", "of"], "left_semi").select("page_id", "node_id").distinct().withColumn("scrollable", F.lit(True))
+    marked = marked_by(nodes, boxes.withColumnRenamed("of", "node_id"), "box")
+    hit = marked.withColumn("scrollable", F.col("box") | within(F.col("box"))).where("scrollable").select("page_id", "node_id", "scrollable")
     return nodes.join(hit.hint("merge"), ["page_id", "node_id"], "left").withColumn("scrollable", F.coalesce("scrollable", F.lit(False)))
 
 
 def label_for(nodes: DataFrame) -> DataFrame:
-    """``page_id, node_id, label``: the label that names a node's id, else the one that holds the node."""
-    labels = nodes.where((F.col("tag") == "label") & filled(F.col("inline_text")).isNotNull())
-    by_id = labels.where(has_attr("for")).groupBy("page_id", attr("for").alias("_id")).agg(F.min_by(squash(F.col("inline_text")), "pos").alias("label"), F.lit(0).alias("_way"))
+    """``page_id, node_id, label``: the label that names a node's id, else the nearest one with a text that holds the node."""
+    labels = nodes.where((F.col("tag") == "label") & filled(F.col("inline_text")).isNotNull()).select("page_id", "node_id", "pos", attr("for").alias("_id"), squash(F.col("inline_text")).alias("label"))
+    by_id = labels.where(F.col("_id").isNotNull()).groupBy("page_id", "_id").agg(F.min_by("label", "pos").alias("label"), F.lit(0).alias("_way"))
     named = nodes.where(has_attr("id")).select("page_id", "node_id", attr("id").alias("_id")).join(by_id.hint("merge"), ["page_id", "_id"]).select("page_id", "node_id", "label", "_way")
-    above = nodes.select("page_id", "node_id", F.posexplode("ancestors").alias("_way", "_of"))
-    held = labels.select("page_id", F.col("node_id").alias("_of"), squash(F.col("inline_text")).alias("label"))
-    wrapped = above.join(held.hint("merge"), ["page_id", "_of"]).select("page_id", "node_id", "label", (F.col("_way") + 1).alias("_way"))
+    inside = nodes.where(F.col("label_id").isNotNull()).select("page_id", "node_id", F.col("label_id").alias("_of"))
+    wrapped = inside.join(labels.select("page_id", F.col("node_id").alias("_of"), "label").hint("merge"), ["page_id", "_of"]).select("page_id", "node_id", "label", F.lit(1).alias("_way"))
     return named.union(wrapped).groupBy("page_id", "node_id").agg(F.min_by("label", "_way").alias("label"))
 
 
@@ -196,16 +197,17 @@ def labelled_by(nodes: DataFrame) -> DataFrame:
 def container_labels(nodes: DataFrame) -> DataFrame:
     """Adds ``label``, what a container is called: the texts that it refers to, else its own label; null if neither."""
     rows = nodes.join(labelled_by(nodes).withColumnRenamed("label", "_referred").hint("merge"), ["page_id", "node_id"], "left")
-    return rows.withColumn("label", F.coalesce(filled(F.col("_referred")), filled(attr("aria-label")))).drop("_referred")
+    return rows.withColumn("label", _container_label()).drop("_referred")
 
 
-def node_name(nodes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Adds ``name``, the accessible name, by precedence of its sources; whole, so that redaction comes before any cut."""
-    by_reference = labelled_by(nodes).withColumnRenamed("label", "_referred")
-    by_label = label_for(nodes).withColumnRenamed("label", "_label")
-    rows = nodes.join(by_reference.hint("merge"), ["page_id", "node_id"], "left").join(by_label.hint("merge"), ["page_id", "node_id"], "left")
+def _container_label() -> Column:
+    return F.coalesce(filled(F.col("_referred")), filled(attr("aria-label")))
+
+
+def _name() -> Column:
+    """The accessible name by precedence of its sources, over node columns and ``_referred`` and ``_label``."""
     tag, kind = F.col("tag"), input_type()
-    name = F.coalesce(
+    return F.coalesce(
         filled(F.col("_referred")),
         filled(attr("aria-label")),
         F.when((tag == "input") & kind.isin("submit", "button", "reset"), filled(attr("value"))),
@@ -218,12 +220,34 @@ def node_name(nodes: DataFrame, limit: int | None = None) -> DataFrame:
         filled(attr("name")),
         F.lit(""),
     )
-    return rows.withColumn("name", truncated(name, limit) if limit else name).drop("_referred", "_label")
+
+
+def with_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows``, some of ``nodes``, with ``_label`` and ``_referred``, dealt by page: what is asked of other nodes comes to them in one exchange.
+
+    A join by page and node would deal both sides by both, and what follows by page again.
+    """
+    own = rows.select("page_id", "node_id", F.struct(*[c for c in rows.columns if c not in ("page_id", "node_id")]).alias("_row"))
+    none = lambda *names: {n: F.lit(None).cast("string") for n in names}
+    told = label_for(nodes).withColumnRenamed("label", "_label").withColumns(none("_referred"))
+    referred = labelled_by(nodes).withColumnRenamed("label", "_referred").withColumns(none("_label"))
+    empty = F.lit(None).cast(own.schema["_row"].dataType)
+    every = own.withColumns(none("_label", "_referred"))
+    for part in (told, referred):
+        every = every.unionByName(part.withColumn("_row", empty))
+    met = every.repartition("page_id").groupBy("page_id", "node_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_row", "_label", "_referred")])
+    return met.where(F.col("_row").isNotNull()).select("page_id", "node_id", "_row.*", "_label", "_referred")
+
+
+def node_name(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``name``, the accessible name; whole, so that redaction comes before any cut."""
+    name = _name()
+    return with_labels(nodes, nodes).withColumn("name", truncated(name, limit) if limit else name).drop("_referred", "_label")
 
 
 def node_value(nodes: DataFrame) -> DataFrame:
     """Adds ``value``: what an input, text area or list holds now; empty for boxes and buttons."""
-    options = nodes.where(F.col("tag") == "option").select("page_id", F.explode("ancestors").alias("node_id"), "pos", has_attr("selected").alias("_on"), squash(F.array_join("own_texts", "")).alias("_text"))
+    options = nodes.where(F.col("tag") == "option").where(F.col("select_id").isNotNull()).select("page_id", F.col("select_id").alias("node_id"), "pos", has_attr("selected").alias("_on"), squash(F.array_join("own_texts", "")).alias("_text"))
     chosen = options.groupBy("page_id", "node_id").agg(F.max_by("_text", F.struct("_on", (-F.col("pos")).alias("first"))).alias("_chosen"))
     rows = nodes.join(chosen.hint("merge"), ["page_id", "node_id"], "left")
     typed = F.when(is_one_of(input_type(), NO_VALUE), "").otherwise(squash(F.coalesce(attr("value"), F.lit(""))))
@@ -231,13 +255,16 @@ def node_value(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("value", value).drop("_chosen")
 
 
+def _sensitive() -> Column:
+    """The kind that a node's declaration gives, over node columns and ``_label``."""
+    words = F.concat_ws(" ", attr("aria-label"), attr("name"), attr("placeholder"), attr("id"), F.when(F.col("tag").isin("input", "textarea"), F.col("_label")))
+    return field_kind(F.col("tag"), attr("type"), attr("autocomplete"), attr("role"), _editable(), words)
+
+
 def node_sensitive(nodes: DataFrame) -> DataFrame:
     """Adds ``sensitive``: the kind that the node's declaration gives."""
     label = label_for(nodes).withColumnRenamed("label", "_label")
-    rows = nodes.join(label.hint("merge"), ["page_id", "node_id"], "left")
-    words = F.concat_ws(" ", attr("aria-label"), attr("name"), attr("placeholder"), attr("id"), F.when(F.col("tag").isin("input", "textarea"), F.col("_label")))
-    kind = field_kind(F.col("tag"), attr("type"), attr("autocomplete"), attr("role"), _editable(), words)
-    return rows.withColumn("sensitive", kind).drop("_label")
+    return nodes.join(label.hint("merge"), ["page_id", "node_id"], "left").withColumn("sensitive", _sensitive()).drop("_label")
 
 
 def node_states(nodes: DataFrame) -> DataFrame:
@@ -265,23 +292,26 @@ def internal_url(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("internal", F.col(url).rlike("(?i)^(chrome|edge|about|chrome-extension|devtools|view-source):"))
 
 
+def _dominated() -> Column:
+    """Whether a node above has the same name in ``_named``, and is strong or the node weak."""
+    weaker = within(F.lit(True), "_named") & ~F.col("strong")
+    return F.col("_named").isNotNull() & (within(F.col("strong"), "_named") | weaker)
+
+
 def name_dominance(candidates: DataFrame) -> DataFrame:
     """Drops a node that a candidate above it names alike, if that one is strong or the node is weak.
 
-    The rule is transitive, so testing against all named candidates equals testing against kept ones.
+    The rule is transitive, so testing against all named candidates equals testing against kept
+    ones: candidates of one page and name in their order, and how far the ones before reach.
     """
-    named = candidates.where(F.coalesce(F.col("name"), F.lit("")) != "")
-    above = named.select("page_id", F.col("node_id").alias("_of"), "name", F.col("strong").alias("_strong"))
-    below = named.select("page_id", "node_id", "name", "strong", F.explode("ancestors").alias("_of"))
-    gone = below.join(above.hint("merge"), ["page_id", "_of", "name"]).where(F.col("_strong") | ~F.col("strong")).select("page_id", "node_id").distinct()
-    return candidates.join(gone.hint("merge"), ["page_id", "node_id"], "left_anti")
+    rows = candidates.withColumn("_named", F.nullif("name", F.lit("")))
+    return rows.withColumn("_gone", _dominated()).where(~F.col("_gone")).drop("_gone", "_named")
 
 
 def nearest_kept_ancestor(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """``page_id, node_id, ancestor``: the nearest of ``kept`` above each node."""
-    chain = nodes.select("page_id", "node_id", F.posexplode("ancestors").alias("_far", "_of"))
-    met = chain.join(kept.select("page_id", F.col("node_id").alias("_of")).hint("merge"), ["page_id", "_of"])
-    return met.groupBy("page_id", "node_id").agg(F.min_by("_of", "_far").alias("ancestor"))
+    met = innermost(marked_by(nodes, kept, "kept"), F.col("kept"), "_level", ancestor=F.col("node_id"))
+    return met.where(F.col("ancestor").isNotNull()).select("page_id", "node_id", "ancestor")
 
 
 def collapse_wrappers(candidates: DataFrame) -> DataFrame:
@@ -289,15 +319,20 @@ def collapse_wrappers(candidates: DataFrame) -> DataFrame:
 
     A weak node under a link or button goes; of two that nearly coincide the weak one goes, the
     outer one if both are weak, none if both are strong. Each step looks at what is still there.
-    Columns: ``page_id, node_id, ancestors, pos, strong_element, link_or_button, x, y, width, height``.
+    Columns: ``page_id, node_id, last, strong_element, link_or_button, x, y, width, height``. One pass
+    over a page's nodes, with those on a stack whose subtrees are open.
     """
 
     def collapse(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("pos", kind="stable")
-        rows = {r.node_id: r for r in page.itertuples()}
-        left = dict.fromkeys(rows, True)
-        for node, r in rows.items():
-            outer = next((rows[a] for a in r.ancestors if left.get(a)), None) if left[node] else None
+        page = page.sort_values("node_id", kind="stable")
+        left, open_ = dict.fromkeys(page["node_id"], True), []
+        for r in page.itertuples():
+            node = r.node_id
+            # Off the stack goes what has ended, and what has gone: it is nobody's outer control any more.
+            while open_ and (open_[-1].last < node or not left[open_[-1].node_id]):
+                open_.pop()
+            outer = open_[-1] if open_ else None
+            open_.append(r)
             if outer is None:
                 continue
             if not r.strong_element and outer.link_or_button:
@@ -316,19 +351,18 @@ def collapse_wrappers(candidates: DataFrame) -> DataFrame:
 
 def structural_containers(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Nodes of structural tags that stand above a kept node and are not kept themselves."""
-    above = nodes.join(kept.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi").select("page_id", F.explode("ancestors").alias("node_id")).distinct()
-    found = nodes.where(F.col("tag").isin(*STRUCTURAL_TAGS)).join(above.hint("merge"), ["page_id", "node_id"], "left_semi")
-    return found.join(kept.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
+    marked = marked_by(nodes, kept, "kept")
+    above = marked.withColumn("_above", holds(F.col("kept"))).where(F.col("_above") & ~F.col("kept"))
+    return nodes.where(F.col("tag").isin(*STRUCTURAL_TAGS)).join(above.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi")
 
 
 def attach_parents(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Kept nodes and their containers with ``parent``, the nearest of both above (null at the root), and ``level``."""
-    kept = materialized(kept.select("page_id", "node_id"))
-    shown = materialized(kept.union(structural_containers(nodes, kept).select("page_id", "node_id")).distinct())
-    rows = nodes.join(shown.hint("merge"), ["page_id", "node_id"], "left_semi")
-    chain = rows.select("page_id", "node_id", F.posexplode("ancestors").alias("_far", "_of"))
-    met = chain.join(shown.withColumnRenamed("node_id", "_of").hint("merge"), ["page_id", "_of"]).groupBy("page_id", "node_id").agg(F.min_by("_of", "_far").alias("parent"), F.count("*").alias("level"))
-    return rows.join(met.hint("merge"), ["page_id", "node_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)).cast("int"))
+    structural = nodes.where(F.col("tag").isin(*STRUCTURAL_TAGS)).select("page_id", "node_id", "last")
+    marked = marked_by(structural.unionByName(nodes.join(kept.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi").select("page_id", "node_id", "last")), kept, "kept")
+    shown = marked.withColumn("_shown", F.col("kept") | holds(F.col("kept"))).where("_shown").drop("_shown", "kept")
+    met = innermost(shown, F.lit(True), "level", parent=F.col("node_id")).select("page_id", "node_id", "parent", "level")
+    return nodes.join(met.hint("merge"), ["page_id", "node_id"])
 
 
 def document_order(df: DataFrame) -> DataFrame:
@@ -343,11 +377,45 @@ def classified_counts(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("sensitive").isNotNull()).groupBy("page_id", F.col("sensitive").alias("kind")).agg(F.count("*").alias("fields"))
 
 
+#: Columns of a node that later steps read; texts stay behind once names are known.
+_NODE = ("page_id", "node_id", "parent_id", "last", "depth", "pos", "tag", "attrs", "shadow")
+
+
+def _signals(nodes: DataFrame) -> DataFrame:
+    return node_link_or_button(node_strong_element(node_strong_signal(node_interactive(node_role(nodes)))))
+
+
+_SIGNALS = ("role", "interactive", "strong", "strong_element", "link_or_button")
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Visible interactive nodes with role, strength and name; nameless weak ones are layout. Written once, as later steps join it with itself."""
-    rows = node_strong_signal(node_interactive(node_role(node_visible(nodes)))).where("interactive")
-    named = node_name(nodes).select("page_id", "node_id", "name")
-    return materialized(rows.join(named.hint("merge"), ["page_id", "node_id"]).where(F.col("strong") | (F.col("name") != "")))
+    """Visible interactive nodes with role, strength and name, dealt by page; nameless weak ones are layout."""
+    rows = with_labels(_signals(node_visible(nodes)).where("interactive"), nodes).withColumn("name", _name())
+    return rows.where(F.col("strong") | (F.col("name") != "")).select(*_NODE, *_SIGNALS, "name")
+
+
+def placed_controls(nodes: DataFrame) -> DataFrame:
+    """The controls that stay and their containers, each with ``element`` (whether it is a control), ``name``, ``label`` (of a container), ``sensitive``, ``parent`` and ``level``.
+
+    All of name dominance, weak nodes inside, containers and parents for every page, after one
+    exchange by page of the rows that can matter, without their texts.
+    """
+    seen = F.col("interactive") & F.col("_seen")
+    rows = _signals(nodes).withColumn("_seen", _visible()).withColumn("_structural", F.col("tag").isin(*STRUCTURAL_TAGS)).where(seen | F.col("_structural"))
+    rows = with_labels(rows, nodes).withColumns({"name": F.when(seen, _name()), "label": _container_label(), "sensitive": _sensitive()})
+    rows = rows.select(*_NODE, *_SIGNALS, "name", "label", "sensitive", "_structural", (seen & (F.col("strong") | (F.col("name") != ""))).alias("element"))
+    rows = rows.withColumn("_named", F.when(F.col("element"), F.nullif("name", F.lit(""))))
+    rows = rows.withColumn("element", F.col("element") & ~_dominated()).drop("_named").where(F.col("element") | F.col("_structural"))
+    rows = _without_weak(rows)
+    rows = rows.withColumn("_shown", F.col("element") | (F.col("_structural") & holds(F.col("element")))).where("_shown").drop("_shown", "_structural")
+    return innermost(rows, F.lit(True), "level", parent=F.col("node_id"))
+
+
+def _without_weak(rows: DataFrame) -> DataFrame:
+    """Elements that are weak and right under an element that is a link or a button are none any more."""
+    met = innermost(rows, F.col("element"), "_level", _link=F.col("link_or_button"))
+    weak = F.col("element") & ~F.col("strong_element") & F.coalesce("_link", F.lit(False))
+    return met.withColumn("element", F.col("element") & ~weak).drop("_level", "_link")
 
 
 def scan_funnel(nodes: DataFrame) -> DataFrame:
@@ -363,11 +431,8 @@ def scan_funnel(nodes: DataFrame) -> DataFrame:
 
 def without_weak_inside(kept: DataFrame) -> DataFrame:
     """Without boxes: weak nodes right under a kept link or button go."""
-    rows = node_link_or_button(node_strong_element(kept))
-    near = nearest_kept_ancestor(rows, kept)
-    outer = rows.select("page_id", F.col("node_id").alias("ancestor"), F.col("link_or_button").alias("_link"))
-    gone = rows.where(~F.col("strong_element")).join(near.hint("merge"), ["page_id", "node_id"]).join(outer.hint("merge"), ["page_id", "ancestor"]).where("_link")
-    return rows.join(gone.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
+    rows = node_link_or_button(node_strong_element(kept)).withColumn("element", F.lit(True))
+    return _without_weak(rows).where("element").drop("element")
 
 
 def page_scan_report(pages: DataFrame, elements: DataFrame, regions: DataFrame, frames: DataFrame) -> DataFrame:

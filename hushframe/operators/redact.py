@@ -68,6 +68,12 @@ def redact_container_labels(nodes: DataFrame, label: str = "label", limit: int =
     return redact_names(nodes, label, limit)
 
 
+def redact_controls(placed: DataFrame) -> DataFrame:
+    """``name`` of controls and, in its place, ``label`` of containers, each redacted whole and cut to its own length."""
+    cut = lambda name, limit: bound(redacted(squash(F.col(name))), lambda n: truncated(n, limit))
+    return placed.withColumn("name", F.coalesce(F.when(F.col("element"), cut("name", NAME_CHARS)).otherwise(cut("label", LABEL_CHARS)), F.lit("")))
+
+
 def redact_values(nodes: DataFrame, value: str = "value", kind: str = "sensitive", handle: str | None = None, limit: int = VALUE_CHARS) -> DataFrame:
     """A declared kind hides the whole value (as ``handle`` if that column has one); others are searched."""
     whole = F.concat(F.lit("[redacted:"), F.coalesce(F.col(handle), F.col(kind)) if handle else F.col(kind), F.lit("]"))

@@ -242,10 +242,10 @@ def labelled_by(spark, sf_dir):
     return _long_id(nodes.labelled_by(page_rows(spark, sf_dir))).select("page_id", "node_id", "label")
 
 
-@query(f"SELECT page_id, node_id, tag, left(name, 30) AS name FROM {markup.KEPT}")
+@query(f"SELECT page_id, node_id, tag, name FROM {markup.KEPT}")
 def name_dominance(spark, sf_dir):
     kept = redact.redact_names(nodes.name_dominance(nodes.candidates(page_rows(spark, sf_dir))))
-    return _long_id(kept).select("page_id", "node_id", "tag", F.left("name", F.lit(30)).alias("name"))
+    return _long_id(kept).select("page_id", "node_id", "tag", "name")
 
 
 @query(
@@ -274,7 +274,7 @@ def collapse_wrappers(spark, sf_dir):
     rows = nodes.node_link_or_button(nodes.node_strong_element(nodes.candidates(page_rows(spark, sf_dir))))
     level = F.col("depth").cast("double")
     rows = rows.withColumns({"x": level, "y": level, "width": 200 - 2 * level, "height": 100 - 2 * level})
-    return _long_id(nodes.collapse_wrappers(rows.select("page_id", "node_id", "ancestors", "pos", "tag", "strong_element", "link_or_button", "x", "y", "width", "height"))).select("page_id", "node_id", "tag")
+    return _long_id(nodes.collapse_wrappers(rows.select("page_id", "node_id", "last", "pos", "tag", "strong_element", "link_or_button", "x", "y", "width", "height"))).select("page_id", "node_id", "tag")
 
 
 @query(
@@ -297,13 +297,8 @@ def page_scan_report(spark, sf_dir):
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, kept = kept_nodes(spark, sf_dir)
-    placed = materialized(nodes.attach_parents(rows, kept))
-    shown = nodes.node_role(nodes.container_labels(placed)).join(kept.select("page_id", "node_id", F.lit(True).alias("element"), "name").hint("merge"), ["page_id", "node_id"], "left")
-    shown = redact.redact_container_labels(shown).withColumn("element", F.coalesce("element", F.lit(False)))
-    named = redact.redact_names(shown.withColumn("name", F.coalesce("name", F.lit(""))))
-    named = named.withColumns({"name": F.when(F.col("element"), F.col("name")).otherwise(F.coalesce("label", F.lit(""))), "scrollable": F.lit(False)})
-    return outline.element_line(nodes.node_states(nodes.node_sensitive(named)))
+    placed = nodes.placed_controls(page_rows(spark, sf_dir)).withColumn("scrollable", F.lit(False))
+    return outline.element_line(nodes.node_states(redact.redact_controls(placed)))
 
 
 @query(f"SELECT page_id, node_id, line FROM {markup.LINES}")

@@ -40,8 +40,14 @@ def test_nodes(rows):
     assert got.count("p") == 2 and got.count("li") == 2 and "script" not in got and "template" not in got and "br" not in got
     shadow = rows.where("shadow").collect()
     assert [r["inline_text"] for r in shadow] == ["Shadow"]
-    for r in rows.collect():
-        assert r["depth"] == len(r["ancestors"]) and (r["ancestors"][0] if r["ancestors"] else None) == r["parent_id"]
+    got = {r["node_id"]: r for r in rows.collect()}
+    for r in got.values():
+        above = []
+        while (up := (above[-1] if above else r)["parent_id"]) is not None:
+            above.append(got[up])
+        assert r["depth"] == len(above) and all(a["node_id"] < r["node_id"] <= a["last"] for a in above)
+        assert sum(a["node_id"] < r["node_id"] <= a["last"] for a in got.values()) == len(above)
+        assert r["select_id"] == next((a["node_id"] for a in above if a["tag"] == "select"), None)
 
 
 def test_text_nodes_header_links_frames(spark, rows):
@@ -71,8 +77,18 @@ def test_text_nodes_are_apart(spark):
 def test_unclosed_tags_take_linear_time():
     began = time.time()
     found = source.parsed("<div>text " * 20000)
-    assert len(found) == 20000 and max(r["depth"] for r in found) <= source.MOST_DEPTH and time.time() - began < 20
+    assert len(found) == 20000 and max(r["depth"] for r in found) == 19999 and time.time() - began < 20
     assert len(source.parsed("<b>x" * 20000)) == 20000 and time.time() - began < 40
+    assert len(source.parsed("<b><p>x" * 5000 + "</i>" * 50000)) == 10000 and time.time() - began < 60
+
+
+def test_names_are_whole(spark):
+    long = "word " * 4000
+    html = f"<button>{long}a@example.com</button><label>{long}<input></label><div tabindex=0><h1>{long}</h1></div><i id=x><p>{long}</p>end</i><a href=/q aria-labelledby=x></a>"
+    rows = source.page_nodes(spark.createDataFrame([(1, "", html)], "page_id long, url string, html string"))
+    named = {r["tag"]: r["name"] for r in nodes.node_name(rows).collect()}
+    assert named["button"] == long + "a@example.com" and named["input"] == named["div"] == long.strip() and named["a"] == "end"
+    assert "a@example.com" not in redact.redact_names(nodes.node_name(rows)).where("tag = 'button'").first()["name"]
 
 
 def by_name(rows):
@@ -119,9 +135,9 @@ def test_dominance_keeps_the_strong_control(rows):
 
 
 def test_collapse(spark):
-    box = lambda n, up, strong, link, x, w: (1, n, up, n, strong, link, x, 0.0, w, 10.0)
-    made = [box(1, [], False, False, 0.0, 100.0), box(2, [1], False, False, 1.0, 98.0), box(3, [2, 1], True, True, 1.0, 98.0), box(4, [3, 2, 1], False, False, 5.0, 5.0), box(5, [3, 2, 1], True, False, 2.0, 97.0)]
-    df = spark.createDataFrame(made, "page_id long, node_id int, ancestors array<int>, pos int, strong_element boolean, link_or_button boolean, x double, y double, width double, height double")
+    box = lambda n, last, strong, link, x, w: (1, n, last, strong, link, x, 0.0, w, 10.0)
+    made = [box(1, 5, False, False, 0.0, 100.0), box(2, 5, False, False, 1.0, 98.0), box(3, 5, True, True, 1.0, 98.0), box(4, 4, False, False, 5.0, 5.0), box(5, 5, True, False, 2.0, 97.0)]
+    df = spark.createDataFrame(made, "page_id long, node_id int, last int, strong_element boolean, link_or_button boolean, x double, y double, width double, height double")
     assert sorted(r["node_id"] for r in nodes.collapse_wrappers(df).collect()) == [3, 5]
 
 
