@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detectors import pattern_matches, spliced
 from ..functions.materialize import materialized
+from ..functions.running import running_sum
 from .identify import keys_of, with_spans
 from .redact import with_handles
 
@@ -18,12 +19,29 @@ GRACE = 1
 SCHEMA = "scope string, handle string, kind string, value string, n long, seen_gen long"
 
 
+def _handle(tag: str) -> Column:
+    return F.concat("kind", F.lit(f"#{tag}"), F.col("n").cast("string"))
+
+
 def handle_numbering(found: DataFrame, scope: str, order: list[str], tag: str = "") -> DataFrame:
-    """``scope, kind, value, n, handle``: distinct values numbered by first appearance within their scope."""
+    """``scope, kind, value, n, handle``: distinct values numbered by first appearance within their scope, however many a scope has."""
     first = found.groupBy(scope, "kind", F.col("text").alias("value")).agg(F.min(F.struct(*order)).alias("at"))
-    n = F.row_number().over(Window.partitionBy(scope).orderBy("at", "kind", "value"))
-    numbered = first.withColumn("n", n.cast("long"))
-    return numbered.select(F.col(scope), "kind", "value", "n", F.concat("kind", F.lit(f"#{tag}"), F.col("n").cast("string")).alias("handle"))
+    numbered = running_sum(first.withColumn("_one", F.lit(1).cast("long")), scope, ["at", "kind", "value"], "_one", "n")
+    return numbered.select(F.col(scope), "kind", "value", "n", _handle(tag).alias("handle"))
+
+
+def newly_minted(found: DataFrame, vault: DataFrame, scope: str, order: list[str], gen: int = 0, tag: str = "") -> tuple[DataFrame, DataFrame]:
+    """Entries for values that the vault lacks, and ``scope, kind, value`` of all that were seen.
+
+    The vault's largest number of a scope stands first in the scope's order and is what counting
+    goes on from, so that nothing is joined by scope and no scope is numbered in one task.
+    """
+    seen = found.groupBy(F.col(scope).cast("string").alias("scope"), "kind", F.col("text").alias("value")).agg(F.min(F.struct(*order)).alias("at"))
+    fresh = seen.join(vault.select("scope", "kind", "value").hint("merge"), ["scope", "kind", "value"], "left_anti").withColumns({"_new": F.lit(1), "_by": F.lit(1).cast("long")})
+    last = vault.groupBy("scope").agg(F.max("n").alias("_by")).withColumn("_new", F.lit(0))
+    every = fresh.unionByName(last, allowMissingColumns=True)
+    counted = running_sum(every, "scope", ["_new", "at", "kind", "value"], "_by", "n").where("_new = 1")
+    return counted.select("scope", _handle(tag).alias("handle"), "kind", "value", "n", F.lit(gen).cast("long").alias("seen_gen")), seen.select("scope", "kind", "value")
 
 
 def vault_mint(found: DataFrame, vault: DataFrame, scope: str, order: list[str], gen: int = 0, tag: str = "") -> DataFrame:
@@ -32,19 +50,15 @@ def vault_mint(found: DataFrame, vault: DataFrame, scope: str, order: list[str],
     A scope's counter runs over all its kinds, goes on from the largest number ever given and is
     never used twice; the same kind and value keep their handle.
     """
-    seen = found.groupBy(F.col(scope).cast("string").alias("scope"), "kind", F.col("text").alias("value")).agg(F.min(F.struct(*order)).alias("at"))
-    last = vault.groupBy("scope").agg(F.max("n").alias("last"))
-    fresh = seen.join(vault.hint("merge"), ["scope", "kind", "value"], "left_anti").join(last.hint("merge"), "scope", "left")
-    n = F.row_number().over(Window.partitionBy("scope").orderBy("at", "kind", "value")) + F.coalesce("last", F.lit(0))
-    minted = fresh.withColumn("n", n.cast("long")).select("scope", F.concat("kind", F.lit(f"#{tag}"), F.col("n").cast("string")).alias("handle"), "kind", "value", "n", F.lit(gen).cast("long").alias("seen_gen"))
-    again = vault.join(seen.select("scope", "kind", "value", F.lit(True).alias("_seen")).hint("merge"), ["scope", "kind", "value"], "left")
+    minted, seen = newly_minted(found, vault, scope, order, gen, tag)
+    again = vault.join(seen.withColumn("_seen", F.lit(True)).hint("merge"), ["scope", "kind", "value"], "left")
     kept = again.select("scope", "handle", "kind", "value", "n", F.when(F.col("_seen"), F.lit(gen).cast("long")).otherwise(F.col("seen_gen")).alias("seen_gen"))
     return kept.unionByName(minted)
 
 
 def vault_lookup(df: DataFrame, vault: DataFrame, handle: str = "handle", scope: str = "scope") -> DataFrame:
     known = vault.select(F.col("scope").alias(scope), F.col("handle").alias(handle), "kind", "value", "n", "seen_gen")
-    return df.join(known, [scope, handle])
+    return df.join(known.hint("merge"), [scope, handle])
 
 
 def vault_expiry(vault: DataFrame, gen: int, grace: int = GRACE) -> DataFrame:
