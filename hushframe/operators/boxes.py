@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import box_axes, meeting
+
 DILATION, THRESHOLD, MAX_IOU, SCREEN_MARGIN = 3, 0.5, 0.3, 100
 
 
@@ -71,15 +73,17 @@ def box_iou(a: DataFrame, b: DataFrame, on: list[str], below: str | None = None,
     """Pairs of boxes of one image with ``iou``; columns of ``b`` get the prefix ``b_``.
 
     ``below`` names a column by which only pairs in ascending order are made, each once;
-    ``apart=False`` leaves out pairs that do not overlap, before anything is built of them.
+    ``apart=False`` makes overlapping pairs only, by cells; the pairs of a large image are then as many as
+    its overlaps, else the square of its boxes.
     """
-    other = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
-    pairs = a.join(other.hint("merge"), on)
+    if apart:
+        other = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on])
+        pairs = a.join(other.hint("merge"), on)
+    else:
+        crossing = lambda p, size: (F.col(p) < F.col(f"b_{p}") + F.col(f"b_{size}")) & (F.col(f"b_{p}") < F.col(p) + F.col(size))
+        pairs = meeting(a, b, on, box_axes(), box_axes()).where(crossing("x", "w") & crossing("y", "h"))
     if below is not None:
         pairs = pairs.where(F.col(below) < F.col(f"b_{below}"))
-    if not apart:
-        crossing = lambda p, size: (F.col(p) < F.col(f"b_{p}") + F.col(f"b_{size}")) & (F.col(f"b_{p}") < F.col(p) + F.col(size))
-        pairs = pairs.where(crossing("x", "w") & crossing("y", "h"))
     union = F.col("w") * F.col("h") + F.col("b_w") * F.col("b_h") - overlap_area()
     return pairs.withColumn("iou", F.when(union > 0, overlap_area() / union).otherwise(F.lit(0.0)))
 
@@ -99,16 +103,17 @@ def onscreen_regions(regions: DataFrame, width: float, height: float, margin: fl
 def occlusion(candidates: DataFrame, bounds: DataFrame, width: float, height: float) -> DataFrame:
     """Keeps a candidate whose centre is covered topmost by itself or a descendant; off-screen centres are kept.
 
-    ``candidates(page_id, node_id, x, y, w, h)``; ``bounds(page_id, node_id, ancestors, x, y, w, h, paint_order)``.
+    ``candidates(page_id, node_id, last, x, y, w, h)``, ``last`` being the last node of its subtree;
+    ``bounds(page_id, node_id, x, y, w, h, paint_order)``. A centre meets the boxes of the cells
+    that it lies in, not all of its page.
     """
-    at = candidates.withColumns({"_cx": F.col("x") + F.col("w") / 2, "_cy": F.col("y") + F.col("h") / 2})
-    on_screen = F.col("_cx").between(0, width) & F.col("_cy").between(0, height)
-    tops = bounds.select("page_id", F.col("node_id").alias("top"), F.col("ancestors").alias("top_ancestors"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"), "paint_order")
-    inside = F.col("_cx").between(F.col("bx"), F.col("bx") + F.col("bw")) & F.col("_cy").between(F.col("by"), F.col("by") + F.col("bh"))
-    hit = at.where(on_screen).select("page_id", "node_id", "_cx", "_cy").join(tops.hint("merge"), "page_id").where(inside)
-    top = hit.groupBy("page_id", "node_id").agg(F.max_by(F.struct("top", "top_ancestors"), "paint_order").alias("t"))
-    hidden = top.where((F.col("t.top") != F.col("node_id")) & ~F.array_contains("t.top_ancestors", F.col("node_id")))
-    return candidates.join(hidden.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+    at = candidates.select("page_id", "node_id", "last", (F.col("x") + F.col("w") / 2).alias("_cx"), (F.col("y") + F.col("h") / 2).alias("_cy"))
+    on_screen = at.where(F.col("_cx").between(0, width) & F.col("_cy").between(0, height))
+    point = [(F.col("_cx"), F.col("_cx")), (F.col("_cy"), F.col("_cy"))]
+    hit = meeting(on_screen, bounds.select("page_id", "node_id", "x", "y", "w", "h", "paint_order"), ["page_id"], point, box_axes())
+    top = hit.groupBy("page_id", "node_id", "last").agg(F.max_by("b_node_id", F.struct("b_paint_order", "b_node_id")).alias("top"))
+    hidden = top.where(~F.col("top").between(F.col("node_id"), F.col("last")))
+    return candidates.join(hidden.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_anti")
 
 
 def union_regions(**regions: DataFrame) -> DataFrame:

@@ -440,7 +440,7 @@ def page_scan_report(pages: DataFrame, elements: DataFrame, regions: DataFrame,
     out = pages.select("page_id", "url")
     fields = elements.where(F.col("sensitive").isNotNull())
     for df, name in ((elements, "elements"), (regions, "regions"), (frames, "frames"), (fields, "fields")):
-        out = out.join(df.groupBy("page_id").agg(F.count("*").alias(name)), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        out = out.join(df.groupBy("page_id").agg(F.count("*").alias(name)).hint("merge"), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
 
 

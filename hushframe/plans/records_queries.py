@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialized
 from ..operators import boxes, chat, fields, identify, nodes, score
 from ..operators.vault import expected_kind_check as check
 from ..sources.tables import table
@@ -34,7 +35,7 @@ _BOTH = "(greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0,
 
 
 def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    both = derived(spark, sf_dir, "boxes").drop("score")
+    both = materialized(derived(spark, sf_dir, "boxes").drop("score"))
     return both, both
 
 
@@ -113,8 +114,9 @@ def redaction_manifest(spark, sf_dir):
 )
 def occlusion(spark, sf_dir):
     own = derived(spark, sf_dir, "boxes").select(F.col("image_id").alias("page_id"), F.col("box_id").cast("int").alias("node_id"), "x", "y", "w", "h")
-    bounds = own.withColumns({"ancestors": F.when(F.col("node_id") % 2 == 0, F.array(F.col("node_id") - 1)).otherwise(F.array().cast("array<int>")), "paint_order": F.col("node_id")})
-    return boxes.occlusion(own, bounds, 300, 200).withColumn("node_id", F.col("node_id").cast("long"))
+    own = materialized(own.withColumn("last", F.when(F.col("node_id") % 2 == 1, F.col("node_id") + 1).otherwise(F.col("node_id"))))
+    out = boxes.occlusion(own, own.withColumn("paint_order", F.col("node_id")), 300, 200).drop("last")
+    return out.withColumn("node_id", F.col("node_id").cast("long"))
 
 
 # --- fields

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS, detector
+from ..functions.materialize import materialized
 from ..operators import egress, identify, redact, score, vault
 from ..sources.tables import src_pages, src_text, table
 from . import sql
@@ -114,7 +115,7 @@ def leak_check(spark, sf_dir):
     texts = derived(spark, sf_dir, "identity_texts")
     out = redact.redact_drop(texts.where("id % 3 <> 0"), "id", "text").select("id", "text").union(texts.where("id % 3 = 0").select("id", "text"))
     leaks = identify.leak_check(out, "id", "text").groupBy("id").agg(F.count("*").alias("n"))
-    return out.join(leaks, "id", "left").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("leaks"))
+    return out.join(leaks.hint("merge"), "id", "left").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("leaks"))
 
 
 _TITLED = "(SELECT page_id, url || '?user=u' || CAST(page_id AS VARCHAR) || '@example.com' AS url FROM pages)"
@@ -311,12 +312,22 @@ def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _COVERED = f"{sql.found_ctes(IDENTITIES, 'id', 'text')}, judged AS (SELECT t.*, EXISTS (SELECT 1 FROM found f WHERE f.id = t.id AND f.s < t.e AND t.s < f.e) AS covered FROM {_TRUTH} AS t)"
 
 
-@query(
-    f"""{_COVERED} SELECT count(*) FILTER (decoy IS NULL) AS identifiers, count(*) FILTER (decoy IS NULL AND covered) AS hit,
-    count(*) FILTER (decoy IS NULL AND covered) / count(*) FILTER (decoy IS NULL) AS recall, count(*) FILTER (decoy IS NOT NULL) AS decoys, count(*) FILTER (decoy IS NOT NULL AND covered) AS decoys_covered FROM judged"""
-)
+_RATIO = "CASE WHEN {1} > 0 THEN {0} / {1} END"
+_SHOWN = f"""shown AS (SELECT f.id, f.s, f.e, min(f.kind) AS kind, bool_or(t.id IS NOT NULL) AS good FROM found f LEFT JOIN (SELECT * FROM {_TRUTH} WHERE decoy IS NULL) t ON f.id = t.id AND f.s < t.e AND t.s < f.e GROUP BY f.id, f.s, f.e),
+    facts AS (SELECT kind, decoy IS NULL AS real, covered, CAST(NULL AS BOOLEAN) AS good FROM judged UNION ALL SELECT kind, NULL, NULL, good FROM shown),
+    counts AS (SELECT kind, grouping(kind) = 1 AS total, count(*) FILTER (real) AS identifiers, count(*) FILTER (real AND covered) AS hit, count(*) FILTER (NOT real) AS decoys, count(*) FILTER (NOT real AND covered) AS decoys_covered,
+        count(good) AS shown, count(*) FILTER (good) AS good FROM facts GROUP BY GROUPING SETS ((kind), ())),
+    rated AS (SELECT *, {_RATIO.format('hit', 'identifiers')} AS recall, {_RATIO.format('hit', '(hit + decoys_covered)')} AS precision_decoy, {_RATIO.format('good', 'shown')} AS precision_span FROM counts)"""
+
+
+@query(f"{_COVERED}, {_SHOWN} SELECT identifiers, hit, recall, decoys, decoys_covered, precision_decoy, precision_span FROM rated WHERE total")
 def score_detection(spark, sf_dir):
-    return score.score_detection(*_truth(spark, sf_dir), on=("id",)).drop("precision_decoy", "precision_span")
+    return score.score_detection(*_truth(spark, sf_dir), on=("id",))
+
+
+@query(f'{_COVERED}, {_SHOWN} SELECT kind, total, identifiers, hit, decoys, decoys_covered, shown, good AS "right", recall, precision_decoy, precision_span FROM rated')
+def score_table(spark, sf_dir):
+    return score.score_table(*_truth(spark, sf_dir), on=("id",))
 
 
 @query(f"{_COVERED} SELECT id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", kind, CASE WHEN decoy IS NULL THEN 'missed' ELSE 'decoy covered' END AS error FROM judged WHERE (decoy IS NULL) <> covered")
@@ -332,5 +343,5 @@ def quality_gate(spark, sf_dir):
 @query(f"{sql.found_ctes(IDENTITIES, 'id', 'text')} SELECT t.id, t.s AS start, t.e AS \"end\", CAST(f.s AS BIGINT) AS b_start, CAST(f.e AS BIGINT) AS b_end, f.kind AS b_kind FROM {_TRUTH} AS t JOIN found f ON f.id = t.id AND f.s < t.e AND t.s < f.e")
 def spans_intersect(spark, sf_dir):
     found, truth = _truth(spark, sf_dir)
-    out = score.spans_intersect(truth.select("id", "start", "end"), found.select("id", "start", "end", "kind"), ["id"])
+    out = score.spans_intersect(truth.select("id", "start", "end"), materialized(found.select("id", "start", "end", "kind")), ["id"])
     return out.select("id", *[F.col(c).cast("long") for c in ("start", "end", "b_start", "b_end")], "b_kind")

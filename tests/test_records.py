@@ -29,9 +29,9 @@ def test_masks_are_clamped(spark):
 
 
 def test_occlusion(spark):
-    shape = "page_id long, node_id int, ancestors array<int>, x double, y double, w double, h double, paint_order int"
-    bounds = spark.createDataFrame([(1, 1, [], 0.0, 0.0, 50.0, 50.0, 1), (1, 2, [1], 10.0, 10.0, 30.0, 30.0, 2), (1, 3, [], 60.0, 0.0, 20.0, 20.0, 3), (1, 4, [], 55.0, 0.0, 40.0, 40.0, 4), (1, 5, [], 900.0, 0.0, 10.0, 10.0, 5)], shape)
-    left = boxes.occlusion(bounds.select("page_id", "node_id", "x", "y", "w", "h"), bounds, 200, 200)
+    shape = "page_id long, node_id int, last int, x double, y double, w double, h double, paint_order int"
+    bounds = spark.createDataFrame([(1, 1, 2, 0.0, 0.0, 50.0, 50.0, 1), (1, 2, 2, 10.0, 10.0, 30.0, 30.0, 2), (1, 3, 3, 60.0, 0.0, 20.0, 20.0, 3), (1, 4, 4, 55.0, 0.0, 40.0, 40.0, 4), (1, 5, 5, 900.0, 0.0, 10.0, 10.0, 5)], shape)
+    left = boxes.occlusion(bounds.select("page_id", "node_id", "last", "x", "y", "w", "h"), bounds, 200, 200)
     assert sorted(r["node_id"] for r in left.collect()) == [1, 2, 4, 5]
 
 
