@@ -223,6 +223,23 @@ def test_equal_windows_have_equal_symbols_inside():
         assert len(seen) == 1
 
 
+@pytest.mark.parametrize("words", [10, 1])
+def test_mixing_takes_some_of_equal_rows(spark, words):
+    """A budget that ends among rows equal in id and text takes as many of them as it allows."""
+    rows = [(i, "w " * (20 + i % 7), "a") for i in range(300)] + [(5, "x " * words, "b")] * 1000 + [(6, "y " * 3, "b")] * 7 + [(None, "z", None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    for with_text in (True, False):
+        found = mixing.mix_sources(docs, with_text=with_text, weights=(3, 1, 1)).collect()
+        assert len(found) == len(rows)
+        for source in ("a", "b", None):
+            own = [r for r in found if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
+            assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in own)
+    again = mixing.mix_sources(docs.repartition(3), weights=(3, 1, 1)).collect()
+    count = lambda rs: sorted((str(r["doc_id"]), r["text"], r["taken"]) for r in rs)
+    assert count(again) == count(mixing.mix_sources(docs, weights=(3, 1, 1)).collect())
+
+
 def test_mixing(docs, rows, empty):
     found = mixing.mix_sources(docs).collect()
     sizes, taken, target, largest = defaultdict(int), defaultdict(int), {}, defaultdict(int)

@@ -54,3 +54,35 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in j.collect()} <= {r[0] for r in rows_of(i)} and j.where("taken <= 0 or taken > 2 * size").isEmpty()
     run = corpus_pipeline.run(spark, folder)
     assert sorted((r["doc_id"], r["taken"]) for r in run.collect()) == sorted((r["doc_id"], r["taken"]) for r in j.collect())
+
+
+CLASHING = ("kept", "n_words", "spans", "n_lines", "contaminated", "taken", "size", "__w_key", "fingerprint", "a.b", "item_ids", "_keep")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, folder, tmp_path_factory):
+    where = str(tmp_path_factory.mktemp("clashing"))
+    own = {c: F.concat(F.lit("own "), F.col("doc_id").cast("string")) for c in CLASHING}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns(own).drop("n_chars")
+    long = docs.limit(1).withColumns({"doc_id": F.lit(900).cast("long"), "text": F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("x"), i.cast("string"))))})
+    docs.union(long.withColumns({c: F.lit("own 900") for c in CLASHING})).write.parquet(f"{where}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{where}/benchmark.parquet")
+    return where
+
+
+def test_columns_of_the_input_stay_as_they_are(spark, clashing):
+    docs = spark.read.parquet(f"{clashing}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, clashing).cache()
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        rows = out.collect()
+        assert 900 in {r["doc_id"] for r in rows}, name
+        assert all(r[c] == f"own {r['doc_id']}" for r in rows for c in CLASHING), name
+        docs = out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    assert {"mix_taken", "mix_size", "source_size", "target"} <= set(out.columns) and len({r["mix_taken"] for r in rows} - {0}) > 0
+
+
+def test_nothing_in_nothing_out(spark, clashing):
+    docs = spark.read.parquet(f"{clashing}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, clashing).count() == 0
