@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.materialize import new_folder
+from ..functions.materialize import materialized, new_folder
 from ..operators import egress, identify, redact, vault
 from ..sources import tables
 from ..streaming import streams
@@ -49,12 +50,18 @@ def sink_redacted(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query(f"{NUMBERED} SELECT CAST(conv_id AS VARCHAR) AS scope, kind, value, n FROM vault")
+#: Values of turns before 2 are seen in generation 1, the others in 2; a value's last turn says when it was last seen.
+_SEEN = "SELECT conv_id, m AS value, kind, max(CASE WHEN turn < 2 THEN 1 ELSE 2 END) AS seen_gen FROM found GROUP BY ALL"
+
+
+@query(f"{NUMBERED} SELECT CAST(conv_id AS VARCHAR) AS scope, kind, value, n, CAST(seen_gen AS BIGINT) AS seen_gen FROM vault JOIN ({_SEEN}) AS s USING (conv_id, kind, value)")
 def sink_vault(spark, sf_dir):
+    """The stored vault after two generations, the second appended to the first."""
     path = new_folder(spark, "vault")
-    found = identify.find_identifiers(derived(spark, sf_dir, "chats"), ["conv_id", "turn"], "text")
-    tables.sink_vault(vault.handle_numbering(found, "conv_id", ["turn", "start"]).withColumn("scope", F.col("conv_id").cast("string")), path)
-    return spark.read.parquet(path).select("scope", "kind", "value", "n")
+    found = materialized(identify.find_identifiers(derived(spark, sf_dir, "chats"), ["conv_id", "turn"], "text"))
+    for gen, part in ((1, "turn < 2"), (2, "turn >= 2")):
+        store = tables.sink_vault(found.where(part), path, "conv_id", ["turn", "start"], gen, buckets=16)
+    return store.vault().select("scope", "kind", "value", "n", "seen_gen")
 
 
 @query(f"SELECT coalesce(host, 'not a url') AS host, bytes, allowed, reason, count(*) AS n FROM {JUDGED} WHERE logged GROUP BY ALL")
@@ -107,12 +114,47 @@ def stream_redact(spark, sf_dir):
     return out.withColumn("kinds", F.array_join("kinds", ","))
 
 
-@query(f"SELECT request_id, host, allowed, reason FROM {JUDGED}")
+def in_batches(rows: list[DataFrame], name: str) -> DataFrame:
+    """Rows as a stream whose batches are the given parts, in their order."""
+    path = new_folder(rows[0].sparkSession, name)
+    for part in rows:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return rows[0].sparkSession.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"SELECT request_id, host, allowed, reason, request_id % 3 AS batch, request_id % 3 AS heard FROM {JUDGED}")
 def stream_egress(spark, sf_dir):
-    """Both streams of the guard, read from their sinks."""
-    passed, refused = streams.stream_egress(stream_of(spark, sf_dir, "requests"), hosts(spark))
-    columns = ("request_id", "host", "allowed", "reason")
-    return run_through(passed.select(*columns), "passed").unionByName(run_through(refused.select(*columns), "refused"))
+    """Verdicts of the guard over three batches, each judged once, and the batch in which its listener heard of them."""
+    rows = requests(spark, sf_dir)
+    folder, heard = new_folder(spark, "egress"), []
+    stream = in_batches([rows.where(f"request_id % 3 = {k}") for k in range(3)], "requests")
+
+    def listen(told: DataFrame, number: int) -> None:
+        heard.append(f"{folder}/heard-{number}")
+        told.select("request_id", F.lit(number).cast("long").alias("heard")).write.mode("overwrite").parquet(heard[-1])
+
+    streams.stream_egress(stream, hosts(spark), f"{folder}/verdicts", f"{folder}/checkpoint", listener=listen).awaitTermination()
+    both = streams.passed(spark, f"{folder}/verdicts").unionByName(streams.refused(spark, f"{folder}/verdicts"))
+    out = both.join(spark.read.parquet(*heard).hint("merge"), "request_id")
+    return out.select("request_id", "host", "allowed", "reason", F.col("batch").cast("long").alias("batch"), "heard")
+
+
+_REPLIES = """SELECT a.event_id, b.event_id AS reply, b.event_id IS NOT NULL AS answered FROM events a LEFT JOIN events b
+    ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOURS"""
+
+
+@query(_REPLIES)
+def stream_replies(spark, sf_dir):
+    """Events and those that answer them, on two streams in four batches; rows far later move the watermarks past them all."""
+    events = materialized(tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("nonce"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "event_id"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 4
+    after = lambda k: F.lit(first + k * step)
+    parts = [events.where((F.col("ts") >= after(k) if k else F.lit(True)) & (F.col("ts") < after(k + 1) if k < 3 else F.lit(True))) for k in range(4)]
+    closing = spark.range(1).select(F.lit(None).cast("long").alias("nonce"), F.lit(None).cast("string").alias("source"), F.lit(last + 400 * step + timedelta(days=30)).alias("ts"), F.lit(None).cast("long").alias("event_id"))
+    asked, said = (in_batches([*parts, closing, closing], name) for name in ("asked", "said"))
+    out = run_through(streams.stream_replies(asked, said, "6 hours", "1 minute", unlike="event_id"), "replies")
+    return out.where(F.col("event_id").isNotNull()).select("event_id", F.col("reply_event_id").alias("reply"), "answered")
 
 
 @query(f"{NUMBERED} SELECT CAST(conv_id AS VARCHAR) AS scope, kind || '#' || CAST(n AS VARCHAR) AS handle, kind, value, n FROM vault")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vault_store import VaultStore
+
 PAGES = "page_id long, url string, html string"
 REQUESTS = "request_id long, at timestamp, url string, host string, body string"
 DETECTIONS = "image_id long, stride int, i int, cls double, obj double, bbox array<double>"
@@ -46,9 +48,11 @@ def sink_redacted(df: DataFrame, path: str, drop: list[str], partition_by: list[
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def sink_vault(vault: DataFrame, path: str) -> None:
-    """Writes the vault to a place of its own, apart from anything redacted."""
-    vault.write.mode("overwrite").parquet(path)
+def sink_vault(found: DataFrame, path: str, scope: str, order: list[str], gen: int, tag: str = "", buckets: int = 64) -> VaultStore:
+    """Mints for ``found`` into the vault stored under ``path``, a place of its own apart from anything redacted; only new entries and seen marks are written."""
+    store = VaultStore(found.sparkSession, path, buckets)
+    store.mint(found, scope, order, gen, tag)
+    return store
 
 
 def sink_egress_log(log: DataFrame, path: str, checkpoint: str | None = None):

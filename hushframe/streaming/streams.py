@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -22,10 +22,34 @@ def stream_redact(stream: DataFrame, key: str | list[str], text: str) -> DataFra
     return redact_drop(stream, key, text)
 
 
-def stream_egress(stream: DataFrame, hosts: DataFrame, own_host: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two streams: requests that pass, and those refused."""
-    judged = egress_verdict(stream, hosts, own_host)
-    return judged.where("allowed"), judged.where("not allowed")
+def stream_egress(stream: DataFrame, hosts: DataFrame, path: str, checkpoint: str, own_host: str | None = None, listener: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+    """Starts the guard on a stream of requests: every batch is judged once and written under ``path``, what passes and what is refused apart.
+
+    A batch has a folder of its own number, so that one that is done again after a failure takes
+    the place of what it wrote and adds no row. ``listener(rows, number)`` then gets its verdicts,
+    refused ones included, as they were written. ``passed`` and ``refused`` read what is there.
+    """
+
+    def judge(batch: DataFrame, number: int) -> None:
+        where = f"{path}/batch={number}"
+        egress_verdict(batch, hosts, own_host).write.mode("overwrite").partitionBy("allowed").parquet(where)
+        if listener is not None:
+            listener(judged(batch.sparkSession, where), number)
+
+    return stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+
+
+def judged(spark: SparkSession, path: str) -> DataFrame:
+    """All verdicts that the guard wrote under ``path``, with their ``batch``; a condition on ``allowed`` reads that folder only."""
+    return spark.read.parquet(path).withColumn("allowed", F.col("allowed").cast("string") == "true")
+
+
+def passed(spark: SparkSession, path: str) -> DataFrame:
+    return judged(spark, path).where("allowed")
+
+
+def refused(spark: SparkSession, path: str) -> DataFrame:
+    return judged(spark, path).where("not allowed")
 
 
 class Minter(StatefulProcessor):
@@ -117,11 +141,6 @@ def stream_reassemble(stream: DataFrame, timeout_ms: int | None = None) -> DataF
     return rows.groupBy("request_id").transformWithStateInPandas(statefulProcessor=Assembler(timeout_ms), outputStructType=schema, outputMode="Append", timeMode="None" if timeout_ms is None else "ProcessingTime")
 
 
-def listen(judged: DataFrame, listener: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Starts a stream of verdicts whose batches, refused rows included, each go to ``listener(rows, batch)`` as they are judged."""
-    return judged.writeStream.foreachBatch(listener).option("checkpointLocation", checkpoint).start()
-
-
 def reply_match(requests: DataFrame, replies: DataFrame, within: str = "250 milliseconds", unlike: str | None = None) -> DataFrame:
     """Requests ``(nonce, source, ts, ...)`` with their reply, from the same source and in time; others get none.
 
@@ -134,3 +153,19 @@ def reply_match(requests: DataFrame, replies: DataFrame, within: str = "250 mill
     if unlike is not None:
         met = met & (F.col(unlike) != F.col(f"reply_{unlike}"))
     return requests.join(other, met, "left_outer").drop("_nonce", "_source").withColumn("answered", F.col("reply_ts").isNotNull())
+
+
+def stream_replies(requests: DataFrame, replies: DataFrame, within: str = "250 milliseconds", late: str = "1 minute", unlike: str | None = None) -> DataFrame:
+    """``reply_match`` on two running streams, each with a watermark of its own.
+
+    A request that nobody answered comes out once both watermarks have passed the time in which
+    an answer could still come; its state ends then. What comes later than ``late`` after newer
+    rows of its side is dropped, and counted (see ``late_rows``). State holds the requests and
+    replies of about ``within`` and ``late``, however long the stream runs.
+    """
+    return reply_match(requests.withWatermark("ts", late), replies.withWatermark("ts", late), within, unlike)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators dropped as too late, over the batches whose progress is kept."""
+    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in progress["stateOperators"])

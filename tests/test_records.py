@@ -1,5 +1,7 @@
 """Boxes, chat logs and streams."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,14 +135,46 @@ def test_stream_reassembly_waits_for_the_finish(spark, files):
     assert {(r["request_id"], r["idx"]): (r["id"], r["name"], r["args"]) for r in got.collect()} == CALLS
 
 
-def test_stream_egress(spark, files):
-    schema = "request_id int, at timestamp, url string, body string"
-    rows = [(1, None, "https://api.example.com/", "{}"), (2, None, "https://api.example.com/", '{"a": "a@x.com"}'), (3, None, "https://no.example.com/", "{}")]
+EGRESS = "request_id int, at timestamp, url string, body string"
+ASKED = [(1, None, "https://api.example.com/", "{}"), (2, None, "https://api.example.com/", '{"a": "a@x.com"}')], [(3, None, "https://no.example.com/", "{}"), (4, None, None, "{}")]
+
+
+def test_stream_egress(spark, files, tmp_path):
+    """Each request is judged once; the listener hears of every batch; a batch that is done again adds nothing."""
     hosts = spark.createDataFrame([("api.example.com",)], "host string")
-    passed, refused = streams.stream_egress(files("requests", schema, rows), hosts)
-    assert [r["request_id"] for r in run(passed, "passed").collect()] == [1]
-    assert sorted(r["request_id"] for r in run(refused, "refused").collect()) == [2, 3]
-    assert egress.egress_verdict(spark.createDataFrame(rows, schema), hosts).where("allowed").count() == 1
+    heard, fail = [], [True]
+
+    def listen(rows, number):
+        heard.append((number, sorted((r["request_id"], r["allowed"]) for r in rows.collect())))
+        if number == 1 and fail:
+            fail.clear()
+            raise RuntimeError("lost between the verdicts and the end of the batch")
+
+    stream = files("requests", EGRESS, *ASKED)
+    start = lambda: streams.stream_egress(stream, hosts, f"{tmp_path}/verdicts", f"{tmp_path}/checkpoint", listener=listen)
+    with pytest.raises(Exception, match="lost between"):
+        start().awaitTermination(120)
+    start().awaitTermination(120)
+    assert heard == [(0, [(1, True), (2, False)]), (1, [(3, False), (4, False)]), (1, [(3, False), (4, False)])]
+    assert [(r["request_id"], r["batch"]) for r in streams.passed(spark, f"{tmp_path}/verdicts").collect()] == [(1, 0)]
+    got = {r["request_id"]: r["reason"] for r in streams.refused(spark, f"{tmp_path}/verdicts").collect()}
+    assert len(got) == 3 and streams.judged(spark, f"{tmp_path}/verdicts").count() == 4
+    want = egress.egress_verdict(spark.createDataFrame([r for b in ASKED for r in b], EGRESS), hosts)
+    assert got == {r["request_id"]: r["reason"] for r in want.where("not allowed").collect()}
+
+
+def test_replies_on_two_streams(spark, files):
+    """Answers in time are found across batches; unanswered requests come out once nothing can answer them; what comes too late is dropped and counted."""
+    at = lambda s: datetime(2026, 1, 1, 12) + timedelta(seconds=s)
+    shape = "nonce string, source string, ts timestamp"
+    asked = files("asked", shape, [("n1", "w", at(0)), ("n2", "w", at(1))], [("n3", "w", at(60))], [("end", "w", at(9000))], [("end", "w", at(9001))], [("end", "w", at(9002))])
+    said = files("said", shape, [("n1", "w", at(5)), ("n2", "other", at(2))], [("n3", "w", at(69))], [("end", "x", at(9000))], [("n2", "w", at(3)), ("end", "x", at(9001))], [("end", "x", at(9002))])
+    out = streams.stream_replies(asked, said, "10 seconds", "5 seconds")
+    query = out.writeStream.format("memory").queryName("replies").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = {r["nonce"]: r["reply_ts"] for r in spark.table("replies").where("nonce <> 'end'").collect()}
+    assert got == {"n1": at(5), "n2": None, "n3": at(69)}
+    assert streams.late_rows(query) == 1
 
 
 def test_replies_in_time_from_the_same_source(spark):

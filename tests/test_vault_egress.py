@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import egress, identify, redact, vault
 from hushframe.sources import tables
+from hushframe.sources.vault_store import VaultStore
 
 CHATS = [
     (1, 0, "user", "mail a@x.com and b@x.com"),
@@ -119,8 +120,32 @@ def test_sinks_leave_raw_values_out(spark, chats, tmp_path):
     out = redact.redact_drop(chats.withColumn("raw", F.col("text")), ["conv_id", "turn"], "text").withColumn("raw", F.lit("secret"))
     tables.sink_redacted(out, f"{tmp_path}/out", drop=["raw"])
     assert spark.read.parquet(f"{tmp_path}/out").columns == ["conv_id", "turn", "text", "kinds"]
-    tables.sink_vault(spark.createDataFrame([], vault.SCHEMA), f"{tmp_path}/vault")
     log = spark.createDataFrame([(1,)], "a int")
     tables.sink_egress_log(log, f"{tmp_path}/log")
     tables.sink_egress_log(log, f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_the_stored_vault_grows_by_generations(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, 0, "a@x.com", "email"), (1, 0, 9, "b@x.com", "email"), (2, 0, 0, "b@x.com", "email"), (1, 1, 0, "c@x.com", "email"), (1, 1, 9, "a@x.com", "email"), (1, 2, 0, "c@x.com", "name")]
+    found = spark.createDataFrame(rows, "conv_id long, turn long, start int, text string, kind string")
+    where, order, mint = f"{tmp_path}/vault", ["turn", "start"], tables.sink_vault
+    store = mint(found.where("turn = 0"), where, "conv_id", order, 1, buckets=8)
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "vault").rglob("part-*")}
+    # A failure after the entries were written: the vault stays as it was, and the next attempt gives the same numbers.
+    monkeypatch.setattr(VaultStore, "_complete", lambda self, gen: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        mint(found.where("turn = 1"), where, "conv_id", order, 2, buckets=8)
+    monkeypatch.undo()
+    rows_of = lambda s: sorted((r["scope"], r["handle"], r["value"], r["seen_gen"]) for r in s.vault().collect())
+    assert rows_of(VaultStore(spark, where, 8)) == [("1", "email#1", "a@x.com", 1), ("1", "email#2", "b@x.com", 1), ("2", "email#1", "b@x.com", 1)]
+    again = found.where("turn = 1").union(found.where("turn = 2"))
+    for _ in range(2):  # done twice, it changes nothing more
+        store = mint(again, where, "conv_id", order, 2, buckets=8)
+        assert rows_of(store) == [("1", "email#1", "a@x.com", 2), ("1", "email#2", "b@x.com", 1), ("1", "email#3", "c@x.com", 2), ("1", "name#4", "c@x.com", 2), ("2", "email#1", "b@x.com", 1)]
+    assert [tuple(r) for r in store.generations().orderBy("gen").collect()] == [(1, 3, 3), (2, 2, 3)]
+    assert all(p.stat().st_mtime_ns == t for p, t in first.items())  # nothing is written again
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(store.vault())
+    asked = found.select(F.col("conv_id").cast("string").alias("scope"), "kind", F.col("text").alias("value"))
+    assert plan(asked.join(store._table("entries").hint("merge"), ["scope", "kind", "value"])).count("Exchange hashpartitioning") == 1
