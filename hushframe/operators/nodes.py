@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_one_of, lit_array, squash, truncated
 from ..functions.materialize import materialized
+from .boxes import occlusion
 from .fields import field_kind
 from .intervals import holds, innermost, marked_by, within
 
@@ -418,15 +419,34 @@ def _without_weak(rows: DataFrame) -> DataFrame:
     return met.withColumn("element", F.col("element") & ~weak).drop("_level", "_link")
 
 
-def scan_funnel(nodes: DataFrame) -> DataFrame:
-    """``page_id, visited, interactive, after_name, final``: how many nodes each step keeps, from markup alone."""
-    count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
-    interactive = node_interactive(node_role(node_visible(nodes))).where("interactive")
+#: Steps of a scan, in their order.
+FUNNEL = ("visited", "interactive", "after_name", "after_occlusion", "final")
+
+
+def scan_funnel(nodes: DataFrame, bounds: DataFrame | None = None, width: float = 0, height: float = 0, observation: Observation | None = None) -> DataFrame:
+    """``page_id, visited, interactive, after_name, after_occlusion, final``: how many nodes each step keeps.
+
+    With ``bounds(page_id, node_id, x, y, w, h, paint_order)`` of a viewport of that size controls
+    that something covers go, and stacked ones are collapsed; a control without bounds shows
+    nowhere. Without bounds nothing is covered, and weak controls inside others go. Every step's
+    rows are counted as they pass into the one grouping by page; ``observation`` gets the totals of
+    all pages from the same pass.
+    """
     kept = materialized(name_dominance(candidates(nodes)))
-    steps = count(nodes, "visited")
-    for df, name in ((interactive, "interactive"), (kept, "after_name"), (without_weak_inside(kept), "final")):
-        steps = steps.join(count(df, name), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return steps
+    if bounds is None:
+        shown, final = kept, without_weak_inside(kept)
+    else:
+        boxed = materialized(kept.join(bounds.select("page_id", "node_id", "x", "y", "w", "h").hint("merge"), ["page_id", "node_id"]))
+        shown = materialized(occlusion(boxed, bounds, width, height))
+        final = collapse_wrappers(shown.select("page_id", "node_id", "last", "strong_element", "link_or_button", "x", "y", F.col("w").alias("width"), F.col("h").alias("height")))
+    one = lambda name: {c: F.lit(int(c == name)) for c in FUNNEL}
+    seen = (F.col("interactive") & _visible()).cast("int")
+    every = node_interactive(node_role(nodes)).select("page_id", *[c.alias(n) for n, c in (one("visited") | {"interactive": seen}).items()])
+    for rows, name in ((kept, "after_name"), (shown, "after_occlusion"), (final, "final")):
+        every = every.unionByName(rows.select("page_id", *[c.alias(n) for n, c in one(name).items()]))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FUNNEL]
+    every = every if observation is None else every.observe(observation, *sums)
+    return every.groupBy("page_id").agg(*sums)
 
 
 def without_weak_inside(kept: DataFrame) -> DataFrame:
@@ -460,37 +480,78 @@ def stale_action_ids(actions: DataFrame, elements: DataFrame) -> DataFrame:
 MIN_FRAME = 50
 
 
-def inline_frames(elements: DataFrame, frames: DataFrame, max_depth: int | None = None, max_frames: int | None = None, max_elements: int | None = None) -> DataFrame:
-    """Elements of embedded pages in the coordinates of the page that embeds them, clipped to the frame.
+#: Fixed value: what handles of embedded pages look like before their frame's tag is put in.
+FRAME_HANDLE = r"\[redacted:([a-z-]+)#([a-z0-9-]+)\]"
 
-    ``elements(page_id, element_id, name, x, y, width, height)`` gains ``tag`` (``f1-``, ``f1-2-``
-    by level) and ``top_id``; ``frames(page_id, pos, child_page_id, x, y, width, height,
-    border_left, border_top)``. One join per level, until nothing is embedded any more. A page
-    that stands above itself is not embedded again, as in browsers. The three numbers limit
-    levels, frames of a page and elements of an embedded page only where they are given.
+
+def frame_paths(frames: DataFrame, max_depth: int | None = None, max_frames: int | None = None) -> DataFrame:
+    """Every way from an embedded page up to a page above it: ``page_id, top_id, tag, depth, dx, dy, left, top, right, bottom``.
+
+    ``frames(page_id, pos, child_page_id, x, y, width, height, border_left, border_top)``. What
+    lies in the page at x, y lies in the upper one at x + dx, y + dy, as far as the rectangle shows
+    it. Ways double in length each round (those of length 2^k after k joins), so that the joins
+    grow with the logarithm of the depth. A page that stands above itself is not embedded again,
+    as in browsers; a way that shows nothing is not gone on with.
     """
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     usable = frames.where((F.col("width") >= MIN_FRAME) & (F.col("height") >= MIN_FRAME)).withColumn("nth", nth)
     usable = usable if max_frames is None else usable.where(F.col("nth") <= max_frames)
-    host = {"page_id": "host", "nth": "nth", "x": "fx", "y": "fy", "width": "fw", "height": "fh", "border_left": "border_left", "border_top": "border_top"}
-    usable = materialized(usable.select(F.col("child_page_id").alias("page_id"), *[F.col(c).alias(f"_{n}") for c, n in host.items()]))
-    inner = elements
-    if max_elements is not None:
-        inner = inner.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("element_id"))).where(F.col("_n") <= max_elements).drop("_n")
-    out = elements.withColumns({"tag": F.lit(""), "depth": F.lit(0), "top_id": F.col("page_id")})
-    level = inner.withColumns({"tag": F.lit(""), "depth": F.lit(0), "_within": F.array("page_id")})
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        met = level.join(usable.hint("merge"), "page_id").where(~F.array_contains("_within", F.col("_host")))
-        left, top = F.greatest(F.col("_fx") + F.col("_border_left") + F.col("x"), F.col("_fx")), F.greatest(F.col("_fy") + F.col("_border_top") + F.col("y"), F.col("_fy"))
-        right = F.least(F.col("_fx") + F.col("_border_left") + F.col("x") + F.col("width"), F.col("_fx") + F.col("_fw"))
-        bottom = F.least(F.col("_fy") + F.col("_border_top") + F.col("y") + F.col("height"), F.col("_fy") + F.col("_fh"))
-        moved = met.withColumns({"_l": left, "_t": top, "_r": right, "_b": bottom}).where((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")))
-        tag = F.concat(F.lit("f"), F.col("_nth").cast("string"), F.lit("-"), F.col("tag"))
-        boxed = moved.select(F.col("_host").alias("page_id"), "element_id", "name", F.col("_l").alias("x"), F.col("_t").alias("y"), (F.col("_r") - F.col("_l")).alias("width"), (F.col("_b") - F.col("_t")).alias("height"), tag.alias("tag"), F.lit(depth).alias("depth"), F.concat("_within", F.array("_host")).alias("_within"))
-        level = materialized(boxed)
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.drop("_within").withColumn("top_id", F.col("page_id")))
-    return out
+    one = usable.select(
+        F.col("child_page_id").alias("page_id"), F.col("page_id").alias("top_id"), F.concat(F.lit("f"), F.col("nth").cast("string"), F.lit("-")).alias("tag"), F.lit(1).alias("depth"), (F.col("x") + F.col("border_left")).alias("dx"), (F.col("y") + F.col("border_top")).alias("dy"),
+        F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + F.col("width")).alias("right"), (F.col("y") + F.col("height")).alias("bottom"), F.array("child_page_id", "page_id").alias("_pages"),
+    )
+
+    def chained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        up = outer.select(F.col("page_id").alias("top_id"), *[F.col(c).alias(f"_{c}") for c in outer.columns if c != "page_id"])
+        met = inner.join(up.hint("merge"), "top_id").where(F.size(F.array_intersect("_pages", "__pages")) == 1)
+        met = met.select(
+            "page_id", F.col("_top_id").alias("top_id"), F.concat("_tag", "tag").alias("tag"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("dx") + F.col("_dx")).alias("dx"), (F.col("dy") + F.col("_dy")).alias("dy"),
+            F.greatest(F.col("left") + F.col("_dx"), "_left").alias("left"), F.greatest(F.col("top") + F.col("_dy"), "_top").alias("top"), F.least(F.col("right") + F.col("_dx"), "_right").alias("right"), F.least(F.col("bottom") + F.col("_dy"), "_bottom").alias("bottom"),
+            F.array_union("_pages", "__pages").alias("_pages"),
+        )
+        return met.where((F.col("right") > F.col("left")) & (F.col("bottom") > F.col("top")))
+
+    longest, found, length = materialized(one.where("page_id <> top_id")), None, 1
+    while not longest.isEmpty() and (max_depth is None or length <= max_depth):
+        # Found are all ways shorter than ``length``; longest are those of just that length.
+        found = longest if found is None else found.unionByName(longest).unionByName(chained(found, longest))
+        found, longest, length = materialized(found), materialized(chained(longest, longest)), 2 * length
+    found = longest if found is None else found
+    return (found if max_depth is None else found.where(F.col("depth") <= max_depth)).drop("_pages")
+
+
+def embedded(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """``rows(page_id, x, y, width, height, ...)`` of embedded pages where they show in the pages above, clipped, with ``tag`` and ``depth``."""
+    ways = paths.select("page_id", F.col("top_id").alias("_top_id"), F.col("tag").alias("_tag"), F.col("depth").alias("_depth"), *[F.col(c).alias(f"_{c}") for c in ("dx", "dy", "left", "top", "right", "bottom")])
+    met = rows.join(ways.hint("merge"), "page_id")
+    left, top = F.greatest(F.col("x") + F.col("_dx"), "_left"), F.greatest(F.col("y") + F.col("_dy"), "_top")
+    right, bottom = F.least(F.col("x") + F.col("width") + F.col("_dx"), "_right"), F.least(F.col("y") + F.col("height") + F.col("_dy"), "_bottom")
+    shown = met.withColumns({"_l": left, "_t": top, "_r": right, "_b": bottom}).where((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")))
+    place = {"page_id": F.col("_top_id"), "x": F.col("_l"), "y": F.col("_t"), "width": F.col("_r") - F.col("_l"), "height": F.col("_b") - F.col("_t")}
+    return shown.select(*[place[c].alias(c) if c in place else c for c in rows.columns], F.col("_tag").alias("tag"), F.col("_depth").alias("depth"))
+
+
+def _first_of_page(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    if most is None:
+        return rows
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy(order))).where(F.col("_n") <= most).drop("_n")
+
+
+def inline_frames(elements: DataFrame, frames: DataFrame, max_depth: int | None = None, max_frames: int | None = None, max_elements: int | None = None) -> DataFrame:
+    """Elements of embedded pages in the coordinates of every page above them, clipped to the frames between.
+
+    ``elements(page_id, element_id, name, x, y, width, height)`` gains ``tag`` (``f1-``, ``f1-2-``
+    by level), ``depth`` and ``top_id``; for ``frames`` see ``frame_paths``. Handles in the names of
+    embedded elements get the tag, so that two pages' handles never meet. The three numbers limit
+    levels, frames of a page and elements of an embedded page only where they are given.
+    """
+    own = elements.withColumns({"tag": F.lit(""), "depth": F.lit(0)})
+    inner = embedded(_first_of_page(elements, "element_id", max_elements), frame_paths(frames, max_depth, max_frames))
+    tagged = F.regexp_replace("name", F.lit(FRAME_HANDLE), F.concat(F.lit("[redacted:$1#"), F.col("tag"), F.lit("$2]")))
+    return own.unionByName(inner.withColumn("name", tagged)).withColumn("top_id", F.col("page_id"))
+
+
+def inline_regions(regions: DataFrame, frames: DataFrame, max_depth: int | None = None, max_frames: int | None = None, max_regions: int | None = None, order: str = "region_id") -> DataFrame:
+    """``regions(page_id, x, y, width, height, ...)`` of pages and of what they embed, in the coordinates of the upper page, with ``tag`` and ``depth``."""
+    own = regions.withColumns({"tag": F.lit(""), "depth": F.lit(0)})
+    return own.unionByName(embedded(_first_of_page(regions, order, max_regions), frame_paths(frames, max_depth, max_frames)))

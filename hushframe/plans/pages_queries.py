@@ -277,12 +277,22 @@ def collapse_wrappers(spark, sf_dir):
     return _long_id(nodes.collapse_wrappers(rows.select("page_id", "node_id", "last", "pos", "tag", "strong_element", "link_or_button", "x", "y", "width", "height"))).select("page_id", "node_id", "tag")
 
 
+#: A page laid out in rows of ten boxes that do not overlap; a page's section lies over the first five rows.
+_HIDDEN = "node_id < 50 AND page_id IN (SELECT page_id FROM {0} WHERE tag = 'section')"
+
+
 @query(
-    f"""SELECT page_id, count(*) AS visited, count(*) FILTER ({markup.FLAGS['interactive']} AND {markup.VISIBLE}) AS interactive, count(k.node_id) AS after_name, count(k.node_id) AS final
+    f"""SELECT page_id, count(*) AS visited, count(*) FILTER ({markup.FLAGS['interactive']} AND {markup.VISIBLE}) AS interactive, count(k.node_id) AS after_name,
+    count(k.node_id) FILTER (NOT ({_HIDDEN.format(markup.NODES)})) AS after_occlusion, count(k.node_id) FILTER (NOT ({_HIDDEN.format(markup.NODES)})) AS final
     FROM {markup.NODES} n LEFT JOIN (SELECT page_id, node_id FROM {markup.KEPT}) k USING (page_id, node_id) GROUP BY page_id"""
 )
 def scan_funnel(spark, sf_dir):
-    return nodes.scan_funnel(page_rows(spark, sf_dir))
+    rows = page_rows(spark, sf_dir)
+    over = F.col("tag") == "section"
+    box = lambda own, covering: F.when(over, F.lit(float(covering))).otherwise(own.cast("double"))
+    row, column = F.floor(F.col("node_id") / 10), F.col("node_id") % 10
+    bounds = rows.select("page_id", "node_id", box(column * 50, 0).alias("x"), box(row * 40, 0).alias("y"), box(F.lit(45), 600).alias("w"), box(F.lit(35), 200).alias("h"), F.when(over, 1 << 30).otherwise(F.col("node_id")).alias("paint_order"))
+    return nodes.scan_funnel(rows, materialized(bounds), 500, 400)
 
 
 @query(
@@ -311,32 +321,66 @@ def page_outline(spark, sf_dir):
     return outline.page_outline(_lines(spark, sf_dir))
 
 
+#: Tabs of a page's browser: one to three, the second with an address in its title; where the page is scrolled to.
+_TABS = "SELECT page_id, CAST(k AS BIGINT) AS tab_id, CASE k WHEN 1 THEN 'Mail of u' || CAST(page_id AS VARCHAR) || '@example.com' ELSE 'Tab' END AS title, 'https://x.example.com/' || CAST(k AS VARCHAR) AS url, k = page_id % 2 AS active FROM pages, range(3) t(k) WHERE k <= page_id % 3"
+_TAB_LINES = f"""(SELECT page_id, 'Tabs:' || chr(10) || string_agg(CASE WHEN active THEN '*' ELSE ' ' END || ' [' || CAST(tab_id AS VARCHAR) || '] ' || CAST(to_json(regexp_replace(title, '{sql.EMAIL}', '[redacted:email]', 'g')) AS VARCHAR) || ' ' || url, chr(10) ORDER BY tab_id) || chr(10) AS tabs
+    FROM ({_TABS}) GROUP BY page_id HAVING count(*) > 1)"""
+
+
 @query(
-    f"""SELECT p.page_id, 'Page: ' || CAST(to_json({_TITLE}) AS VARCHAR) || ' — ' || url || chr(10) || chr(10) || CASE WHEN coalesce(outline, '') = '' THEN 'The page shows no control.' ELSE '{outline.HEADING}' || chr(10) || outline END AS observation
-    FROM pages p LEFT JOIN {markup.OUTLINES} o ON p.page_id = o.page_id"""
+    f"""SELECT p.page_id, 'Browser state:' || chr(10) || coalesce(tabs, '') || 'Page: ' || CAST(to_json({_TITLE}) AS VARCHAR) || ' — ' || url || chr(10) || 'Viewport: ' || CAST(800 + p.page_id % 5 AS VARCHAR) || 'x600, scrolled to (0, ' || CAST(p.page_id * 3 AS VARCHAR) || ')'
+    || chr(10) || chr(10) || CASE WHEN coalesce(outline, '') = '' THEN 'The page shows no control.' ELSE '{outline.HEADING}' || chr(10) || outline END AS observation
+    FROM pages p LEFT JOIN {markup.OUTLINES} o ON p.page_id = o.page_id LEFT JOIN {_TAB_LINES} t ON p.page_id = t.page_id"""
 )
 def page_observation(spark, sf_dir):
-    return outline.page_observation(source.page_header(read_pages(spark, sf_dir)), page_outline(spark, sf_dir), "both")
+    pages = read_pages(spark, sf_dir)
+    each = pages.select("page_id", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int"))).alias("tab_id"))
+    title = F.when(F.col("tab_id") == 1, F.concat(F.lit("Mail of u"), F.col("page_id").cast("string"), F.lit("@example.com"))).otherwise("Tab")
+    tabs = each.select("page_id", "tab_id", F.col("tab_id").alias("pos"), title.alias("title"), F.concat(F.lit("https://x.example.com/"), F.col("tab_id").cast("string")).alias("url"), (F.col("tab_id") == F.col("page_id") % 2).alias("active"))
+    views = pages.select("page_id", (F.lit(800) + F.col("page_id") % 5).alias("width"), F.lit(600).alias("height"), F.lit(-0.4).alias("scroll_x"), (F.col("page_id") * 3 + 0.25).alias("scroll_y"))
+    return outline.page_observation(source.page_header(pages), page_outline(spark, sf_dir), "both", tabs, views)
 
 
-_FRAME = "page_id + 1 AS child, CAST(page_id % 5 * 20 AS DOUBLE) AS fx, 15.0 AS fy, 100.0 AS fw, 60.0 AS fh"
+_FRAME = "page_id + 1 AS child, CAST(page_id % 5 AS DOUBLE) AS fx, 3.0 AS fy, 120.0 AS fw, 80.0 AS fh"
+#: Chains of eleven frames, one in the other.
+_CHAINED = "page_id % 12 <> 0"
 
 
-@query(
-    f"""WITH RECURSIVE e AS (SELECT page_id, node_id, CAST(node_id * 9 % 140 AS DOUBLE) AS x, CAST(node_id % 6 * 15 AS DOUBLE) AS y, 30.0 AS w, 20.0 AS h FROM {markup.NODES} WHERE tag IN ('a', 'button')),
-    f AS (SELECT page_id AS host, {_FRAME} FROM {markup.NODES} WHERE tag = 'iframe' AND page_id % 3 <> 0),
-    l AS (SELECT page_id, node_id, x, y, w, h, '' AS tag, 0 AS depth FROM e UNION ALL
-        SELECT host, node_id, greatest(fx + 2 + x, fx), greatest(fy + 2 + y, fy), least(fx + 2 + x + w, fx + fw) - greatest(fx + 2 + x, fx), least(fy + 2 + y + h, fy + fh) - greatest(fy + 2 + y, fy), 'f1-' || l.tag, depth + 1
+def _inlined(rows: str, more: str) -> str:
+    """``rows(page_id, node_id, x, y, w, h, text)`` in every page above, level by level."""
+    return f"""WITH RECURSIVE e AS ({rows}),
+    f AS (SELECT page_id AS host, {_FRAME} FROM {markup.NODES} WHERE tag = 'iframe' AND {_CHAINED}),
+    l AS (SELECT page_id, node_id, x, y, w, h, text, '' AS tag, 0 AS depth FROM e UNION ALL
+        SELECT host, node_id, greatest(fx + 2 + x, fx), greatest(fy + 2 + y, fy), least(fx + 2 + x + w, fx + fw) - greatest(fx + 2 + x, fx), least(fy + 2 + y + h, fy + fh) - greatest(fy + 2 + y, fy), text, 'f1-' || l.tag, depth + 1
         FROM l JOIN f ON f.child = l.page_id WHERE least(fx + 2 + x + w, fx + fw) > greatest(fx + 2 + x, fx) AND least(fy + 2 + y + h, fy + fh) > greatest(fy + 2 + y, fy))
-    SELECT page_id, node_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS width, round(h, 6) AS height, tag, CAST(depth AS BIGINT) AS depth FROM l"""
-)
+    SELECT page_id, node_id, {more}, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS width, round(h, 6) AS height, tag, CAST(depth AS BIGINT) AS depth FROM l"""
+
+
+def _chain_of_frames(rows: DataFrame) -> DataFrame:
+    return source.page_frames(rows).where(_CHAINED).selectExpr("page_id", "node_id as pos", "page_id + 1 as child_page_id", "cast(page_id % 5 as double) as x", "3.0D as y", "120.0D as width", "80.0D as height", "2.0D as border_left", "2.0D as border_top")
+
+
+def _rounded(out: DataFrame, *first: str) -> DataFrame:
+    return out.select(*first, *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")], "tag", F.col("depth").cast("long").alias("depth"))
+
+
+_ELEMENTS = f"SELECT page_id, node_id, CAST(node_id * 9 % 140 AS DOUBLE) AS x, CAST(node_id % 6 * 15 AS DOUBLE) AS y, 30.0 AS w, 20.0 AS h, tag AS text FROM {markup.NODES} WHERE tag IN ('a', 'button')"
+
+
+@query(_inlined(_ELEMENTS, "text || ' [redacted:email#' || tag || CAST(node_id AS VARCHAR) || ']' AS name"))
 def inline_frames(spark, sf_dir):
-    """Links and buttons of pages whose frames hold the page of the next number; bounds follow from the nodes' places."""
+    """Links and buttons of pages whose frames hold the page of the next number, a handle in each name; bounds follow from the nodes' places."""
+    rows = _long_id(page_rows(spark, sf_dir))
+    elements = rows.where("tag in ('a', 'button')").selectExpr("page_id", "node_id as element_id", "concat(tag, ' [redacted:email#', node_id, ']') as name", "cast(node_id * 9 % 140 as double) as x", "cast(node_id % 6 * 15 as double) as y", "30.0D as width", "20.0D as height")
+    return _rounded(nodes.inline_frames(elements, _chain_of_frames(rows)), "page_id", F.col("element_id").alias("node_id"), "name")
+
+
+@query(_inlined(f"SELECT page_id, node_id, CAST(node_id * 7 % 110 AS DOUBLE) AS x, CAST(node_id % 8 * 9 AS DOUBLE) AS y, 25.0 AS w, 12.0 AS h, 'email' AS text FROM {markup.NODES} WHERE {markup.has('data-pii')}", "text AS kind"))
+def inline_regions(spark, sf_dir):
+    """Regions of what is marked as personal, in the page itself and in those that embed it."""
     rows = _long_id(page_rows(spark, sf_dir))
-    elements = rows.where("tag in ('a', 'button')").selectExpr("page_id", "node_id as element_id", "tag as name", "cast(node_id * 9 % 140 as double) as x", "cast(node_id % 6 * 15 as double) as y", "30.0D as width", "20.0D as height")
-    frames = source.page_frames(rows).where("page_id % 3 <> 0").selectExpr("page_id", "node_id as pos", "page_id + 1 as child_page_id", "cast(page_id % 5 * 20 as double) as x", "15.0D as y", "100.0D as width", "60.0D as height", "2.0D as border_left", "2.0D as border_top")
-    out = nodes.inline_frames(elements, frames)
-    return out.select("page_id", F.col("element_id").alias("node_id"), *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")], "tag", F.col("depth").cast("long").alias("depth"))
+    regions = rows.where(F.map_contains_key("attrs", F.lit("data-pii"))).selectExpr("page_id", "node_id as region_id", "'email' as kind", "cast(node_id * 7 % 110 as double) as x", "cast(node_id % 8 * 9 as double) as y", "25.0D as width", "12.0D as height")
+    return _rounded(nodes.inline_regions(regions, _chain_of_frames(rows)), "page_id", F.col("region_id").alias("node_id"), "kind")
 
 
 @query("SELECT c_custkey AS user_id, '[redacted:email] — https://x.example.com/' || CAST(c_custkey AS VARCHAR) || chr(10) || 'Orders — https://x.example.com/?m=[redacted:email]' AS tabs FROM customer")

@@ -151,10 +151,10 @@ def stream_replies(spark, sf_dir):
     step = (last - first) / 4
     after = lambda k: F.lit(first + k * step)
     parts = [events.where((F.col("ts") >= after(k) if k else F.lit(True)) & (F.col("ts") < after(k + 1) if k < 3 else F.lit(True))) for k in range(4)]
-    closing = spark.range(1).select(F.lit(-1).cast("long").alias("nonce"), F.lit("end").alias("source"), F.lit(last + 400 * step + timedelta(days=30)).alias("ts"), F.lit(None).cast("long").alias("event_id"))
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("nonce"), F.lit("end").alias("source"), F.lit(last + 400 * step + timedelta(days=30)).alias("ts"), F.lit(-1).cast("long").alias("event_id"))
     asked, said = (in_batches([*parts, closing, closing], name) for name in ("asked", "said"))
     out = run_through(streams.stream_replies(asked, said, "6 hours", "1 minute", unlike="event_id"), "replies")
-    return out.where(F.col("event_id").isNotNull()).select("event_id", F.col("reply_event_id").alias("reply"), "answered")
+    return out.where("event_id >= 0").select("event_id", F.col("reply_event_id").alias("reply"), "answered")
 
 
 @query(f"{NUMBERED} SELECT CAST(conv_id AS VARCHAR) AS scope, kind || '#' || CAST(n AS VARCHAR) AS handle, kind, value, n FROM vault")

@@ -160,7 +160,8 @@ def stream_replies(requests: DataFrame, replies: DataFrame, within: str = "250 m
 
     A request that nobody answered comes out once both watermarks have passed the time in which
     an answer could still come; its state ends then. What comes later than ``late`` after newer
-    rows of its side is dropped, and counted (see ``late_rows``). State holds the requests and
+    rows of its side is dropped, and counted (see ``late_rows``). A row that can match nothing (a
+    null key, or null in ``unlike``) does not move its side's watermark. State holds the requests and
     replies of about ``within`` and ``late``, however long the stream runs.
     """
     return reply_match(requests.withWatermark("ts", late), replies.withWatermark("ts", late), within, unlike)

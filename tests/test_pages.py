@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from hushframe.functions.materialize import materialized
@@ -166,6 +167,57 @@ def test_bounds(spark, rows):
     assert set(tags(scrolls)) <= {"form", "label", "input", "textarea", "select", "option"} and scrolls.count() > 5
 
 
+def chain(spark, n, loop=False):
+    """Page i embeds page i + 1, each a little further in; with ``loop`` the last embeds the first."""
+    rows = [(i, 1, i + 1, 2.0, 3.0, 400.0, 300.0, 1.0, 1.0) for i in range(n)] + [(n, 1, 0, 2.0, 3.0, 400.0, 300.0, 1.0, 1.0)] * loop
+    return spark.createDataFrame(rows, "page_id long, pos int, child_page_id long, x double, y double, width double, height double, border_left double, border_top double")
+
+
+def test_deep_frames_take_few_rounds(spark):
+    frames = chain(spark, 20)
+    ways = {(r["page_id"], r["top_id"]): r for r in nodes.frame_paths(frames).collect()}
+    assert set(ways) == {(i, j) for i in range(21) for j in range(i)}
+    assert all(w["depth"] == i - j and w["tag"] == "f1-" * (i - j) and (w["dx"], w["dy"]) == (3.0 * (i - j), 4.0 * (i - j)) and (w["left"], w["right"]) == (2.0 + 3 * (i - j - 1), 402.0) for (i, j), w in ways.items())
+    assert {(r["page_id"], r["top_id"]) for r in nodes.frame_paths(frames, max_depth=5).collect()} == {(i, j) for i, j in ways if i - j <= 5}
+    looped = nodes.frame_paths(chain(spark, 3, loop=True)).collect()
+    assert len(looped) == 12 and all(1 <= r["depth"] <= 3 for r in looped)
+    assert nodes.frame_paths(frames.limit(0)).count() == 0
+
+
+def test_names_and_regions_of_embedded_pages(spark):
+    frames = chain(spark, 2)
+    elements = spark.createDataFrame([(2, 1, "to [redacted:email#1] and [redacted:tel#f3-2] $1", 5.0, 5.0, 10.0, 10.0), (2, 2, "beyond", 500.0, 5.0, 10.0, 10.0), (2, 3, None, 395.0, 5.0, 50.0, 10.0)], "page_id long, element_id int, name string, x double, y double, width double, height double")
+    out = {(r["page_id"], r["element_id"]): r for r in nodes.inline_frames(elements, frames).collect()}
+    assert out[0, 1]["name"] == "to [redacted:email#f1-f1-1] and [redacted:tel#f1-f1-f3-2] $1" and out[1, 1]["name"].startswith("to [redacted:email#f1-1]") and out[2, 1]["name"] == elements.first()["name"]
+    assert (0, 2) not in out and (1, 2) not in out and out[0, 3]["name"] is None and (out[0, 3]["x"], out[0, 3]["width"]) == (401.0, 1.0)
+    regions = elements.select("page_id", F.col("element_id").alias("region_id"), F.lit("email").alias("kind"), "x", "y", "width", "height")
+    assert [(r["kind"], r["depth"]) for r in nodes.inline_regions(regions, frames).where("page_id = 0").collect()] == [("email", 2)] * 2
+
+
+def test_funnel_counts_are_observed(spark, rows):
+    """Totals of all pages come from the rows as they pass."""
+    both = rows.unionByName(rows.withColumn("page_id", F.lit(9).cast("long")))
+    bounds = both.select("page_id", "node_id", F.lit(0.0).alias("x"), (F.col("node_id") * 30.0).alias("y"), F.lit(40.0).alias("w"), F.lit(20.0).alias("h"), F.col("node_id").alias("paint_order"))
+    cover = both.where("page_id = 9 and tag = 'iframe'").select("page_id", "node_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(500.0).alias("w"), F.lit(5000.0).alias("h"), F.lit(10_000).alias("paint_order"))
+    bounds = bounds.join(cover.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti").union(cover)
+    seen = Observation("funnel")
+    counts = {r["page_id"]: r for r in nodes.scan_funnel(both, bounds, 800, 600, observation=seen).collect()}
+    assert list(counts[1].asDict()) == ["page_id", *nodes.FUNNEL]
+    assert all(seen.get[c] == sum(r[c] for r in counts.values()) for c in nodes.FUNNEL)
+    assert counts[1]["after_occlusion"] == counts[1]["after_name"] and counts[9]["after_occlusion"] < counts[9]["after_name"] == counts[1]["after_name"]
+    plain = nodes.scan_funnel(rows).first()
+    assert plain["visited"] == rows.count() and plain["after_name"] == plain["after_occlusion"] >= plain["final"] > 0
+
+
+def test_observation_says_what_the_browser_shows(spark):
+    headers = spark.createDataFrame([(1, "https://h.example.com/?u=a@x.com", "Mail a@x.com"), (2, "about:blank", None)], "page_id long, url string, title string")
+    tabs = spark.createDataFrame([(1, 7, 2, "Two", "https://two.example.com/", False), (1, 9, 1, "b@x.com", "https://one.example.com/", True), (2, 1, 1, "alone", "x", True)], "page_id long, tab_id long, pos int, title string, url string, active boolean")
+    views = spark.createDataFrame([(1, 1280, 900, 0.5, -2.5)], "page_id long, width int, height int, scroll_x double, scroll_y double")
+    out = {r["page_id"]: r["observation"].split("\n") for r in outline.page_observation(headers, spark.createDataFrame([(1, '[0] link "A"')], "page_id long, outline string"), tabs=tabs, viewports=views).collect()}
+    assert out[1] == ["Browser state:", "Tabs:", '* [9] "[redacted:email]" https://one.example.com/', '  [7] "Two" https://two.example.com/', 'Page: "Mail [redacted:email]" — https://h.example.com/?u=[redacted:email]', "Viewport: 1280x900, scrolled to (1, -2)", "", outline.HEADING, '[0] link "A"']
+    assert out[2] == ["Browser state:", 'Page: "" — about:blank', "", "The page shows no control."]
+
+
 def test_frames(spark):
     elements = spark.createDataFrame([(p, e, "n", 10.0, 10.0, 30.0, 20.0) for p in (1, 2, 3) for e in (1, 2)], "page_id long, element_id int, name string, x double, y double, width double, height double")
     frames = spark.createDataFrame([(1, 1, 2, 100.0, 100.0, 200.0, 200.0, 2.0, 2.0), (1, 2, 2, 0.0, 0.0, 40.0, 40.0, 0.0, 0.0), (2, 1, 3, 5.0, 5.0, 60.0, 22.0, 0.0, 0.0), (2, 2, 3, 0.0, 0.0, 60.0, 60.0, 0.0, 0.0)], "page_id long, pos int, child_page_id long, x double, y double, width double, height double, border_left double, border_top double")
