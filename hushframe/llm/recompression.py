@@ -154,12 +154,13 @@ class Sequence:
         if len(self.ids):
             used, bucket = self.word_keys()
             name[used] = self.global_names(WORD, bucket, replies)
-        self.symbol = self.word_name = name[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
+        self.symbol = name[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
         self.opens = np.zeros(len(self.symbol), bool)
         self.opens[self.words.first[:-1][self.words.counts > 0]] = True
         self.doc = self.word_doc
         self.alive = np.arange(len(self.starts))
         self.low, self.high = self.starts.copy(), self.starts + self.size
+        self.form = Form(len(self.starts))
         self.drop_windows()
 
     def drop_windows(self) -> None:
@@ -167,6 +168,7 @@ class Sequence:
         lone = np.append(0, np.cumsum(self.symbol == 0))
         keep = lone[self.high] == lone[self.low]
         self.alive, self.low, self.high = self.alive[keep], self.low[keep], self.high[keep]
+        self.form.keep(keep)
 
     # --- rounds
 
@@ -190,6 +192,7 @@ class Sequence:
         of_pair = np.cumsum(np.bincount(first, minlength=len(run))) - 1
         # Of the windows: the runs at either edge may go on outside, and an edge run may pair with one outside.
         some = self.low < self.high
+        self.leave(round_, some, run, length, right, begin, of_run)
         low, high = of_run[np.where(some, self.low, 0)] + 1, of_run[np.where(some, self.high, 1) - 1]
         some &= low < high
         safe = np.where(some, low, 0), np.where(some, high, 1)
@@ -204,6 +207,32 @@ class Sequence:
         self.asked = np.flatnonzero((np.cumsum(need[:-1]) > 0) & to_name & (self.parts[0] > 0))
         self.symbol = np.where(to_name, zero, self.parts[0])
 
+    def leave(self, round_: int, some: np.ndarray, run: np.ndarray, length: np.ndarray, right: np.ndarray, begin: np.ndarray, of_run: np.ndarray) -> None:
+        """The runs that leave each window in this round go into its form: the outermost as far as they lie in it, and the next where it may pair with them."""
+        if not len(run):
+            return
+        low, high = np.where(some, self.low, 0), np.where(some, self.high, 1)
+        a, b = of_run[low], of_run[high - 1]
+        end = begin + length.astype(np.int64)
+        inner, i, j = b - a - 1, np.minimum(a + 1, len(run) - 1), np.maximum(b - 1, 0)
+        edges = (
+            (a, np.minimum(end[a], high) - low, some),
+            (b, high - np.maximum(begin[b], low), some & (a < b)),
+            (i, length[i], some & (inner > 0) & (right[i] | (inner == 1))),
+            (j, length[j], some & (inner > 1) & ~right[j]),
+        )
+        for k, (at, n, there) in enumerate(edges):
+            self.form.add(np.where(there, run[at], np.uint64(0)), np.where(there, n, 0).astype(np.uint64), 100 + 4 * round_ + k)
+
+    def finished(self) -> Form:
+        """The windows' forms with the symbols that were never left, in order."""
+        left = self.high - self.low
+        for k in range(int(left.max()) if len(left) else 0):
+            there = left > k
+            at = np.where(there, self.low + k, 0)
+            self.form.add(np.where(there, self.symbol[at], np.uint64(0)), there.astype(np.uint64), 1000 + k, there)
+        return self.form
+
     def pair_keys(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """The distinct runs and pairs asked for, their buckets in order, and for each one asked its place among them."""
         asked = [p[self.asked] for p in self.parts]
@@ -237,16 +266,27 @@ class Sequence:
             self.read_pairs(r, replies)
 
 
-    def repeats(self, starts: np.ndarray) -> Repeats:
-        return Repeats(self.word_name, starts, self.word_doc[starts], self.size, int(self.buckets))
+class Form:
+    """What each window was taken apart into: runs left at its edges by round, and its last symbols; 128 bits over the numbers of these."""
+
+    def __init__(self, n: int):
+        self.one, self.two = np.full(n, 1, np.uint64), np.full(n, 2, np.uint64)
+
+    def keep(self, which: np.ndarray) -> None:
+        self.one, self.two = self.one[which], self.two[which]
+
+    def add(self, symbol: np.ndarray, n: np.ndarray, salt: int, where: np.ndarray | None = None) -> None:
+        for name, more in (("one", 0), ("two", 5000)):
+            before = getattr(self, name)
+            after = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(mix(symbol, salt + more) ^ n, 7 + more), salt + more + 1)
+            setattr(self, name, after if where is None else np.where(where, after, before))
 
 
 class Repeats:
-    """Windows by what they are: 128 bits over the names of their words, and the smallest document of the block that has each."""
+    """A block's windows by their forms, with the smallest document of the block that has each."""
 
-    def __init__(self, names: np.ndarray, starts: np.ndarray, docs: np.ndarray, size: int, buckets: int):
-        self.docs = docs
-        one, two = doubled(mix(names, 61), size, 62)[starts], doubled(mix(names, 71), size, 72)[starts]
+    def __init__(self, form: Form, docs: np.ndarray, buckets: int):
+        one, two = form.one, form.two
         bucket = (mix(one, 13) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((docs, two, one, bucket))
         fresh = np.ones(len(order), bool)
@@ -256,6 +296,26 @@ class Repeats:
         self.stretches = stretches(bucket[at])
         self.inverse = np.empty(len(order), np.int64)
         self.inverse[order] = np.cumsum(fresh) - 1
+        #: The block itself has it in a smaller document.
+        self.within = self.least[self.inverse] < docs
+
+    def told(self, alive: np.ndarray) -> bytes:
+        """For the block itself: which windows these are, their numbers, and where the answers of each bucket begin."""
+        sizes = np.array([(b, e - s) for b, s, e in self.stretches], "<i8").tobytes()
+        return len(self.stretches).to_bytes(4, "little") + sizes + bits(alive) + bits(self.within) + narrow(self.inverse)
+
+    @staticmethod
+    def smaller(told: bytes, n: int, replies: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Of a block of n windows: which were told of, and of these which start in a document with a smaller id too."""
+        k = int.from_bytes(told[:4], "little")
+        at, flags = 4 + 16 * k, []
+        for bucket, size in np.frombuffer(told, "<i8", 2 * k, 4).reshape(-1, 2).tolist():
+            flags.append(unbits(replies[(WHOLE, bucket)], size))
+        alive = unbits(told[at : at + -(-n // 8)], n)
+        at, m = at + -(-n // 8), int(alive.sum())
+        within = unbits(told[at : at + -(-m // 8)], m)
+        inverse, _ = wide(told, m, at + -(-m // 8))
+        return alive, np.concatenate(flags)[inverse.astype(np.int64)] | within
 
     def sent(self, block: int) -> list[tuple]:
         return [(WHOLE, b, block, (e - s).to_bytes(4, "little") + self.one[s:e].astype("<u8").tobytes() + self.two[s:e].astype("<u8").tobytes() + narrow_ids(self.least[s:e])) for b, s, e in self.stretches]
@@ -274,30 +334,6 @@ class Repeats:
         cuts = np.cumsum([0, *sizes])
         return [bits(smaller[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def read(self, replies: dict) -> np.ndarray:
-        """Per window given at the start: a document with a smaller id has it."""
-        smaller = np.zeros(len(self.one), bool)
-        for b, s, e in self.stretches:
-            smaller[s:e] = unbits(replies[(WHOLE, b)], e - s)
-        return smaller[self.inverse] | (self.least[self.inverse] < self.docs)
-
-
-def doubled(values: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """A mixed number for the ``size`` values from each place: those of halves, mixed again; no sum of terms that could cancel."""
-    out, width, left, at = None, 1, size, 0
-    level = values
-    total = max(len(values) - size + 1, 0)
-    while left:
-        if left & 1:
-            part = level[at : at + total]
-            out = part if out is None else mix(out * np.uint64(0x9E3779B97F4A7C15) ^ part, salt + 32 + width)
-            at += width
-        left >>= 1
-        if left:
-            level = mix(level[:-width] * np.uint64(0xD6E8FEB86659FD93) + mix(level[width:], salt + 64), salt + width) if len(level) > width else level[:0]
-            width *= 2
-    return out[:total]
-
 
 def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, rounds: int = ROUNDS, **sizes: int) -> DataFrame:
     """Per row of ``docs``: its id, ``n_words``, ``n_removed``, ``spans`` (start, end, ... in words) and ``kept_text``.
@@ -306,10 +342,13 @@ def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of smaller id; kept words are joined by one space. Ids are integers; null and empty texts
     have no words; documents without an id are larger than all others and none of them removes
     from another; rows that repeat an id do not remove from each other; an empty table gives none.
-    Words, runs and pairs are compared as they are; whole windows by 128 bits over the names of
-    their words, of which at 10^13 windows fewer than 10^-12 pairs are taken for one by chance.
+    Words, runs and pairs are compared as they are; windows by 128 bits over the symbols and edges
+    that ``rounds`` (one or more) took them apart into, of which at 10^13 windows fewer than 10^-12
+    pairs are taken for one by chance.
     Texts of any length are cut into pieces of about ``piece`` bytes.
     """
+    if rounds < 1:
+        raise ValueError("without a round there are no symbols to compare windows by")
     length = sizes.get("piece", PIECE_BYTES)
 
     def cuts(data: np.ndarray) -> list[tuple[int, int, int]]:
@@ -343,9 +382,10 @@ def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         own.read(rounds, replies)
         if not len(own.alive):
             return []
+        found = Repeats(own.finished(), own.word_doc[own.starts[own.alive]], buckets)
         flags = np.zeros(len(own.starts), bool)
         flags[own.alive] = True
-        return [(ECHO, block, block, bits(flags)), *own.repeats(own.starts[own.alive]).sent(block)]
+        return [(ECHO, block, block, found.told(flags)), *found.sent(block)]
 
     schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept_text", T.BinaryType())])
 
@@ -353,17 +393,17 @@ def duplicate_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         echo = replies.get((ECHO, number(table)))
         if echo is None:
             return [np.zeros(0, np.int64)] * table.num_rows
-        own = Sequence(table, size, rounds, buckets)
-        own.read_words(replies)
-        starts = own.starts[unbits(echo, len(own.starts))]
-        again = own.repeats(starts).read(replies)
-        return edges(window_flags(starts[again], len(own.words.start), size), own.words.first)
+        data, offsets = texts(table.column("text"))
+        found = Words(data, offsets)
+        starts = np.flatnonzero(found.window_starts(size))
+        alive, again = Repeats.smaller(echo, len(starts), replies)
+        return edges(window_flags(starts[alive][again], len(found.start), size), found.first)
 
     asked = [settle(answered(blocks.send(words), {WORD: merge_words}))]
     for r in range(1, rounds + 1):
         asked.append(settle(answered(blocks.ask_again(asked, round_of(r)), {r: merge_pairs})))
     found = settle(answered(blocks.ask_again(asked, windows), {WHOLE: Repeats.merge}))
-    return blocks.cut([asked[0], found], spans_of, without_words, schema)
+    return blocks.cut([found], spans_of, without_words, schema)
 
 
 def without_words(column: pa.Array, spans: list[np.ndarray]) -> list[pa.Array]:
