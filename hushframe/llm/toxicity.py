@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from .arrowtext import BASE, LOWER_VALUES, Words, mix, prefix_sums, slices, span_hash, texts
 from .decontaminate import SEPARATORS
 
-#: Bounds of the training sample: documents of each class, and bytes of a text that it takes.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32 << 10
+#: Bounds of the training sample: documents of each class, and characters of a text. A longer text teaches by so many stretches of it, evenly from its first to its last.
+SAMPLE_DOCS, SAMPLE_CHARS, STRETCHES = 1500, 32 << 10, 8
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: First letters (bytes) of a word that have embeddings of their own.
 STEMS = (4, 5, 6)
@@ -232,8 +232,16 @@ def train(found: list[tuple[str | None, int]], counts: dict[int, int]) -> Networ
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int) -> tuple[list[tuple], dict[int, int]]:
-    """At most ``sample`` labelled texts of each class, the first by a hash of the id, none held out and none longer than SAMPLE_BYTES; each text once."""
+def excerpt(text: str, most: int) -> Column:
+    """A text of at most ``most`` characters as it is; of a longer one STRETCHES stretches, evenly from its first to its last character, a line each."""
+    size, piece = F.char_length(text), max(most // STRETCHES, 1)
+    start = lambda k: F.floor(k * (size - piece) / (STRETCHES - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(F.col(text), start(k), F.lit(piece)))
+    return F.when(size <= most, F.col(text)).otherwise(F.array_join(parts, "\n"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, chars: int) -> tuple[list[tuple], dict[int, int]]:
+    """At most ``sample`` labelled texts of each class, the first by a hash of the id, none held out; each text once, long ones as excerpts of ``chars`` characters."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     counts = {0: 0, 1: 0} | {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ids = None
@@ -241,21 +249,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
         ids = part if ids is None else ids.union(part)
     # At most 2 * sample ids: a side of proven size.
-    short = docs.select(doc_id, text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES)
-    rows = short.join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(text).alias("t"), F.first("y").alias("y"))
+    rows = docs.select(doc_id, excerpt(text, chars).alias(text)).join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(text).alias("t"), F.first("y").alias("y"))
     # Copies would count a wrong label as often as there are of them; of a text's labels the more frequent one holds.
     texts_ = rows.groupBy("t").agg((F.avg("y") > 0.5).cast("int").alias("y"), F.min(F.xxhash64(doc_id)).alias("at"))
     return [(r["t"], r["y"]) for r in texts_.orderBy("at", "t").collect()], counts
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``docs`` with ``held_out, score, predicted``.
 
-    Learns from at most ``sample`` labelled documents of each class that are not held out (of
-    texts up to SAMPLE_BYTES, equal ones once), and from their texts only. Null and empty texts get the score of no words; without labels of
+    Learns from at most ``sample`` labelled documents of each class that are not held out, equal
+    texts once, and from their texts only; of a text of more than ``sample_chars`` characters from
+    stretches over its whole length. Every text is scored whole, however long. Null and empty texts get the score of no words; without labels of
     both classes every score is 0; repeated rows score alike; an empty table stays empty.
     """
-    net = train(*labelled_sample(docs, labels, doc_id, text, label, sample))
+    net = train(*labelled_sample(docs, labels, doc_id, text, label, sample, sample_chars))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType())])

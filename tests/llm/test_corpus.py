@@ -313,6 +313,19 @@ def toxic_rows():
     return out
 
 
+def test_long_texts_teach_by_stretches(spark):
+    """A class that only has long texts is learned, from their middles and ends too."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"word{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, " ".join([words(3000), *["vilest" if i % 2 else "kindly"] * 900, words(100)]), i % 2) for i in range(160)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels, sample_chars=4096).collect()}
+    assert sum(found[i] == y for i, _, y in rows) >= 0.95 * len(rows)
+    row = spark.createDataFrame([("".join(chr(97 + i % 26) for i in range(1000)),)], "t string").select(toxicity.excerpt("t", 80).alias("e")).first()["e"]
+    assert row.startswith("abcdefghij\n") and row.count("\n") == 7 and len(row) == 87 and row.endswith("".join(chr(97 + i % 26) for i in range(990, 1000)))
+
+
 def test_toxicity(spark, empty):
     made = toxic_rows()
     docs = spark.createDataFrame([(i, t, "s") for i, t, _ in made] + [(9001, None, "s"), (9002, "", "s"), (None, "grumfel", "s")], SCHEMA).withColumn("score", F.lit("own"))
