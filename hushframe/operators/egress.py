@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detectors import DETECTORS, all_detected, without_overlaps
+from ..functions.detectors import DETECTORS, all_detected, without_overlaps, worth_a_search
 from ..functions.expressions import human_bytes
 
 #: JSON strings, keys with their colon. Possessive: an alternation in a loop would exhaust Java's stack.
@@ -55,9 +55,14 @@ def json_strings(requests: DataFrame) -> DataFrame:
 
 
 def kinds_in(body: Column) -> Column:
-    """Sorted distinct kinds of the identifiers in a body's string values, which are searched as one text."""
+    """Sorted distinct kinds of the identifiers in a body's string values, which are searched as one text.
+
+    Values without escapes stand in the body as they are: where the body as a whole is not worth
+    a search and escapes nothing, no value is cut out of it.
+    """
     found = without_overlaps(all_detected(F.array_join(string_values(body), APART), DETECTORS))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: s["kind"])))
+    worth = F.contains(body, F.lit("\\")) | worth_a_search(body) | F.lit(any(d.hint is None for d in DETECTORS))
+    return F.when(worth, F.array_sort(F.array_distinct(F.transform(found, lambda s: s["kind"])))).otherwise(F.array().cast("array<string>"))
 
 
 def body_kinds(found: DataFrame) -> DataFrame:
