@@ -177,34 +177,40 @@ class CoverTree:
     def assigned(self, entries: np.ndarray) -> tuple[np.ndarray, int]:
         """The nearest entry (ties: the lowest) of each point, and how many distances that took."""
         points = exact(self.points)
-        labels, count = np.zeros(len(points), np.int64), 0
+        labels = np.zeros(len(points), np.int64)
         nodes, open_ = np.array([0]), np.ones((1, len(entries)), bool)
+        square, count = squared(points[self.first[nodes]], entries), len(entries)
         while len(nodes):
-            square = squared(points[self.first[nodes]], entries)
-            count += int(open_.sum())
             dist = np.where(open_, np.sqrt(square.astype(np.float64)), np.inf)
             reach = dist.min(axis=1) + 2 * self.radius[nodes]
             possible = dist <= (reach * (1 + SLACK) + SLACK)[:, None]
             settled = possible.sum(axis=1) == 1
             for node, entry in zip(nodes[settled], possible[settled].argmax(axis=1), strict=True):
                 labels[self.low[node] : self.high[node]] = entry
-            nodes, possible = nodes[~settled], possible[~settled]
+            nodes, possible, square = nodes[~settled], possible[~settled], square[~settled]
             inner = self.child_to[nodes] > self.child_from[nodes]
             leaves = nodes[~inner]
             if len(leaves):
                 lengths = self.high[leaves] - self.low[leaves]
                 rows = np.repeat(np.arange(len(leaves)), lengths)
                 at = np.concatenate([np.arange(a, b) for a, b in zip(self.low[leaves], self.high[leaves], strict=True)])
-                square = squared(points[at], entries)
+                exactly = squared(points[at], entries)
                 allowed = possible[~inner][rows]
                 count += int(allowed.sum())
                 # Of those still possible the least; impossible ones lose to any real distance.
-                worst = square.max() + 1
-                labels[at] = np.where(allowed, square, worst).argmin(axis=1)
-            nodes, possible = nodes[inner], possible[inner]
+                worst = exactly.max() + 1
+                labels[at] = np.where(allowed, exactly, worst).argmin(axis=1)
+            nodes, possible, square = nodes[inner], possible[inner], square[inner]
+            if not len(nodes):
+                break
             many = self.child_to[nodes] - self.child_from[nodes]
-            open_ = np.repeat(possible, many, axis=0)
-            nodes = np.concatenate([np.arange(a, b) for a, b in zip(self.child_from[nodes], self.child_to[nodes], strict=True)]) if len(nodes) else nodes
+            below = np.concatenate([np.arange(a, b) for a, b in zip(self.child_from[nodes], self.child_to[nodes], strict=True)])
+            # A node's first child has its point: those distances are known.
+            fresh = below != np.repeat(self.child_from[nodes], many)
+            open_, square = np.repeat(possible, many, axis=0), np.repeat(square, many, axis=0)
+            square[fresh] = squared(points[self.first[below[fresh]]], entries)
+            count += int(open_[fresh].sum())
+            nodes = below
         return labels, count
 
     def sums(self, labels: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
