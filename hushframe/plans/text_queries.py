@@ -253,9 +253,12 @@ def egress_log(spark, sf_dir):
     return log.groupBy("host", "bytes", "allowed", "reason", "kinds").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT coalesce(host, 'not a url') AS host, count(*) FILTER (allowed) AS sent, count(*) FILTER (NOT allowed) AS refused, CAST(coalesce(sum(bytes) FILTER (allowed), 0) AS BIGINT) AS bytes FROM {JUDGED} WHERE logged GROUP BY 1")
+_SIZE = "CASE WHEN bytes < 1024 THEN CAST(bytes AS VARCHAR) || ' B' WHEN bytes < 1048576 THEN CAST(CAST(round(bytes / 1024) AS BIGINT) AS VARCHAR) || ' KB' ELSE printf('%.1f MB', bytes / 1048576) END"
+
+
+@query(f"SELECT *, {_SIZE} AS size FROM (SELECT coalesce(host, 'not a url') AS host, count(*) FILTER (allowed) AS sent, count(*) FILTER (NOT allowed) AS refused, CAST(coalesce(sum(bytes) FILTER (allowed), 0) AS BIGINT) AS bytes FROM {JUDGED} WHERE logged GROUP BY 1)")
 def egress_summary(spark, sf_dir):
-    return egress.egress_summary(egress.egress_log(requests(spark, sf_dir), hosts(spark)), by="host").drop("size")
+    return egress.egress_summary(egress.egress_log(requests(spark, sf_dir), hosts(spark)), by="host")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
