@@ -432,10 +432,12 @@ def test_secrets(spark, empty):
 SECRETS = [
     'password="Xk3!9aPq"', "pwd: s3cr3tKey1", 'token="correct-horse-battery-staple"', "api_key=ZmFrZWtleWZha2VrZXlmYWtl", "AUTH: Bearer7yGh2kLmQ9z", 'client_secret = "aB3dE5gH7jK9mN1pQ3"',
     "use ghp_aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5 here", 'secret: "vQw8#mPz2!"', "access_key=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b",
+    'password="a,b;c<d>9X!"', "pwd=ab12", "DB_PASS=hunter2hunter2", "https://user:Tr0ub4dor3@db.example.com/x", "passphrase: correct horse battery staple",
 ]
 NO_SECRETS = [
     "the password is required for login", "password: required", "token: none", "call 4032835936481012 or 24.243.215.198 now", "mail een.00@mail1.example.com und", "/usr/lib/python3/abc123/index.html",
     "on 2024-05-06T10.00.00 we met", "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b fixed it", "id 550e8400-e29b-41d4-a716-446655440000 was seen", "an extraordinarily long-winded conversation", "donaudampfschifffahrtsgesellschaft",
+    "ISBN-978-3-16-148410-0", "see https://user@db.example.com:8080/x", "compass: north",
 ]
 
 
