@@ -28,10 +28,11 @@ class VaultStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self._name = f"vault_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
+        where = self.path.replace("\\", "\\\\").replace("'", "\\'")
         for table, columns in (("entries", ENTRIES), ("seen", SEEN)):
             # The catalogue of a session may not know the tables yet; files carry their bucket in their name.
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_{table} ({columns}) USING parquet CLUSTERED BY ({', '.join(KEY)}) INTO {buckets} BUCKETS LOCATION '{self.path}/{table}'")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_manifest ({MANIFEST}) USING parquet LOCATION '{self.path}/manifest'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_{table} ({columns}) USING parquet CLUSTERED BY ({', '.join(KEY)}) INTO {buckets} BUCKETS LOCATION '{where}/{table}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name}_manifest ({MANIFEST}) USING parquet LOCATION '{where}/manifest'")
 
     def _table(self, name: str) -> DataFrame:
         self.spark.catalog.refreshTable(f"{self._name}_{name}")
@@ -62,7 +63,7 @@ class VaultStore:
         found = materialized(found.select(scope, "kind", "text", *dict.fromkeys(order)))
         minted, seen = newly_minted(found, known, scope, order, gen, tag)
         before = self._table("seen").where(F.col("gen") == gen).select(*KEY)
-        # Written from what is stored is read first: an insert may not read its own table.
+        # What comes from the stored tables is worked out before these are written to.
         minted = materialized(minted.select("scope", "handle", "kind", "value", "n", F.col("seen_gen").alias("gen")))
         marks = materialized(seen.join(before.hint("merge"), list(KEY), "left_anti").select(*KEY, F.lit(gen).cast("long").alias("gen")))
         for rows, table in ((minted, "entries"), (marks, "seen")):
