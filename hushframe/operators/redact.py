@@ -70,8 +70,9 @@ def redact_container_labels(nodes: DataFrame, label: str = "label", limit: int =
 
 def redact_controls(placed: DataFrame) -> DataFrame:
     """``name`` of controls and, in its place, ``label`` of containers, each redacted whole and cut to its own length."""
-    cut = lambda name, limit: bound(redacted(squash(F.col(name))), lambda n: truncated(n, limit))
-    return placed.withColumn("name", F.coalesce(F.when(F.col("element"), cut("name", NAME_CHARS)).otherwise(cut("label", LABEL_CHARS)), F.lit("")))
+    shown = F.coalesce(F.when(F.col("element"), F.col("name")).otherwise(F.col("label")), F.lit(""))
+    cut = lambda n: F.when(F.col("element"), truncated(n, NAME_CHARS)).otherwise(truncated(n, LABEL_CHARS))
+    return placed.withColumn("name", bound(redacted(squash(shown)), cut))
 
 
 def redact_values(nodes: DataFrame, value: str = "value", kind: str = "sensitive", handle: str | None = None, limit: int = VALUE_CHARS) -> DataFrame:

@@ -210,7 +210,10 @@ BATCH_NODES = 20_000
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """``pages`` as node rows, numbered in document order. Pages are independent, nothing is shuffled."""
+    """``pages`` as node rows, numbered in document order. Pages are independent, and nothing is shuffled unless the input has fewer partitions than there are cores: parsing is what takes time, and one small file would keep one core busy."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if not pages.isStreaming and pages.rdd.getNumPartitions() < cores:
+        pages = pages.select("page_id", "html").repartition(cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: dict[str, list] = {name: [] for name in _ARROW.names}
