@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def letter(number: str, place: int) -> str:
@@ -76,7 +76,10 @@ DERIVED: dict[str, tuple[str, str]] = {
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = DERIVED[name]
-    return table(spark, sf_dir, base).selectExpr(*split_columns(columns))
+    rows = table(spark, sf_dir, base)
+    if base == "customer":  # its texts are searched
+        rows = spread(rows, "c_custkey")
+    return rows.selectExpr(*split_columns(columns))
 
 
 def derived_sql(name: str) -> str:

@@ -75,7 +75,9 @@ def find_identifiers_documents(spark, sf_dir):
 @query(f"{sql.found_ctes(IDENTITIES, 'id', 'text')} SELECT id, string_agg(kind, ',' ORDER BY s) AS kinds FROM found GROUP BY id")
 def identifier_kinds(spark, sf_dir):
     rows = identify.identifier_kinds(identify.with_spans(derived(spark, sf_dir, "identity_texts"), "text"))
-    return rows.where(F.size("kinds") > 0).select("id", F.array_join("kinds", ",").alias("kinds"))
+    # An outer explode, as a filter on the spans themselves would be moved to where the table is read and work them out once more there.
+    rows = rows.select("id", F.explode_outer(F.array(F.array_join("kinds", ","))).alias("kinds"))
+    return rows.where("kinds <> ''")
 
 
 @query(

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by their key to all cores, for steps that take long for each row: a small file is few tasks, and one row group is one."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def src_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet")
 

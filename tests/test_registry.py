@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from hushframe.plans import registry
 
@@ -57,3 +58,15 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     if os.path.isdir(TABLES):
         code += f"; from pyspark.sql import SparkSession as S; assert q['detect_email'](S.builder.master('local[2]').getOrCreate(), '{TABLES}').count()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_texts_of_a_small_table_are_searched_on_all_cores(spark, tmp_path):
+    """One row group is one task, and a filter on spans would work them out where the table is read, once more and before it is dealt."""
+    spark.range(400).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey", "'A' as c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = registry.QUERIES["find_identifiers"](spark, str(tmp_path))
+    per_task = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("id").alias("n")).collect()
+    assert len(per_task) >= 4 and max(r["n"] for r in per_task) < 200
+    kinds = registry.QUERIES["identifier_kinds"](spark, str(tmp_path))
+    plan = kinds._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp" in line for line in plan.splitlines())
+    assert kinds.count() == 400
