@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expressions import BLANK, EDGE, bound, digits_only, luhn_ok, verhoeff_ok
+from .expressions import BLANK, EDGE, bound, check_of_digits, digits_only, luhn_ok, verhoeff_ok
 
 #: What a value may be, in the vocabulary of forms and redaction markers.
 KINDS = (
@@ -44,13 +44,11 @@ def gstin_ok(text: Column) -> Column:
 
 
 def card_ok(text: Column) -> Column:
-    digits = digits_only(text)
-    return F.char_length(digits).between(13, 19) & luhn_ok(digits)
+    return check_of_digits(text, lambda digits, both: F.char_length(digits).between(13, 19) & luhn_ok(digits, both))
 
 
 def phone_ok(text: Column) -> Column:
-    digits = digits_only(text)
-    return (F.char_length(digits) == 10) | ((F.char_length(digits) == 12) & digits.startswith("91"))
+    return bound(digits_only(text), lambda digits: (F.char_length(digits) == 10) | ((F.char_length(digits) == 12) & digits.startswith("91")))
 
 
 #: The published formats, in the order that breaks ties. The first class, once more in
@@ -61,7 +59,7 @@ DETECTORS = [
     Detector("ifsc", f"(?=[A-Z]){EDGE}[A-Z]{{4}}0[A-Z0-9]{{6}}{EDGE}", None, "[A-Z]{4}0[A-Z0-9]{6}"),
     Detector("pan", f"(?=[A-Z]){EDGE}[A-Z]{{5}}[0-9]{{4}}[A-Z]{EDGE}", pan_ok, "[A-Z]{5}[0-9]{4}[A-Z]"),
     Detector("cc-number", f"(?=[0-9]){EDGE}(?:[0-9][ -]?){{12,18}}[0-9]{EDGE}", card_ok, "(?:[0-9][ -]?){12}[0-9]"),
-    Detector("aadhaar", f"(?=[2-9]){EDGE}[2-9][0-9]{{3}}[ -]?[0-9]{{4}}[ -]?[0-9]{{4}}{EDGE}", lambda text: verhoeff_ok(digits_only(text)), "[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
+    Detector("aadhaar", f"(?=[2-9]){EDGE}[2-9][0-9]{{3}}[ -]?[0-9]{{4}}[ -]?[0-9]{{4}}{EDGE}", lambda text: check_of_digits(text, verhoeff_ok), "[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
     Detector("tel", f"(?=[+6-9])(?:\\+?91(?:{BLANK}|-)?)?{EDGE}[6-9][0-9]{{4}}(?:{BLANK}|-)?[0-9]{{5}}{EDGE}", phone_ok, f"[6-9][0-9]{{4}}(?:{BLANK}|-)?[0-9]{{5}}"),
 ]
 

@@ -71,16 +71,25 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 PLACES = 19
 
 
-def digits_from_right(digits: Column) -> list[Column]:
-    """The first PLACES digits of a string of digits from its right end; 0 where there is none."""
-    n = F.char_length(digits)
+def halves(digits: Column) -> Column:
+    """The last nine digits of a string of digits, and those before them, as numbers; 0 where there is none."""
     low = F.coalesce(F.right(digits, F.lit(9)).try_cast("long"), F.lit(0).cast("long"))
-    high = F.coalesce(F.substr(digits, F.lit(1), F.greatest(n - 9, F.lit(0))).try_cast("long"), F.lit(0).cast("long"))
-    return [(F.floor(half / F.lit(10**k)) % 10).cast("int") for half, most in ((low, 9), (high, PLACES - 9)) for k in range(most)]
+    high = F.coalesce(F.substr(digits, F.lit(1), F.greatest(F.char_length(digits) - 9, F.lit(0))).try_cast("long"), F.lit(0).cast("long"))
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def digits_from_right(both: Column) -> list[Column]:
+    """The first PLACES digits of a string of digits from its right end, from its ``halves``."""
+    return [(F.floor(both[half] / F.lit(10**k)) % 10).cast("int") for half, most in (("low", 9), ("high", PLACES - 9)) for k in range(most)]
+
+
+def check_of_digits(text: Column, check: Callable[[Column, Column], Column]) -> Column:
+    """``check(digits, halves)`` of a text's digits. Within a lambda Spark works out each use of a column by itself: both are worked out once."""
+    return bound(digits_only(text), lambda d: bound(halves(d), lambda both: check(d, both)))
 
 
-def luhn_ok(digits: Column) -> Column:
-    """Whether a string of digits passes the mod-10 check; anything else does not."""
+def luhn_ok(digits: Column, both: Column | None = None) -> Column:
+    """Whether a string of digits passes the mod-10 check; anything else does not. ``both`` are its ``halves``, if known."""
     n = F.char_length(digits)
 
     def worth(i: Column) -> Column:
@@ -88,7 +97,7 @@ def luhn_ok(digits: Column) -> Column:
         return own - F.when(own > 9, 9).otherwise(0)
 
     total = F.lit(0)
-    for k, digit in enumerate(digits_from_right(digits)):
+    for k, digit in enumerate(digits_from_right(halves(digits) if both is None else both)):
         total = total + (digit * 2 - F.when(digit > 4, 9).otherwise(0) if k % 2 else digit)
     folded = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + worth(i))
     short, long = digits.rlike(f"^[0-9]{{1,{PLACES}}}$"), digits.rlike(f"^[0-9]{{{PLACES + 1},}}$")
@@ -114,8 +123,8 @@ def verhoeff_tables() -> tuple[list[int], list[int]]:
     return [dihedral_product(a, b) for a in range(10) for b in range(10)], powers
 
 
-def verhoeff_ok(digits: Column) -> Column:
-    """Whether a string of digits passes the dihedral check; anything else does not."""
+def verhoeff_ok(digits: Column, both: Column | None = None) -> Column:
+    """Whether a string of digits passes the dihedral check; anything else does not. ``both`` are its ``halves``, if known."""
     products, powers = verhoeff_tables()
     product, power = lit_array(products), lit_array(powers)
     n = F.char_length(digits)
@@ -125,7 +134,7 @@ def verhoeff_ok(digits: Column) -> Column:
         return F.get(product, acc * 10 + placed)
 
     check = F.lit(0)
-    for k, digit in enumerate(digits_from_right(digits)):  # 0 leaves the check as it is
+    for k, digit in enumerate(digits_from_right(halves(digits) if both is None else both)):  # 0 leaves the check as it is
         placed = F.when(n > k, F.get(lit_array(powers[k % 8 * 10 : k % 8 * 10 + 10]), digit)).otherwise(0)
         check = F.get(product, check * 10 + placed)
     folded = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step)
