@@ -12,7 +12,7 @@ from ..sources import pages as source
 from ..sources.tables import src_pages as read_pages
 from ..sources.tables import src_text as read_text
 from ..sources.tables import src_truth as read_truth
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import markup, sql
 from .markup import FORMED, with_forms
 from .registry import query
@@ -385,7 +385,7 @@ def inline_regions(spark, sf_dir):
 
 @query("SELECT c_custkey AS user_id, '[redacted:email] — https://x.example.com/' || CAST(c_custkey AS VARCHAR) || chr(10) || 'Orders — https://x.example.com/?m=[redacted:email]' AS tabs FROM customer")
 def redact_tabs(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("mail"))
+    users = spread(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("mail"))
     first = F.struct(F.lit(1).alias("pos"), F.col("mail").alias("title"), F.concat(F.lit("https://x.example.com/"), F.col("user_id").cast("string")).alias("url"))
     second = F.struct(F.lit(2).alias("pos"), F.lit("Orders").alias("title"), F.concat(F.lit("https://x.example.com/?m="), F.col("mail")).alias("url"))
     return redact.redact_tabs(users.select("user_id", F.explode(F.array(first, second)).alias("t")).select("user_id", "t.*"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.materialize import materialized
 from ..operators import boxes, chat, fields, identify, nodes, score
 from ..operators.vault import expected_kind_check as check
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming.streams import reply_match as match_replies
 from . import sql
 from .derived import CARD, MAIL, PAN, PHONE, PHONE_TEXT, derived, derived_sql, pieces, pieces_sql
@@ -177,7 +177,7 @@ def _columns_sql() -> str:
 
 @query(_columns_sql())
 def classify_columns(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").selectExpr(*[f"{content} as {name}" for name, content, _ in _COLUMNS])
+    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").selectExpr(*[f"{content} as {name}" for name, content, _ in _COLUMNS])
     return fields.classify_columns(rows)
 
 
