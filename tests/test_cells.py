@@ -67,3 +67,17 @@ def test_score_table(spark):
     none = score.score_detection(found.limit(0), truth.limit(0)).first()
     assert none["identifiers"] == 0 and none["recall"] is None and none["precision_span"] is None
     assert score.score_table(found.limit(0), truth.limit(0)).where(F.col("identifiers") > 0).isEmpty()
+
+
+def test_small_groups_meet_without_copies_and_large_ones_beside_them(spark):
+    """A group's size on either side decides: one row against many goes by cells too."""
+    few = spark.range(4000).selectExpr("id div 4 as g", "id as i", "cast(id % 4 * 40 as double) as x", "0.0D as y", "90.0D as w", "60.0D as h")
+    pairs = score.boxes_intersect(few, few, ["g"])
+    assert "explode" not in pairs._jdf.queryExecution().optimizedPlan().toString().lower()
+    # Boxes at 0, 40, 80, 120, each 90 wide: neighbours and the next but one cross.
+    assert pairs.count() == 1000 * (4 + 2 * 3 + 2 * 2)
+    many = few.where("g = 7").selectExpr("g", "i as of").crossJoin(spark.range(100).selectExpr("id as i", "cast(id as double) as x", "0.0D as y", "1.0D as w", "1.0D as h")).where("of = 28").drop("of")
+    mixed = few.union(many.select(*few.columns))
+    met = score.boxes_intersect(few, mixed, ["g"])
+    assert met.where("b_w = 90").exceptAll(pairs).isEmpty() and met.where("b_w = 90").count() == pairs.count()
+    assert met.where("b_w = 1").count() == sum(1 for x in range(100) for at in (0, 40, 80, 120) if at - 1 < x < at + 90)
