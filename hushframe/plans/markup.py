@@ -73,8 +73,20 @@ _ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&lt;"
 _READ = "piece"
 for _entity, _character in _ENTITIES:
     _READ = f"replace({_READ}, '{_entity}', '{_character}')"
-TEXTS = f"""(SELECT page_id, k, text FROM (SELECT page_id, k, {sql.squash(_READ)} AS text FROM (SELECT page_id, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM (
+
+
+def texts_sql(read: str) -> str:
+    return f"""(SELECT page_id, k, text FROM (SELECT page_id, k, {sql.squash(read)} AS text FROM (SELECT page_id, unnest(ps) AS piece, unnest(range(len(ps))) AS k FROM (
     SELECT page_id, string_split_regex(body, '<[^>]*>') AS ps FROM (SELECT page_id, {_BODY} AS body FROM {FORMED})))) WHERE length(text) >= 10)"""
+
+
+TEXTS = texts_sql(_READ)
+#: The same with these entities read as HTML has them: the semicolon may be missing, a number ends where its digits do.
+_READ_ALL = "piece"
+for _entity, _character in _ENTITIES:
+    _ends = "(?:;|$|([^0-9;]))" if "#" in _entity else ";?"
+    _READ_ALL = f"regexp_replace({_READ_ALL}, '{_entity[:-1]}{_ends}', '{_character}{'\\1' if '#' in _entity else ''}', 'g')"
+WHOLE_TEXTS = texts_sql(_READ_ALL)
 #: Anchors with their texts: page_id, node_id, name.
 _LINK = "$$(?s)<a\\b[^>]*>(.*?)</a>$$"
 LINKS = f"""(SELECT page_id, node_id, {sql.squash(_READ.replace("piece", "regexp_replace(raw, '<[^>]*>', '', 'g')"))} AS name FROM (

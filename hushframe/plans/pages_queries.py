@@ -79,7 +79,7 @@ def document_order(spark, sf_dir):
     return nodes.document_order(page_rows(spark, sf_dir)).select("page_id", F.col("pos").cast("long").alias("pos"), "tag")
 
 
-@query(f"SELECT page_id, text FROM {markup.TEXTS}")
+@query(f"SELECT page_id, text FROM {markup.WHOLE_TEXTS}")
 def page_text_nodes(spark, sf_dir):
     return source.page_text_nodes(page_rows(spark, sf_dir)).select("page_id", "text")
 
