@@ -327,10 +327,15 @@ _TAB_LINES = f"""(SELECT page_id, 'Tabs:' || chr(10) || string_agg(CASE WHEN act
     FROM ({_TABS}) GROUP BY page_id HAVING count(*) > 1)"""
 
 
+#: A page's title (k = 0) and address (k = 1) stand in its observation as they are redacted.
+_SHOWN = f"(SELECT page_id, 0 AS k, {_TITLE} AS text FROM pages UNION ALL SELECT page_id, 1, url FROM pages)"
+
+
 @query(
-    f"""SELECT p.page_id, 'Browser state:' || chr(10) || coalesce(tabs, '') || 'Page: ' || CAST(to_json({_TITLE}) AS VARCHAR) || ' — ' || url || chr(10) || 'Viewport: ' || CAST(800 + p.page_id % 5 AS VARCHAR) || 'x600, scrolled to (0, ' || CAST(p.page_id * 3 AS VARCHAR) || ')'
+    f"""{sql.redacted_ctes(_SHOWN, 'page_id, k', 'text')}, header AS (SELECT page_id, coalesce(max(out) FILTER (k = 0), '') AS title, coalesce(max(out) FILTER (k = 1), '') AS url FROM redacted GROUP BY page_id)
+    SELECT p.page_id, 'Browser state:' || chr(10) || coalesce(tabs, '') || 'Page: ' || CAST(to_json(p.title) AS VARCHAR) || ' — ' || p.url || chr(10) || 'Viewport: ' || CAST(800 + p.page_id % 5 AS VARCHAR) || 'x600, scrolled to (0, ' || CAST(p.page_id * 3 AS VARCHAR) || ')'
     || chr(10) || chr(10) || CASE WHEN coalesce(outline, '') = '' THEN 'The page shows no control.' ELSE '{outline.HEADING}' || chr(10) || outline END AS observation
-    FROM pages p LEFT JOIN {markup.OUTLINES} o ON p.page_id = o.page_id LEFT JOIN {_TAB_LINES} t ON p.page_id = t.page_id"""
+    FROM header p LEFT JOIN {markup.OUTLINES} o ON p.page_id = o.page_id LEFT JOIN {_TAB_LINES} t ON p.page_id = t.page_id"""
 )
 def page_observation(spark, sf_dir):
     pages = read_pages(spark, sf_dir)
