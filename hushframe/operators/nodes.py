@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -321,33 +324,68 @@ def collapse_wrappers(candidates: DataFrame) -> DataFrame:
     A weak node under a link or button goes; of two that nearly coincide the weak one goes, the
     outer one if both are weak, none if both are strong. Each step looks at what is still there.
     Columns: ``page_id, node_id, last, strong_element, link_or_button, x, y, width, height``. One pass
-    over a page's nodes, with those on a stack whose subtrees are open.
+    over the nodes of a task's pages, with those on a stack whose subtrees are open.
     """
-
-    def collapse(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("node_id", kind="stable")
-        left, open_ = dict.fromkeys(page["node_id"], True), []
-        for r in page.itertuples():
-            node = r.node_id
-            # Off the stack goes what has ended, and what has gone: it is nobody's outer control any more.
-            while open_ and (open_[-1].last < node or not left[open_[-1].node_id]):
-                open_.pop()
-            outer = open_[-1] if open_ else None
-            open_.append(r)
-            if outer is None:
-                continue
-            if not r.strong_element and outer.link_or_button:
-                left[node] = False
+    names = ("page_id", "node_id", "last", "strong_element", "link_or_button", *(boxes := ("x", "y", "width", "height")))
+    number = lambda column: pc.fill_null(column.cast(pa.float64()), float("nan"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Batches that hold a page that has not ended, and of each of their rows whether it stays.
+        held: list[pa.RecordBatch] = []
+        left: list[bool] = []
+        open_: list[tuple[int, tuple]] = []
+        page, began = None, 0
+
+        def ended(upto: int) -> Iterator[pa.RecordBatch]:
+            """The first ``upto`` rows held, without those that have gone."""
+            nonlocal held, left
+            if not upto:
+                return
+            rest = []
+            at = 0
+            for batch in held:
+                n = min(max(upto - at, 0), batch.num_rows)
+                if n:
+                    yield batch.slice(0, n).filter(pa.array(left[at : at + n]))
+                if n < batch.num_rows:
+                    rest.append(batch.slice(n))
+                at += batch.num_rows
+            held, left = rest, left[upto:]
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            across = max(0.0, min(outer.x + outer.width, r.x + r.width) - max(outer.x, r.x))
-            down = max(0.0, min(outer.y + outer.height, r.y + r.height) - max(outer.y, r.y))
-            area = r.width * r.height
-            if not area or across * down / area < CONTAINED or (outer.strong_element and r.strong_element):
-                continue
-            left[node if outer.strong_element else outer.node_id] = False
-        return page[[left[n] for n in page["node_id"]]]
-
-    return candidates.groupBy("page_id").applyInPandas(collapse, candidates.schema)
+            start = len(left)
+            held.append(batch)
+            left += [True] * batch.num_rows
+            for place, row in enumerate(zip(*[(number(batch.column(c)) if c in boxes else batch.column(c)).to_pylist() for c in names], strict=True), start):
+                if row[0] != page or not place:
+                    page, began = row[0], place
+                    open_.clear()
+                _, node, _, strong, _, x, y, width, height = row
+                # Off the stack goes what has ended, and what has gone: it is nobody's outer control any more.
+                while open_ and (open_[-1][1][2] < node or not left[open_[-1][0]]):
+                    open_.pop()
+                outer = open_[-1] if open_ else None
+                open_.append((place, row))
+                if outer is None:
+                    continue
+                _, _, _, outer_strong, outer_link, ox, oy, outer_width, outer_height = outer[1]
+                if not strong and outer_link:
+                    left[place] = False
+                    continue
+                across = max(0.0, min(ox + outer_width, x + width) - max(ox, x))
+                down = max(0.0, min(oy + outer_height, y + height) - max(oy, y))
+                area = width * height
+                if not area or across * down / area < CONTAINED or (outer_strong and strong):
+                    continue
+                left[place if outer_strong else outer[0]] = False
+            yield from ended(began)
+            open_[:] = [(place - began, row) for place, row in open_]
+            began = 0
+        yield from ended(len(left))
+
+    return candidates.repartition("page_id").sortWithinPartitions("page_id", "node_id").mapInArrow(run, candidates.schema)
 
 
 def structural_containers(nodes: DataFrame, kept: DataFrame) -> DataFrame:

@@ -248,3 +248,16 @@ def test_classification(spark):
 def test_truth_markup(spark):
     pages = spark.createDataFrame([(1, "", '<p><span data-pii="pan">ABCPE1234F</span> for <em class="x" data-decoy="price">450</em></p>')], "page_id long, url string, html string")
     assert [tuple(r) for r in tables.src_truth(pages).collect()] == [(1, "pan", None, "ABCPE1234F"), (1, None, "price", "450")]
+
+
+def test_wrappers_collapse_in_one_pass_over_many_pages(spark):
+    """Pages go on from batch to batch, one is larger than a batch, and none is a Python call of its own."""
+    rows = spark.range(60).selectExpr("id as page_id", "explode(sequence(0, if(id = 7, 25001, 3))) as node_id")
+    rows = rows.selectExpr("page_id", "node_id", "node_id div 2 * 2 + 1 as last", "node_id % 2 = 1 as strong_element", "node_id % 4 = 0 as link_or_button", "0.0D as x", "0.0D as y", "10.0D as width", "10.0D as height")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    out = nodes.collapse_wrappers(rows)
+    left = {(r["page_id"], r["node_id"]) for r in out.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Of each pair the weak outer one goes.
+    assert left == {(p, n) for p in range(60) for n in range(1, 25002 if p == 7 else 4, 2)}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
