@@ -8,19 +8,26 @@ own words, how much of it words of the corpus cover, whether it looks like a pat
 number, and the words before it. The forest is Spark's own, trained on labelled findings: keys,
 passwords and phrases of many shapes in assignments; ordinary words of the corpus, assigned ones
 too, numbers, paths and digests.
+
+Nothing is sampled: words and transitions are counted over all texts, copies as often as they
+stand there, and all distinct long words of the corpus are ordinary findings. Features lie on a
+grid, so that findings alike are one weighted row and the rows of the training, however large the
+corpus, are bounded; each tree is grown on all of them, and its thresholds come from all of them.
+Weights are whole numbers over a power of two, whose sums are exact, so that the forest does not
+depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import first_by_hash, sampled_texts, settle
+from .shared import settle
 
 MIN_CHARS, MAX_CHARS = 12, 400
 #: Words that name a secret when they stand before it.
@@ -28,9 +35,11 @@ KEYWORDS = "token|secret|passphrase|password|passwd|pass|pwd|apikey|api_key|api-
 #: Published prefixes of service keys.
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\.|eyJ|npm_|pypi-|SG\.)"
 LABELLED = 6000  # labelled findings, of all kinds of shapes together
-#: Of the corpus: texts that are sampled, words of it that teach transitions and cover candidates, and those that are ordinary findings, at most.
-SAMPLE_DOCS, DICTIONARY, CORPUS_WORDS = 4000, 2000, 2000
+#: Of the corpus: its most frequent words, which cover candidates, and what all of its long words weigh together, at most, against the labelled findings.
+DICTIONARY, CORPUS_WEIGHT = 2000, 2000
 TREES, DEPTH, THRESHOLD, SEED = 32, 8, 0.5, 11
+#: Features are multiples of one part in so many. Bins of a feature, at least; rows of the training in a task.
+GRID, BINS, TASK_ROWS = 64, 32, 20_000
 #: From a name to where its value begins.
 _TO_VALUE = r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}"
 ASSIGNED = rf"(?i:{KEYWORDS}){_TO_VALUE}[\"']?"
@@ -70,15 +79,20 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 class Language:
-    """What the corpus' own words are like: log-odds of the transitions between their characters, and frequent ones of them."""
+    """What the corpus' own words are like: log-odds of the transitions between their characters, and the most frequent of them, counted over all texts."""
 
     def __init__(self, docs: DataFrame, text: str):
-        words = sampled_texts(docs, text, SAMPLE_DOCS).select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(F.char_length("word") >= 3)
+        words = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(F.char_length("word") >= 3)
         counts = settle(words.groupBy("word").agg(F.count("*").alias("n")))
-        frequent = counts.where(F.char_length("word").between(4, 20) & F.col("word").rlike("^[a-z]+$")).orderBy(F.desc("n"), "word").limit(DICTIONARY)
+        plain = counts.where(F.char_length("word").between(4, 20) & F.col("word").rlike("^[a-z]+$"))
+        # Words too rare for the dictionary are left out first, by a count per power of two, or each task would send as many as it holds.
+        least, more = 0, 0
+        for r in plain.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("words")).orderBy(F.desc("bits")).collect():
+            least, more = (1 << r["bits"] - 1, more + r["words"]) if more < DICTIONARY else (least, more)
+        frequent = plain.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(DICTIONARY)
         self.words = sorted(r["word"] for r in frequent.select("word").collect())
-        pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("pair"))
-        codes = pairs.groupBy(_code(F.substring("pair", 1, 1)).alias("a"), _code(F.substring("pair", 2, 1)).alias("b")).agg(F.sum("n").alias("n"))
+        pairs = counts.select("n", F.explode(_pairs(F.col("word"))).alias("pair"))
+        codes = pairs.groupBy(_code(F.col("pair.a")).alias("a"), _code(F.col("pair.b")).alias("b")).agg(F.sum("n").alias("n"))
         kinds = len(ALPHABET) + 1
         seen = [[1.0] * kinds for _ in range(kinds)]
         for r in codes.collect():  # as many rows as pairs of kinds, at most
@@ -87,11 +101,10 @@ class Language:
 
     def transitions(self, column: str) -> Column:
         """Mean log-odds of the column's transitions."""
-        low, kinds = F.lower(F.col(column)), len(ALPHABET) + 1
+        pairs, kinds = _pairs(F.lower(F.col(column))), len(ALPHABET) + 1
         table = constants([repr(x) for x in self.flow]).cast("array<double>")
-        steps = F.sequence(F.lit(1), F.greatest(F.char_length(low) - 1, F.lit(1)))
-        at = lambda i: F.get(table, _code(F.substr(low, i, F.lit(1))) * kinds + _code(F.substr(low, i + 1, F.lit(1))))
-        return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.coalesce(at(i), F.lit(0.0))) / F.size(steps)
+        at = lambda pair: F.get(table, _code(pair["a"]) * kinds + _code(pair["b"]))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, pair: acc + at(pair)) / F.greatest(F.size(pairs), F.lit(1))
 
     def covered(self, column: str) -> Column:
         """Characters of the column in words of the dictionary."""
@@ -105,6 +118,13 @@ def constants(values: list[str]) -> Column:
     return F.split(F.lit(" ".join(values)), " ")
 
 
+def _pairs(word: Column) -> Column:
+    """Each character of the word but the last, with the next one, in time that grows with its length."""
+    characters = F.split(word, "")
+    n = F.size(characters) - 1
+    return F.arrays_zip(F.slice(characters, F.lit(1), n).alias("a"), F.slice(characters, F.lit(2), n).alias("b"))
+
+
 def _code(character: Column) -> Column:
     """Number of a character, 0 for those outside the alphabet."""
     return F.coalesce(F.instr(F.lit(ALPHABET), character), F.lit(0))
@@ -115,7 +135,7 @@ def _count(text: str, pattern: str) -> Column:
 
 
 def featured(rows: DataFrame, language: Language) -> DataFrame:
-    """Adds the columns NAMES and their vector; from ``before, after, candidate``."""
+    """Adds the columns NAMES, on the grid; from ``before, after, candidate``."""
     n = F.char_length("candidate").cast("double")
     # Kinds of characters: small, capital, digit, other.
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[a-z]", "\x01"), "[A-Z]", "\x02"), "[0-9]", "\x03"), "_-+/=.~", "\x04" * 7)
@@ -144,12 +164,16 @@ def featured(rows: DataFrame, language: Language) -> DataFrame:
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": (F.col("before").rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")).cast("double"),
     }
-    rows = rows.withColumns(values)
+    return rows.withColumns({name: F.floor(value * GRID + 0.5) / GRID for name, value in values.items()})
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """Adds ``features``, the vector of the columns NAMES."""
     return VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(rows)
 
 
 def labelled_findings(spark: SparkSession, docs: DataFrame, text: str, language: Language) -> DataFrame:
-    """``(label, before, after, candidate)``: generated findings of known shapes, phrases of the corpus' words among them, and words of the corpus as false ones."""
+    """``(own, label, before, after, candidate)``: generated findings of known shapes, phrases of the corpus' words among them, and all distinct long words of the corpus as false ones (``own``)."""
     seed = spark.range(LABELLED, numPartitions=4).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("x"), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 512))).alias("b"))
     words = language.words or ["word"]
     nth = lambda k: F.get(constants(words), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))).cast("int"))
@@ -195,20 +219,40 @@ def labelled_findings(spark: SparkSession, docs: DataFrame, text: str, language:
         (0.0, plain, F.lit(" "), F.concat(F.lit("2024-"), F.substring(number, 3, 2), F.lit("-"), F.substring(number, 5, 2), F.lit("T10.00.00"))),
     ]
     each = F.array(*[F.struct(F.lit(y).alias("label"), b.alias("before"), a.alias("after"), c.alias("candidate")) for y, b, a, c in shapes])
-    made = seed.select(F.get(each, (F.col("id") % len(shapes)).cast("int")).alias("f")).select("f.*")
-    sample = sampled_texts(docs, text, SAMPLE_DOCS)
-    words = sample.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![^\s])[^\W\d_]{12,}(?![^\s])"), F.lit(0))).alias("candidate")).where(~F.col("candidate").rlike("[^A-Za-z]"))
-    words = first_by_hash(words.where(F.char_length("candidate") <= MAX_CHARS), "candidate", CORPUS_WORDS)
-    return made.union(words.select(F.lit(0.0).alias("label"), F.lit("the ").alias("before"), F.lit(" ").alias("after"), "candidate"))
+    # Written by themselves: with the features, the code of so many shapes is more than Spark compiles.
+    made = settle(seed.select(F.get(each, (F.col("id") % len(shapes)).cast("int")).alias("f")).select(F.lit(False).alias("own"), "f.*"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<![^\s])[^\W\d_]{12,}(?![^\s])"), F.lit(0))).alias("candidate")).where(~F.col("candidate").rlike("[^A-Za-z]"))
+    words = words.where(F.char_length("candidate") <= MAX_CHARS).distinct()
+    return made.union(words.select(F.lit(True).alias("own"), F.lit(0.0).alias("label"), F.lit("the ").alias("before"), F.lit(" ").alias("after"), "candidate"))
+
+
+def training_rows(findings: DataFrame, language: Language) -> DataFrame:
+    """``(label, features, weight)`` of labelled findings, those alike together.
+
+    Words of the corpus, if more than CORPUS_WEIGHT, weigh the power of two at which all of them
+    together do not weigh more; every other finding weighs 1.
+    """
+    rows = settle(featured(findings, language).groupBy("own", "label", *NAMES).agg(F.count("*").alias("n")))
+    n, words = rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("own"), F.col("n"))), F.lit(0))).first()
+    each = 0.5 ** (max(-(-words // CORPUS_WEIGHT), 1) - 1).bit_length()
+    weight = F.col("n") * F.when(F.col("own"), each).otherwise(1.0)
+    return assembled(rows.coalesce(1 + n // TASK_ROWS)).select("label", "features", weight.alias("weight"))
+
+
+def fitted(rows: DataFrame) -> RandomForestClassificationModel:
+    """The forest grown on all ``rows(label, features, weight)``."""
+    # Spark takes thresholds from a sample of as many rows as the square of its bins: these are enough for all.
+    bins = max(BINS, math.isqrt(rows.count()) + 1)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", weightCol="weight", maxBins=bins, bootstrap=False)
+    return forest.fit(rows)
 
 
 def secret_findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: ``doc, at, nth, candidate, before, probability, secret``."""
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", maxBins=32)
     language = Language(docs, text)
-    model = forest.fit(settle(featured(labelled_findings(docs.sparkSession, docs, text, language), language).select("label", "features").coalesce(4)))
+    model = fitted(training_rows(labelled_findings(docs.sparkSession, docs, text, language), language))
     # Candidates are few; written once, as the forest's outputs each read the features again.
-    found = settle(featured(candidates(docs, doc_id, text), language).select("doc", "at", "nth", "candidate", "before", "features"))
+    found = settle(assembled(featured(candidates(docs, doc_id, text), language)).select("doc", "at", "nth", "candidate", "before", "features"))
     scored = model.transform(found)
     probability = F.get(vector_to_array("probability"), 1)
     return scored.select("doc", "at", "nth", "candidate", "before", probability.alias("probability"), (probability >= threshold).alias("secret"))

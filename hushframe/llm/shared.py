@@ -44,18 +44,6 @@ def dealt(df: DataFrame, by: str, parts: int) -> DataFrame:
     return back
 
 
-def sampled_texts(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """Distinct texts of about ``n`` rows, chosen by a hash of the text: a bounded sample, the same on every run."""
-    total = docs.count()
-    most = (1 << 63) - 1 if total <= n else (1 << 63) * n // total
-    return docs.select(text).where(F.col(text).isNotNull() & (F.shiftrightunsigned(F.xxhash64(text), 1) <= most)).distinct()
-
-
-def first_by_hash(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The ``n`` distinct values of ``df(column)`` that come first by a hash of them; ``df`` comes from a bounded sample."""
-    return df.select(column).distinct().orderBy(F.xxhash64(column), column).limit(n)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

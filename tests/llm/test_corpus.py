@@ -1,9 +1,12 @@
 """Each corpus operator against its plain version, on a table of awkward rows, and on none."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from tests.llm import brute
 
@@ -457,3 +460,35 @@ def test_secrets_in_awkward_rows(spark, docs, rows):
     found = secretscan.secret_scan(docs).collect()
     assert sorted(map(repr, {r["doc_id"] for r in found})) == sorted(map(repr, {i for i, _, _ in rows})) and len(found) == len({i for i, _, _ in rows})
     assert all(r["n_secrets"] <= r["n_candidates"] for r in found)
+
+
+def test_secrets_learn_from_all_texts(spark):
+    """Words, transitions and ordinary findings come from every text, as plain counts say, and the forest from every row of its training."""
+    n = 5000
+    texts = [("".join("abcdefghij"[int(c)] for c in f"{i:06d}") * 2).title() + " wort" * (i % 3) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    language = secretscan.Language(docs, "text")
+    counts = Counter(w for t in texts for w in t.lower().split())
+    assert language.words == sorted(sorted(counts, key=lambda w: (-counts[w], w))[: secretscan.DICTIONARY])
+    kinds = len(secretscan.ALPHABET) + 1
+    seen = [[1.0] * kinds for _ in range(kinds)]
+    for word, times in counts.items():
+        for a, b in zip(word, word[1:], strict=False):
+            seen[secretscan.ALPHABET.index(a) + 1][secretscan.ALPHABET.index(b) + 1] += times
+    assert language.flow == [math.log(x / sum(row)) for row in seen for x in row]
+    findings = secretscan.labelled_findings(spark, docs, "text", language)
+    ordinary = {r["candidate"] for r in findings.where("label = 0 and before = 'the ' and after = ' '").collect()}
+    assert {t.split()[0] for t in texts} <= ordinary
+    # All 5000 weigh as much as the largest power of two allows, and rows alike are one.
+    rows = secretscan.training_rows(findings, language).cache()
+    assert rows.agg(F.sum("weight")).first()[0] == secretscan.LABELLED + n / 4
+    assert rows.count() == rows.select("label", "features", "weight").distinct().count() < secretscan.LABELLED + n
+    trees = [secretscan.fitted(dealt).toDebugString.split("\n", 1)[1] for dealt in (rows, rows.repartition(7))]
+    assert trees[0] == trees[1]
+
+
+def test_secrets_thresholds_come_from_all_rows(spark):
+    """A value that one row of many has still gives a threshold."""
+    rare = spark.range(40_000, numPartitions=4).select((F.col("id") == 12_345).cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    rows = rare.withColumn("features", array_to_vector(F.array("label")))
+    assert secretscan.fitted(rows).predict(Vectors.dense([1.0])) == 1.0
